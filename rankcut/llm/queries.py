@@ -10,6 +10,7 @@ from rankcut.llm.decontamination import contaminated
 from rankcut.llm.near_dup import near_duplicates
 from rankcut.llm.packing import pack_documents
 from rankcut.llm.paragraphs import repeated_passages
+from rankcut.llm.quality import classify
 from rankcut.llm.records import store_and_read
 from rankcut.llm.token_counts import count_tokens
 
@@ -24,6 +25,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,

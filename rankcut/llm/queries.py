@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankcut.llm.decontamination import contaminated
+from rankcut.llm.knn import nearest
+from rankcut.llm.licenses import scan_licenses
 from rankcut.llm.near_dup import near_duplicates
 from rankcut.llm.packing import pack_documents
 from rankcut.llm.paragraphs import repeated_passages
@@ -33,6 +36,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors.where("vec_id % 100 = 0"), vectors, k=10)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -49,14 +57,23 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: the source is a folder, the language one within it, and the doc_id the name."""
+    docs = _table(spark, sf_dir, "documents")
+    found = scan_licenses(docs.select(F.col("doc_id").alias("key"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_decontamination": op8_decontamination,
     "op9_token_records": op9_token_records,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}

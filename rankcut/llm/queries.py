@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankcut.llm.decontamination import contaminated
 from rankcut.llm.knn import nearest
 from rankcut.llm.licenses import scan_licenses
+from rankcut.llm.lm import score_documents
 from rankcut.llm.near_dup import near_duplicates
 from rankcut.llm.packing import pack_documents
 from rankcut.llm.paragraphs import repeated_passages
@@ -49,6 +50,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_decontamination": op8_decontamination,
     "op9_token_records": op9_token_records,
     "op10_license_scan": op10_license_scan,

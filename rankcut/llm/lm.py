@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from rankcut.llm.shared import Scratch, slices
 
 END = ""  # no word is empty
+MOST = np.float32(60)  # logits are held below it, so that their exponentials are finite
+BATCH = 24_000_000  # bytes of text that are trained on or scored side by side
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -93,7 +95,11 @@ class Shape:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x += np.float32(1)
+    x *= np.float32(0.5)
+    return x
 
 
 @dataclass
@@ -107,11 +113,27 @@ class Lanes:
     where: np.ndarray = field(default=None)  # place of each token of the stream, as step * lanes + lane
 
 
-def in_lanes(ids: np.ndarray, bounds: np.ndarray, end: int, lanes: int) -> Lanes:
-    """ids: all documents' targets in a row, each with its end."""
+def even_lanes(ids: np.ndarray, bounds: np.ndarray, end: int, lanes: int) -> Lanes:
+    """The stream of all documents cut into lanes of equal length, for training: a document that is cut goes on in the
+    next lane from a cleared state."""
+    lanes = max(1, min(lanes, len(ids) // 2000 + 16))
+    room = -(-len(ids) // lanes)
+    full = np.full((3, room * lanes), end, np.int32)
+    full[0, : len(ids)] = ids
+    full[1, 1 : len(ids)] = ids[:-1]
+    full[1, bounds[:-1]] = end
+    full[2] = 0
+    full[2, bounds[:-1]] = 1
+    targets, inputs, fresh = (np.ascontiguousarray(a.reshape(lanes, room).T) for a in full)
+    return Lanes(inputs, targets, fresh.astype(bool), np.clip(len(ids) - room * np.arange(lanes), 0, room))
+
+
+def in_lanes(ids: np.ndarray, bounds: np.ndarray, end: int, most: int = 1024) -> Lanes:
+    """ids: all documents' targets in a row, each with its end. Documents stay whole; there are about as many lanes as
+    keep all of them busy while the longest document runs."""
     size = np.diff(bounds)
     order = np.argsort(-size, kind="stable")
-    lanes = max(1, min(lanes, len(size)))
+    lanes = max(1, min(most, len(size), max(64, 2 * len(ids) // int(size.max()))))
     ends = np.concatenate([[0], np.cumsum(size[order])])
     room = max(-(-int(ends[-1]) // lanes), int(size.max()))
     lane = np.minimum(ends[:-1] // room, lanes - 1)
@@ -162,12 +184,11 @@ def run_window(p: dict, shape: Shape, h: np.ndarray, x: np.ndarray, fresh: np.nd
 def outputs(p: dict, shape: Shape, hs: np.ndarray, y: np.ndarray, want_grad: bool):
     """ln P of targets y given states hs (rows); with gradients of the sum of -ln P, if wanted."""
     cls, nth = y // shape.size, y % shape.size
-    logits = hs @ p["c"] + p["cb"]
-    logits -= logits.max(1, keepdims=True)
+    logits = np.minimum(hs @ p["c"] + p["cb"], MOST)
     e = np.exp(logits)
-    total = e.sum(1)
+    total = e @ np.ones(shape.classes, np.float32)
     lp = logits[np.arange(len(y)), cls] - np.log(total)
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.int16), kind="stable")
     cut = np.searchsorted(cls[order], np.arange(shape.classes + 1))
     if want_grad:
         d = e / total[:, None]
@@ -180,10 +201,9 @@ def outputs(p: dict, shape: Shape, hs: np.ndarray, y: np.ndarray, want_grad: boo
             continue
         used = min(shape.size, shape.words - c * shape.size)
         own = hs[rows]
-        q = own @ p["w"][c][:, :used] + p["wb"][c][:used]
-        q -= q.max(1, keepdims=True)
+        q = np.minimum(own @ p["w"][c][:, :used] + p["wb"][c][:used], MOST)
         eq = np.exp(q)
-        tq = eq.sum(1)
+        tq = eq @ np.ones(used, np.float32)
         at = np.arange(len(rows))
         lp[rows] += q[at, nth[rows]] - np.log(tq)
         if want_grad:
@@ -296,11 +316,11 @@ def trained(docs: DataFrame, lexicon, shape: Shape, rounds: int, lanes: int, ste
             moments = (np.zeros_like(own), np.zeros_like(own), [0])
             words, other = lexicon.value, shape.words - 1
             for b in batches:
-                for at, to in slices(b.column(0)):
+                for at, to in slices(b.column(0), BATCH):
                     codes, known, bounds = tokens_of(b.column(0).slice(at, to - at))
                     ids = lexicon_ids(known, words, other)[codes] if len(codes) else np.zeros(0, np.int32)
                     ids, bounds = with_ends(ids, bounds, words[END])
-                    seen += train(own, shape, in_lanes(ids, bounds, words[END], lanes), moments, steps, rate)
+                    seen += train(own, shape, even_lanes(ids, bounds, words[END], lanes), moments, steps, rate)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([own], pa.list_(pa.float32()))], ["n", "weights"])
 
@@ -313,7 +333,7 @@ def trained(docs: DataFrame, lexicon, shape: Shape, rounds: int, lanes: int, ste
 
 
 def score_documents(
-    docs: DataFrame, lexicon: int = 1024, frequent: int = 150_000, rounds: int = 3, lanes: int = 256, steps: int = 8, rate: float = 0.02
+    docs: DataFrame, lexicon: int = 1024, frequent: int = 150_000, rounds: int = 3, lanes: int = 512, steps: int = 16, rate: float = 0.02
 ) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
@@ -353,7 +373,7 @@ def score_documents(
         key = TaskContext.get().partitionId() << 36
         words, frequent_n, weights = given.value, frequent_words.value, flat.value
         for b in batches:
-            for at, to in slices(b.column("text")):
+            for at, to in slices(b.column("text"), BATCH):
                 codes, distinct, bounds = tokens_of(b.column("text").slice(at, to - at))
                 n, empty = to - at, len(codes) == 0
                 distinct = [*distinct, END]
@@ -364,7 +384,7 @@ def score_documents(
                 owner = np.repeat(np.arange(n), np.diff(bounds))
                 mine, common = ids[codes] != other, c[codes] >= 0
                 sums = lambda weight: np.bincount(owner, weight, minlength=n)
-                lp = log_probabilities(weights, shape, in_lanes(ids[codes], bounds, words[END], 1024))
+                lp = log_probabilities(weights, shape, in_lanes(ids[codes], bounds, words[END]))
                 keys = key + np.arange(n)
                 key += n
                 yield pa.RecordBatch.from_arrays(

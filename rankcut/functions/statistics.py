@@ -10,10 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("double")
-def normal_tail(z: pd.Series) -> pd.Series:
+def normal_tail(z: Column) -> Column:
     """1 - Phi(z)."""
-    return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)), na_action="ignore")
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)), na_action="ignore")
+
+    return tail(z)
 
 
 def ks_probability(d: float, n: int) -> float:
@@ -41,9 +45,12 @@ def ks_probability(d: float, n: int) -> float:
     return min(1.0, max(0.0, 1 - q))
 
 
-@F.pandas_udf("double")
-def ks_p_value(d: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([ks_probability(float(x), int(k)) if x == x and k == k else None for x, k in zip(d, n, strict=True)], dtype="float64")
+def ks_p_value(d: Column, n: Column) -> Column:
+    @F.pandas_udf("double")
+    def p(x: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([ks_probability(float(a), int(b)) if a == a and b == b else None for a, b in zip(x, k, strict=True)], dtype="float64")
+
+    return p(d, n)
 
 
 def share_at_least(value: Column, null_sorted, n: int) -> Column:

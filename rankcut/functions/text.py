@@ -71,7 +71,7 @@ def normal_title(text: Column) -> Column:
 def normal_answer(text: Column) -> Column:
     """Lower case, without ASCII punctuation and articles."""
     plain = F.translate(F.lower(text), PUNCTUATION, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " "), r"\s+", " "))
 
 
 def answer_tokens(text: Column) -> Column:

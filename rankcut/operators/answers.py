@@ -21,19 +21,8 @@ def _prf(overlap: Column, n: Column, m: Column) -> Column:
     return F.when((n == 0) & (m == 0), same(1.0)).otherwise(F.coalesce(F.when((n > 0) & (m > 0), some), same(0.0)))
 
 
-def multiset_overlap(a: Column, b: Column) -> Column:
-    n = lambda tokens, w: F.size(F.filter(tokens, lambda x: x == w))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(n(a, w), n(b, w)))
-
-
-def token_f1(generated: Column, gold: Column) -> Column:
-    """Over multisets of normalised tokens; quadratic in an answer's length, made for answers, not for documents."""
-    a, b = answer_tokens(generated), answer_tokens(gold)
-    return _prf(multiset_overlap(a, b), F.size(a), F.size(b))
-
-
 def token_overlap(pairs: DataFrame, key: str, generated: str, gold: str) -> DataFrame:
-    """The same for texts of any length, by counts of tokens: (key, n_generated, n_gold, overlap, precision, recall, f1)."""
+    """Over multisets of normalised tokens, by counts, for texts of any length: (key, n_generated, n_gold, overlap, precision, recall, f1)."""
     side = lambda c, name: pairs.select(key, F.explode(answer_tokens(F.col(c))).alias("token")).groupBy(key, "token").agg(F.count("*").alias(name))
     both = side(generated, "n").join(side(gold, "m"), [key, "token"], "full").groupBy(key).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_generated"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_gold"), F.sum(F.least(F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0)))).alias("overlap")

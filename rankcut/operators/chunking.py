@@ -115,7 +115,7 @@ def sections_of(text: str) -> list[tuple[str, int, str]]:
     """(title, level, body) of the parts of a text with == headers ==; what comes first is the Lead, of level 0."""
     marks = [*HEADER.finditer(text)]
     found = [("Lead", 0, text[: marks[0].start()] if marks else text)]
-    for m, after in zip(marks, [*marks[1:], None], strict=True):
+    for m, after in zip(marks, [*marks[1:], None], strict=False):
         found.append((m[2], len(m[1]) - 1, text[m.end() : after.start() if after else len(text)]))
     return [(title, level, body.strip()) for title, level, body in found if body.strip()]
 

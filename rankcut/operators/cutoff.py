@@ -12,19 +12,22 @@ from pyspark.sql import functions as F
 from rankcut.functions.statistics import normal_tail, share_at_least
 
 INF = float("inf")
-_Q = Window.partitionBy("query_id")
+
+
+def _by_query():
+    return Window.partitionBy("query_id")
 
 
 def z_scores(candidates: DataFrame, fraction: float = 0.8, least: int = 10, floor: float = 1e-10, cap: float | None = None, exclude: Column | None = None, need: int = 0) -> DataFrame:
     """Adds z (and mu, sigma) by the lowest `fraction` of each query's scores: at least `least` of them, all if there are
     fewer. exclude: rows left out of the estimate; queries with fewer than `need` rows left get NULL."""
-    n = F.count("*").over(_Q)
-    low = F.row_number().over(_Q.orderBy("similarity", F.desc("doc_id")))
+    n = F.count("*").over(_by_query())
+    low = F.row_number().over(_by_query().orderBy("similarity", F.desc("doc_id")))
     m = F.greatest((n * F.lit(fraction)).cast("int"), F.lit(least))
     inside = (n < m) | (low <= m)
     marked = candidates.withColumn("_in", inside if exclude is None else inside & ~exclude)
     value = F.when(F.col("_in"), F.col("similarity"))
-    out = marked.withColumns({"mu": F.avg(value).over(_Q), "sigma": F.stddev_pop(value).over(_Q), "_have": F.count(value).over(_Q)})
+    out = marked.withColumns({"mu": F.avg(value).over(_by_query()), "sigma": F.stddev_pop(value).over(_by_query()), "_have": F.count(value).over(_by_query())})
     z = (F.col("similarity") - F.col("mu")) / F.greatest(F.col("sigma"), F.lit(floor))
     if cap is not None:
         z = F.least(z, F.lit(cap))
@@ -33,8 +36,8 @@ def z_scores(candidates: DataFrame, fraction: float = 0.8, least: int = 10, floo
 
 def recalibrated(z: DataFrame, null_sigma: float, gamma: float) -> DataFrame:
     """z times the null's deviation over that of the query's z beyond its first gamma share of ranks."""
-    beyond = F.when(F.col("rank") > F.floor(F.lit(gamma) * F.count("*").over(_Q)), F.col("z"))
-    return z.withColumn("z_recalibrated", F.col("z") * null_sigma / F.greatest(F.stddev_pop(beyond).over(_Q), F.lit(1e-10)))
+    beyond = F.when(F.col("rank") > F.floor(F.lit(gamma) * F.count("*").over(_by_query())), F.col("z"))
+    return z.withColumn("z_recalibrated", F.col("z") * null_sigma / F.greatest(F.stddev_pop(beyond).over(_by_query()), F.lit(1e-10)))
 
 
 def clipped(p: Column, low: Column | float, high: Column | float) -> Column:
@@ -58,8 +61,8 @@ def with_query_null(candidates: DataFrame, null: DataFrame, value: str = "simila
     both = candidates.withColumns({"_null": F.lit(0), "_x": F.col(value)}).unionByName(
         null.select("query_id", F.lit(1).alias("_null"), F.col("value").alias("_x")), allowMissingColumns=True
     )
-    falling = _Q.orderBy(F.desc("_x")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = both.withColumns({"n_at_least": F.sum("_null").over(falling), "n_null": F.sum("_null").over(_Q)})
+    falling = _by_query().orderBy(F.desc("_x")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = both.withColumns({"n_at_least": F.sum("_null").over(falling), "n_null": F.sum("_null").over(_by_query())})
     return counted.where("_null = 0").drop("_null", "_x")
 
 
@@ -87,7 +90,7 @@ def gpd_composite_p(x: Column, empirical: Column, shape: float, scale: float, th
 
 def curve(candidates: DataFrame, gamma: float | Column, method: str = "hc", p: str = "p") -> DataFrame:
     """The ranks 1..max(1, floor(gamma n)) of each query with their statistic."""
-    n, i = F.count("*").over(_Q), F.col("rank")
+    n, i = F.count("*").over(_by_query()), F.col("rank")
     gamma = gamma if isinstance(gamma, Column) else F.lit(gamma)
     inside = candidates.withColumn("n", n).where(i <= F.least(F.col("n"), F.greatest(F.lit(1), F.floor(gamma * F.col("n")))))
     share, pv = i / F.col("n"), F.col(p)
@@ -117,19 +120,19 @@ def keep(candidates: DataFrame, cuts: DataFrame, max_k: int | None = None) -> Da
 
 
 def bonferroni(p: DataFrame, alpha: float = 0.05) -> DataFrame:
-    n = F.count("*").over(_Q)
+    n = F.count("*").over(_by_query())
     return p.withColumn("_ok", F.col("p") <= F.lit(alpha) / n).groupBy("query_id").agg(F.sum(F.col("_ok").cast("int")).alias("k"))
 
 
 def benjamini_hochberg(p: DataFrame, alpha: float = 0.05) -> DataFrame:
-    n = F.count("*").over(_Q)
+    n = F.count("*").over(_by_query())
     ok = F.col("p") <= F.lit(alpha) * F.col("rank") / n
     return p.withColumn("_k", F.when(ok, F.col("rank")).otherwise(0)).groupBy("query_id").agg(F.max("_k").alias("k"))
 
 
 def largest_gap(candidates: DataFrame, ignore_extreme: float = 0.05, ignore_tail: float = 0.1, more: int = 5) -> DataFrame:
     """Cut after the rank before the largest drop of score, ranks at both ends being ignored; some more are taken."""
-    n = F.count("*").over(_Q)
-    gap = F.round(F.col("similarity") - F.lead("similarity").over(_Q.orderBy("rank")), 6)
+    n = F.count("*").over(_by_query())
+    gap = F.round(F.col("similarity") - F.lead("similarity").over(_by_query().orderBy("rank")), 6)
     inside = candidates.withColumns({"_n": n, "_gap": gap}).where((F.col("rank") > F.floor(F.col("_n") * ignore_extreme)) & (F.col("rank") < F.col("_n") - F.floor(F.col("_n") * ignore_tail)))
     return inside.groupBy("query_id").agg((F.max_by("rank", F.struct("_gap", -F.col("rank"))) + more).alias("_k"), F.max("_n").alias("_n")).select("query_id", F.least("_k", "_n").cast("long").alias("k"))

@@ -5,13 +5,22 @@ Pools are candidates with a column rel (1 relevant, 0 not).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankcut.operators import cutoff as c
 
-_Q = Window.partitionBy("query_id")
-_REL, _NON = F.col("rel") == 1, F.col("rel") == 0
+
+def _rel() -> Column:
+    return F.col("rel") == 1
+
+
+def _non() -> Column:
+    return F.col("rel") == 0
+
+
+def _by_query():
+    return Window.partitionBy("query_id")
 
 
 def by_sign(cuts: DataFrame, ceiling: DataFrame, below: float = 0.0) -> DataFrame:
@@ -26,18 +35,18 @@ def landscape(pool: DataFrame, top: int = 100) -> DataFrame:
     """Scores of relevant and other candidates of each query, side by side."""
     s = F.col("similarity")
     nth = pool.withColumn("_i", F.row_number().over(Window.partitionBy("query_id", "rel").orderBy("rank")))
-    iqr = pool.where(_NON).groupBy("query_id").agg(F.percentile("similarity", F.lit(0.25)).alias("_q1"), F.percentile("similarity", F.lit(0.75)).alias("_q3"))
-    rel, non = F.when(_REL, s), F.when(_NON, s)
+    iqr = pool.where(_non()).groupBy("query_id").agg(F.percentile("similarity", F.lit(0.25)).alias("_q1"), F.percentile("similarity", F.lit(0.75)).alias("_q3"))
+    rel, non = F.when(_rel(), s), F.when(_non(), s)
     return nth.join(iqr, "query_id").groupBy("query_id").agg(
         F.avg(rel).alias("mean_rel"), F.stddev_pop(rel).alias("std_rel"), F.avg(non).alias("mean_non"), F.stddev_pop(non).alias("std_non"), (F.avg(rel) - F.avg(non)).alias("gap"),
-        (F.avg(rel) - F.avg(F.when(_NON & (F.col("_i") <= top), s))).alias("gap_top"), F.avg(F.when(_REL, s.between(F.col("_q1"), F.col("_q3")).cast("double"))).alias("inside_iqr"),
+        (F.avg(rel) - F.avg(F.when(_non() & (F.col("_i") <= top), s))).alias("gap_top"), F.avg(F.when(_rel(), s.between(F.col("_q1"), F.col("_q3")).cast("double"))).alias("inside_iqr"),
     )
 
 
 def rank_positions(relevant: DataFrame) -> DataFrame:
     """Places (from 0) of the relevant candidates."""
     rows = relevant.withColumn("r", F.col("rank") - 1)
-    rows = rows.withColumn("gap", F.col("r") - F.lag("r").over(_Q.orderBy("rank")))
+    rows = rows.withColumn("gap", F.col("r") - F.lag("r").over(_by_query().orderBy("rank")))
     return rows.groupBy("query_id").agg(
         F.count("*").alias("n"), *(F.count_if(F.col("r") < n).alias(f"in_top_{n}") for n in (50, 100, 200)), F.avg("r").alias("mean_rank"), F.percentile("r", F.lit(0.5)).alias("median_rank"),
         F.min("r").alias("first_rank"), F.max("r").alias("last_rank"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"), ((F.max("r") - F.min("r")) / F.count("*")).alias("dispersion"),
@@ -47,14 +56,14 @@ def rank_positions(relevant: DataFrame) -> DataFrame:
 def contamination(pool: DataFrame, fractions: list[float]) -> DataFrame:
     """Relevant candidates within the set by which z-scores are estimated, and what leaving them out changes."""
     out = None
-    n = F.count("*").over(_Q)
-    low = F.row_number().over(_Q.orderBy("similarity", F.desc("doc_id")))
+    n = F.count("*").over(_by_query())
+    low = F.row_number().over(_by_query().orderBy("similarity", F.desc("doc_id")))
     for f in fractions:
         m = F.greatest((n * F.lit(f)).cast("int"), F.lit(10))
         inside = pool.withColumn("_in", (n < m) | (low <= m)).where("_in")
-        clean = F.when(_NON, F.col("similarity"))
+        clean = F.when(_non(), F.col("similarity"))
         one = inside.groupBy("query_id").agg(
-            F.lit(f).alias("fraction"), F.count("*").alias("n_estimate"), F.count_if(_REL).alias("n_relevant"), F.avg(F.col("rel").cast("double")).alias("share"),
+            F.lit(f).alias("fraction"), F.count("*").alias("n_estimate"), F.count_if(_rel()).alias("n_relevant"), F.avg(F.col("rel").cast("double")).alias("share"),
             (F.avg("similarity") - F.avg(clean)).alias("mu_shift"), (F.stddev_pop("similarity") - F.stddev_pop(clean)).alias("sigma_shift"),
         )
         out = one if out is None else out.union(one)
@@ -102,7 +111,7 @@ def isolation_grid(pool: DataFrame, raw_p: DataFrame, fractions: list[float], ga
     out = row(raw_p, "raw", 1.0)
     for f in fractions:
         z = c.z_scores(pool, f)
-        null = z.where(_NON).select("query_id", F.col("z").alias("value"))
+        null = z.where(_non()).select("query_id", F.col("z").alias("value"))
         out = out.union(row(c.with_global_null(z, null, "z").withColumn("p", p), "z+global", f))
         out = out.union(row(c.with_query_null(z, null, "z").withColumn("p", p), "z+per_query", f))
     return out
@@ -137,8 +146,8 @@ def failure_modes(cuts: DataFrame, relevant: DataFrame) -> DataFrame:
 
 def clean_fix(pool: DataFrame, cuts: DataFrame, gamma: float, level: float = 0.0, need: int = 5) -> DataFrame:
     """Statistics with relevant candidates left out of the z-scores' estimate and each query's own null."""
-    z = c.z_scores(pool, exclude=_REL, need=need)
-    null = z.where(_NON).select("query_id", F.col("z").alias("value"))
+    z = c.z_scores(pool, exclude=_rel(), need=need)
+    null = z.where(_non()).select("query_id", F.col("z").alias("value"))
     p = c.with_query_null(z, null, "z").withColumn("p", c.empirical_p(F.col("n_at_least"), F.col("n_null")))
     after = c.thresholds(c.curve(p, gamma)).select("query_id", F.col("statistic").alias("after"))
     both = cuts.select("query_id", F.col("statistic").alias("before")).join(after, "query_id")
@@ -147,5 +156,5 @@ def clean_fix(pool: DataFrame, cuts: DataFrame, gamma: float, level: float = 0.0
 
 def boundary(z: DataFrame, window: int) -> DataFrame:
     """Share eps and mean z of relevant candidates in the window; above if it exceeds sqrt(2 ln(1 / eps))."""
-    by = z.where(F.col("rank") <= window).groupBy("query_id").agg(F.avg(F.col("rel").cast("double")).alias("eps"), F.avg(F.when(_REL, F.col("z"))).alias("signal")).where("eps > 0")
+    by = z.where(F.col("rank") <= window).groupBy("query_id").agg(F.avg(F.col("rel").cast("double")).alias("eps"), F.avg(F.when(_rel(), F.col("z"))).alias("signal")).where("eps > 0")
     return by.withColumn("above", F.col("signal") > F.sqrt(2 * F.log(1 / F.col("eps"))))

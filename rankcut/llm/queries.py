@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankcut.llm.decontamination import contaminated
 from rankcut.llm.knn import nearest
-from rankcut.llm.licenses import scan_licenses
+from rankcut.llm.licenses import license_sql, scan_licenses
 from rankcut.llm.lm import score_documents
 from rankcut.llm.near_dup import near_duplicates
 from rankcut.llm.packing import pack_documents
@@ -82,4 +82,6 @@ QUERIES: dict[str, Query] = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_license_scan": f"SELECT key AS doc_id, * EXCLUDE (key) FROM ({license_sql("SELECT doc_id AS key, source || '/' || lang || '/' || doc_id AS path, text FROM documents")})",
+}

@@ -70,3 +70,24 @@ def s14(spark, sf):
     kept = writers.store(rows, f"{folder}-rows")
     writers.write_results(folder, m.overall(kept), kept, m.by_bucket(kept, "query_label", ["recall"]))
     return spark.read.parquet(f"{folder}/per_query").select("query_id", "k", "hit_rate")
+
+
+@query(
+    "s9_s10_s11_entity_passages",
+    """WITH e AS (SELECT DISTINCT o_custkey AS qid, o_custkey // 10 AS cluster_id FROM orders JOIN customer ON c_custkey = o_custkey), big AS (SELECT cluster_id FROM e GROUP BY ALL HAVING count(*) >= 2)
+SELECT o_orderkey::VARCHAR AS passage_id, o_custkey::VARCHAR AS entity_qid, c_name AS entity_label, (o_custkey // 10)::VARCHAR AS cluster_id, o_orderpriority AS text FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey // 10 IN (SELECT cluster_id FROM big)""",
+)
+def s9(spark, sf):
+    """Ten customers are a cluster, their orders the passages of their articles: written nested, read flat, and written and
+    read again as clean records."""
+    text = lambda c: F.col(c).cast("string")
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.struct(text("o_orderkey").alias("passage_id"), F.col("o_orderpriority").alias("text"), F.lit("Lead").alias("section")).alias("p"))
+    articles = orders.groupBy("c_custkey").agg(F.sort_array(F.collect_list("p")).alias("passages"))
+    people = table(spark, sf, "customer").join(articles, "c_custkey", "left").withColumn("cluster_id", F.expr("string(c_custkey div 10)"))
+    article = F.when(F.col("passages").isNotNull(), F.struct(text("c_custkey").alias("qid"), "passages"))
+    nested = people.groupBy("cluster_id").agg(F.collect_list(F.struct(text("c_custkey").alias("qid"), F.col("c_name").alias("label"))).alias("entities"), F.collect_list(article).alias("articles"))
+    path = _folder(spark, "clusters")
+    nested.write.json(path)
+    passages, _ = readers.read_entity_passages(spark, path)
+    writers.write_passages(f"{path}-passages", passages)
+    return spark.read.schema("passage_id string, entity_qid string, entity_label string, cluster_id string, text string").json(f"{path}-passages")

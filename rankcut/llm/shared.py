@@ -60,7 +60,7 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(*cols)
 
 
-def slices(texts: pa.Array, most: int = 6_000_000):
+def slices(texts: pa.Array, most: int = 4_000_000):
     """(from, to) of runs of rows holding about `most` bytes each, so that a batch of long texts stays small."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     cum, at, n = np.cumsum(size), 0, len(size)
@@ -68,6 +68,7 @@ def slices(texts: pa.Array, most: int = 6_000_000):
         to = int(np.searchsorted(cum, (cum[at - 1] if at else 0) + most, side="right"))
         to = min(n, max(to, at + 1))
         yield at, to
+        pa.default_memory_pool().release_unused()
         at = to
 
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from rankcut.llm.shared import mixed
 
-LIMIT = 600_000
+LIMIT = 300_000
 NOT_WORD = re.compile(r"[\W_]+")
 #: Odd multipliers for the places in a shingle, from the generator itself.
 PLACES = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)

@@ -7,7 +7,8 @@ features that go with the grade at |z| >= 5 in the sample enter; the others' wei
 rare words would drown the few that matter.
 
 The fit takes a bounded sample of the labelled documents, `sample` of them by the least hash of doc_id (20,000, a
-parameter); its features go to the driver, some tens of MB at most. Scoring covers all documents.
+parameter); their features, some tens of MB at most, go to one task, and the weights to the driver. Scoring covers all
+documents.
 
 Rows of labels with a null are left out; of several for one doc_id the lowest grade counts. Without labelled documents
 no feature has a weight and the thresholds are such that every document is kept. Null text counts as empty. Rows that
@@ -102,7 +103,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, steps: int, least_z:
         return Ordinal(np.zeros(SLOTS), np.full(steps, -10.0))
     n = len(rows)
     size = np.fromiter(map(len, rows), np.int64, n)
-    flat, owner = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(n), size)
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(n, dtype=np.int32), size)
     df = np.bincount(flat, minlength=SLOTS)
     off = np.bincount(flat, (grades - grades.mean())[owner], minlength=SLOTS)
     z = off / np.sqrt(np.maximum(df * (1 - df / n) * grades.var(), 1e-9))
@@ -151,10 +152,22 @@ def fit(docs: DataFrame, grades: DataFrame, steps: int = 2, sample: int = 20_000
                     ["doc_id", "grade", "slots"],
                 )
 
+    def learn(batches):
+        found = sorted(((d, g, np.asarray(x.values, np.int32)) for b in batches for d, g, x in zip(b.column("doc_id").to_pylist(), b.column("grade").to_pylist(), b.column("slots"), strict=True)), key=lambda r: r[0])
+        model = fit_ordinal([r[2] for r in found], np.array([r[1] for r in found], np.int64), steps)
+        used = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1 - np.arange(steps))), pa.array(np.append(model.weights[used], model.thresholds))], ["slot", "weight"])
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "grade")  # `sample` rows
-    found = rows.mapInArrow(slots, f"doc_id {kind}, grade int, slots array<int>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return fit_ordinal([np.asarray(x) for x in found.slots], found.grade.to_numpy(np.int64), steps)
+    found = rows.mapInArrow(slots, f"doc_id {kind}, grade int, slots array<int>").dropDuplicates(["doc_id"])
+    learnt = found.repartition(1).mapInArrow(learn, "slot long, weight double").toPandas()  # SLOTS + steps rows at most
+    weights, thresholds = np.zeros(SLOTS), np.full(steps, -10.0)
+    of_slot = learnt[learnt.slot >= 0]
+    weights[of_slot.slot.to_numpy(np.int64)] = of_slot.weight
+    ends = learnt[learnt.slot < 0]
+    thresholds[-1 - ends.slot.to_numpy(np.int64)] = ends.weight
+    return Ordinal(weights, thresholds)
 
 
 def scored(docs: DataFrame, model: Ordinal, least: float) -> DataFrame:

@@ -171,6 +171,20 @@ def test_large_groups_of_near_copies(spark):
     assert near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("class_id").distinct().count() == 1
 
 
+def test_copies_that_are_alike_only_to_one_of_high_id(spark):
+    g = np.random.default_rng(11)
+    base = [f"{w}{i}" for i, w in enumerate(g.choice(WORDS[:80], 600))]
+    rows = []
+    for i in range(300):  # seven words of its own each: about 0.83 like the base, and 0.7 like one another
+        at = set((10 * g.choice(range(1, 59), 7, replace=False)).tolist())
+        rows.append((i, " ".join(f"own{i}x{k}" if k in at else w for k, w in enumerate(base)), "", 0, "", 0))
+    rows.append((1000, " ".join(base), "", 0, "", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = near_dup.near_duplicates(docs).collect()
+    cls = collections.Counter(r.class_id for r in got)
+    assert cls[0] >= 295
+
+
 def test_signatures_estimate_weighted_jaccard():
     g = np.random.default_rng(2)
     a, b = g.choice(WORDS, 400), g.choice(WORDS, 400)

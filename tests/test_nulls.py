@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rankcut.operators import nulls
+from rankcut.operators import cutoff, nulls
 from rankcut.sources import readers, writers
 
 
@@ -30,3 +30,11 @@ def test_store_keeps_what_is_there(spark, tmp_path):
     assert writers.store(spark.range(3), path).count() == 3
     assert writers.store(spark.range(5), path).count() == 3
     assert writers.store(spark.range(5), path, force=True).agg(F.max("id")).first()[0] == 4
+
+
+def test_a_null_of_over_a_million_values_counts_whole(spark):
+    null = spark.range(1_200_000).select(F.round(F.col("id") / 1e6, 6).alias("value"))
+    asked = spark.createDataFrame([(1, -1.0), (2, 0.0), (3, 0.25), (4, 0.2500005), (5, 1.199999), (6, 7.0), (7, None), (8, 0.25)], "query_id long, similarity double")
+    got = {r.query_id: (r.n_at_least, r.n_null) for r in cutoff.with_global_null(asked, null).collect()}
+    want = {1: 1_200_000, 2: 1_200_000, 3: 950_000, 4: 949_999, 5: 1, 6: 0, 7: 0, 8: 950_000}
+    assert got == {q: (n, 1_200_000) for q, n in want.items()}

@@ -1,20 +1,32 @@
 """Repeated passages: paragraphs that stand, alike or nearly so, in several documents; all but the first are removed.
 
-Passages are put into texts anywhere, also amid a line, so a paragraph here is every run of `size` words. A MinHash of a
-paragraph is the least hash of its five-word shingles. Paragraphs that follow each other mostly have the same one; they
-are one row, placed where that shingle stands (its anchor): about 2 rows for each `size` words and band. Bands have one
-row each, as many as the wanted recall at the threshold takes; equal paragraphs always collide.
-
-In a bucket of several documents each anchor is a candidate with the first document's anchor and with that of the
-document with the least hash; so candidates grow with the rows. Only for anchors of such buckets are the words around
-gathered, as 16-bit hashes: all paragraphs that hold an anchor lie within `size` words of it. Candidates are verified on
-them: the shingles that two paragraphs have in common, place by place from the anchors, are counted, and paragraphs with
-at least this Jaccard similarity are repeated. Clusters are the components of verified anchors. In each, what stands in
-the document of the first anchor stays.
-
-Words are those of `words`. Rows with null text or doc_id take no part, documents of fewer than `size` words have no
-paragraph. Rows with the same doc_id count as one document. An empty table gives an
-empty result. Other columns are ignored, and kept by remove_repeats.
+Passages are put into texts anywhere, also amid a line, so a paragraph here is a run of `size` words or more, wherever
+lines begin. A MinHash of a run of `size` words is the least hash of its five-word shingles. Runs that follow each other
+mostly have the same one; they are one row, placed where that shingle stands (its anchor): about 2 rows for each `size`
+words and band. Bands have one row each, as many as the wanted recall at the threshold takes; equal runs always collide.
+
+Candidates. In a bucket of several documents each anchor goes with the first document's. Anchors of one document pair on
+one diagonal and within BLOCK words are one span, so that near copies of whole documents are few rows. Only words around
+spans are gathered from the texts (documents go through that shuffle once).
+
+Verification. Of both sides of a span, the shingles that the other side has are marked; the part with the greatest sum of
+matches less misses is the paragraph, its counterpart likewise, and the two are a repeated passage if the exact Jaccard
+similarity of their shingle sets is at least the threshold and both have at least `size` words. If the whole part isn't
+alike enough, a stricter part and all runs of equal words are tried.
+
+Anchors that the first document of their bucket does not settle, and the places where a first document has its shingle
+again, meet once more under finer keys: bucket and the exact words around (windows of `size` words that begin 0, 5, 10, ...
+words before the anchor, and the ten words on either side). The first document of each finer bucket is verified likewise.
+So documents that share at least size + 4 equal words are found, whatever else their buckets hold, and no bucket is
+compared pair by pair.
+
+Clusters are the components of verified passages; overlapping passages of a document are one node. A passage is removed
+where an earlier document has it, so what stands in the first document of a cluster stays.
+
+Words are those of `words`. Rows with null text or doc_id take no part. A passage of fewer than `size` words is none, so
+shorter documents and lines have none. Rows with the same doc_id count as one document. Ties (the least doc_id, then the
+least place) are fixed. An empty table gives an empty result. Texts of any length are gone through whole, in blocks. Other
+columns are ignored, and kept by remove_repeats.
 """
 
 from __future__ import annotations
@@ -28,9 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankcut.llm.shared import Scratch, connected, mixed, slices
-from rankcut.llm.words import plain, shingles, word_hashes
+from rankcut.llm.words import PLACES, plain, shingles, sums, word_hashes
 
 SHINGLE = 5
+BLOCK = 1024  # words of a span at most, besides those around it
+GRAIN = 32  # ranges of words of first documents begin and end at multiples of it, so that many spans share them
+PIECE = 1 << 22  # shingles gone through at a time
 
 
 def tuned_bands(threshold: float, recall: float) -> int:
@@ -48,75 +63,216 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, bounds: np.ndarray, size: int, bands: int):
-    """(bucket, text, word) of all anchors."""
+    """(bucket, text, word) of all anchors. Of one shingle that stands again and again, the first and the last in each 32
+    words: each run of `size` words has one of them."""
     n = size - SHINGLE + 1
     s, first, sb = shingles(h, bounds, SHINGLE)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(sb))
-    place = np.arange(len(s), dtype=np.uint64)
     starts = np.zeros(len(s) + 1, np.int32)  # where a run of n shingles lies in one text
     whole = np.diff(sb) >= n
     np.add.at(starts, sb[:-1][whole], 1)
     np.add.at(starts, (sb[1:] - n + 1)[whole], -1)
-    ok = np.flatnonzero(np.cumsum(starts)[: max(len(s) - n + 1, 0)])
+    ok = np.cumsum(starts)[: max(len(s) - n + 1, 0)] > 0
     out = []
     for band in range(bands):
         x = mixed(s + np.uint64(band * 0x9E3779B9))
-        if len(ok):
-            least = sliding_least(x & np.uint64(0xFFFFFFFFFF000000) | place, n)[ok]
-            at = np.unique(least & np.uint64(0xFFFFFF)).astype(np.int64)
-            # of the same shingle again and again, one for each 64 words
-            key = np.stack([owner[at], x[at].view(np.int64), (first[at] - bounds[owner[at]]) >> 6])
-            at = at[np.sort(np.unique(key, axis=1, return_index=True)[1])]
-            out.append((x[at] + np.uint64(band), owner[at], first[at] - bounds[owner[at]]))
+        picked = []
+        for at in range(0, len(ok), PIECE):
+            part, live = x[at : at + PIECE + n - 1], ok[at : at + PIECE]
+            if live.any():
+                least = sliding_least(part & np.uint64(0xFFFFFFFFFF000000) | np.arange(len(part), dtype=np.uint64), n)[live]
+                picked.append(np.unique(least & np.uint64(0xFFFFFF)).astype(np.int64) + at)
+        if picked:
+            at = np.unique(np.concatenate(picked))
+            word = first[at] - bounds[owner[at]]
+            order = np.lexsort((at, word >> 5, x[at], owner[at]))
+            key = np.stack([owner[at], x[at].view(np.int64), word >> 5])[:, order]
+            new = np.ones(len(at) + 1, bool)
+            new[1:-1] = (key[:, 1:] != key[:, :-1]).any(0)
+            keep = np.sort(order[new[:-1] | new[1:]])
+            out.append((x[at[keep]] + np.uint64(band), owner[at[keep]], word[keep]))
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z
+        return z.astype(np.uint64), z, z
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def contexts(h: np.ndarray, words: np.ndarray, size: int) -> np.ndarray:
-    """(anchors, 2 * size + 3) 16-bit hashes of the words around each anchor, size - 5 before it; 0 where the text ends."""
-    reach = size - SHINGLE
-    at = words[:, None] + np.arange(-reach, size)
-    inside = (at >= 0) & (at < len(h))
-    return np.where(inside, (h[np.clip(at, 0, len(h) - 1)] >> np.uint64(48)) | np.uint64(1), 0).astype("<u2")
+def best_part(hit: np.ndarray, owner: np.ndarray, bounds: np.ndarray, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each slice of flags: from and to of the part with the greatest sum, a hit 1 and another -miss; empty slices and
+    those without a hit give from = to."""
+    n = len(bounds) - 1
+    lo, hi = bounds[:-1].copy(), bounds[:-1].copy()
+    if not len(hit):
+        return lo, hi
+    total = np.cumsum(np.where(hit, 1.0, -miss))
+    before = np.concatenate([[0.0], total[:-1]])
+    step = 4.0 * (np.abs(total).max() + 1)  # later slices lie lower, so that the running least begins anew
+    low = np.minimum.accumulate(before - owner * step) + owner * step
+    gain = total - low
+    some = np.flatnonzero(np.diff(bounds) > 0)
+    top = np.full(n, -1.0)
+    top[some] = np.maximum.reduceat(gain, bounds[some])
+    at = np.flatnonzero(gain >= top[owner] - 1e-9)
+    at = at[np.unique(owner[at], return_index=True)[1]]  # the first end with that sum
+    at = at[top[owner[at]] > 0]
+    # the last start with the least sum before it
+    begins = np.maximum.accumulate(np.where(before <= low + 1e-9, np.arange(len(hit)), -1))
+    lo[owner[at]], hi[owner[at]] = begins[at], at + 1
+    return lo, hi
+
+
+def keyed(s: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    return mixed(s ^ (owner.astype(np.uint64) + np.uint64(1)) * PLACES[7])
+
+
+def flat_shingles(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, slice, bounds) of arrays of word hashes, told apart by slice."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.concatenate([*words, np.zeros(0, np.uint32)]).astype(np.uint64)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    count = np.maximum(size - SHINGLE + 1, 0)
+    out = np.concatenate([[0], np.cumsum(count)])
+    owner = np.repeat(np.arange(len(size)), count)
+    at = np.arange(out[-1]) + np.repeat(bounds[:-1] - out[:-1], count)
+    s = np.zeros(len(at), np.uint64)
+    for k in range(SHINGLE):
+        s += mixed(h[at + k]) * PLACES[k]
+    return keyed(s, owner), owner, out
+
+
+def jaccard(a: np.ndarray, oa: np.ndarray, b: np.ndarray, ob: np.ndarray, n: int) -> np.ndarray:
+    """Exact Jaccard similarity of the sets of keyed shingles of each of n slices; 0 where both are empty."""
+    ka, ia = np.unique(a, return_index=True)
+    kb, ib = np.unique(b, return_index=True)
+    na, nb = np.bincount(oa[ia], minlength=n), np.bincount(ob[ib], minlength=n)
+    common = np.bincount(oa[ia][np.isin(ka, kb, assume_unique=True)], minlength=n)
+    return common / np.maximum(na + nb - common, 1)
+
+
+def inside(at: np.ndarray, owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return (at >= lo[owner]) & (at < hi[owner])
+
+
+def passages_of(a: list[np.ndarray], b: list[np.ndarray], size: int, threshold: float) -> tuple[np.ndarray, ...]:
+    """a[i] and b[i]: words around the two sides of a span. (i, from and to in a[i], from and to in b[i], Jaccard) of the
+    repeated passages."""
+    n, least = len(a), size - SHINGLE + 1
+    sa, oa, ba = flat_shingles(a)
+    sb, ob, bb = flat_shingles(b)
+    hit = np.isin(sa, sb)
+    place_a, place_b = np.arange(len(sa)), np.arange(len(sb))
+    out = []
 
+    def judge(which: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Parts lo to hi of the slices `which` of a (each part on its own): which of them are repeated passages."""
+        ok = np.flatnonzero(hi - lo >= least)
+        which, lo, hi = which[ok], lo[ok], hi[ok]
+        m = len(which)
+        if not m:
+            return ok
+        la = hi - lo
+        own = np.repeat(np.arange(m), la)
+        pa_ = np.repeat(lo - (np.cumsum(la) - la), la) + np.arange(la.sum())
+        lb = bb[which + 1] - bb[which]
+        ownb = np.repeat(np.arange(m), lb)
+        pb = np.repeat(bb[which] - (np.cumsum(lb) - lb), lb) + np.arange(lb.sum())
+        xa, xb = keyed(sa[pa_], own), keyed(sb[pb], ownb)
+        y0, y1 = best_part(np.isin(xb, xa), ownb, np.concatenate([[0], np.cumsum(lb)]), 1.0)
+        live = inside(np.arange(len(xb)), ownb, y0, y1)
+        j = jaccard(xa, own, xb[live], ownb[live], m)
+        good = (j >= threshold - 1e-12) & (y1 - y0 >= least)
+        base = np.cumsum(lb) - lb
+        out.append((which[good], (lo - ba[which])[good], (hi - ba[which])[good] + SHINGLE - 1, (y0 - base)[good], (y1 - base)[good] + SHINGLE - 1, j[good]))
+        return ok[good]
+
+    every = np.arange(n)
+    lo, hi = best_part(hit, oa, ba, 1.0)
+    open_ = np.ones(n, bool)
+    open_[judge(every, lo, hi)] = False
+    rest = np.flatnonzero(open_)
+    if len(rest):
+        lo, hi = best_part(hit, oa, ba, 3.0)
+        judge(rest, lo[rest], hi[rest])
+        edge = np.diff(np.concatenate([[0], (hit & open_[oa]).astype(np.int8), [0]]))
+        x, y = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        cut = ba[oa[x] + 1] if len(x) else x  # runs end with their slice
+        while (over := y > cut).any():
+            x, y, cut = np.concatenate([x, cut[over]]), np.concatenate([np.minimum(y, cut), y[over]]), np.concatenate([cut, ba[oa[cut[over]] + 1]])
+        judge(oa[x], x, y) if len(x) else None
+    if not out:
+        z = np.zeros(0, np.int64)
+        return z, z, z, z, z, np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-def alike(a: np.ndarray, b: np.ndarray, size: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of two arrays of contexts: whether some paragraph around the anchor is alike, and from and to where
-    (words from the anchor)."""
-    n = size - SHINGLE + 1
-    zero = lambda x: np.concatenate([np.zeros((len(x), 1), np.int16), np.cumsum(x, axis=1, dtype=np.int16)], 1)
-    eq = zero((a == b) & (a != 0))
-    same = zero(eq[:, SHINGLE:] - eq[:, :-SHINGLE] == SHINGLE)
-    live = zero((a != 0) & (b != 0))
-    common = same[:, n:] - same[:, :-n]
-    whole = live[:, size:] - live[:, :-size] == size
-    good = whole & (common >= threshold * (2 * n - common) - 1e-9)
-    first = np.argmax(good, 1)
-    last = good.shape[1] - 1 - np.argmax(good[:, ::-1], 1)
-    return good.any(1), first - (size - SHINGLE), last - (size - SHINGLE) + size
-
-
-def verified(links: DataFrame, size: int, threshold: float) -> DataFrame:
-    """links(a, wa, ca, b, wb, cb) of anchors and their contexts -> (a, wa, b, wb, x, y) of those in alike paragraphs, from
-    x to y words beyond the anchors."""
-    names = ["a", "wa", "b", "wb"]
-
-    def compare(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                ca, cb = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(part.num_rows, -1) for c in ("ca", "cb"))
-                ok, x, y = alike(ca, cb, size, threshold)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], [*names, "x", "y"]).filter(pa.array(ok))
 
-    return links.mapInArrow(compare, "a long, wa int, b long, wb int, x int, y int")
+def finer_keys(words: np.ndarray, start: int, place: np.ndarray, bucket: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, which place) of the exact surroundings of anchors at `place` (words of the text, of which `words` begins at
+    `start`)."""
+    h = mixed(words.astype(np.uint64))
+    run = np.concatenate([[np.uint64(0)], np.cumsum(h * (PLACES[9] ** np.arange(len(h), dtype=np.uint64)), dtype=np.uint64)])
+    undo = np.uint64(pow(int(PLACES[9]), -1, 1 << 64))
+    out = []
+    spans = [(-k, size - k, k) for k in range(0, size - SHINGLE + 1, 5)] + [(-10, SHINGLE, 101), (0, SHINGLE + 10, 102)]
+    for x, y, tag in spans:
+        lo, hi = place - start + x, place - start + y
+        ok = np.flatnonzero((lo >= 0) & (hi <= len(words)))
+        value = (run[hi[ok]] - run[lo[ok]]) * (undo ** lo[ok].astype(np.uint64))
+        out.append((mixed(value ^ mixed(bucket[ok].view(np.uint64) + np.uint64(tag))), ok))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+CHECKED = "a long, x0 int, x1 int, b long, y0 int, y1 int, jaccard double, key long, word int, from int, to int"
+
+
+def _verifier(size: int, threshold: float, keys: bool):
+    """Rows (a, from, to, words of a, b, b_from, words of b, and anchors where keys are wanted) -> rows of CHECKED:
+    repeated passages, with b; keys of anchors outside them, with b null."""
+    names = [c.split()[0] for c in CHECKED.split(", ")]
+
+    def verify(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                wa, wb = ([np.frombuffer(x or b"", "<u4") for x in part.column(c).to_pylist()] for c in ("wa", "wb"))
+                start, b_start = part.column("from").to_numpy(), pa.compute.fill_null(part.column("b_from"), 0).to_numpy()
+                i, x0, x1, y0, y1, j = passages_of(wa, wb, size, threshold)
+                take = lambda c, i=i, part=part: part.column(c).take(pa.array(i))
+                none = lambda kind, n=len(i): pa.nulls(n, kind)
+                ints = [pa.array((v + w[i]).astype(np.int32)) for v, w in ((x0, start), (x1, start), (y0, b_start), (y1, b_start))]
+                yield pa.RecordBatch.from_arrays(
+                    [take("a"), ints[0], ints[1], take("b"), ints[2], ints[3], pa.array(j), none(pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.int32())], names
+                )
+                if keys:
+                    lists = part.column("anchors")
+                    bounds, flat = lists.offsets.to_numpy(), lists.flatten()
+                    word, bucket = flat.field("word").to_numpy().astype(np.int64), flat.field("bucket").to_numpy()
+                    bounds = bounds - bounds[0]
+                    order = np.argsort(i, kind="stable")
+                    of = np.searchsorted(i[order], np.arange(part.num_rows + 1))
+                    found = []
+                    for r in range(part.num_rows):
+                        w, k = word[bounds[r] : bounds[r + 1]], bucket[bounds[r] : bounds[r + 1]]
+                        open_ = np.ones(len(w), bool)
+                        for q in order[of[r] : of[r + 1]]:
+                            open_ &= (w < x0[q] + start[r]) | (w + SHINGLE > x1[q] + start[r])
+                        if open_.any():
+                            key, which = finer_keys(wa[r], int(start[r]), w[open_], k[open_], size)
+                            found.append((key.view(np.int64), w[open_][which], np.full(len(key), r)))
+                    if found:
+                        key, w, r = (np.concatenate(c) for c in zip(*found, strict=True))
+                        n = len(key)
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column("a").take(pa.array(r)), *[pa.nulls(n, pa.int32())] * 2, pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int32())] * 2, pa.nulls(n, pa.float64()),
+                             pa.array(key), pa.array(w.astype(np.int32)), part.column("from").take(pa.array(r)), part.column("to").take(pa.array(r))],
+                            names,
+                        )
+
+    return verify
 
 
 def repeated_passages(docs: DataFrame, threshold: float = 0.8, recall: float = 0.95, size: int = 45) -> DataFrame:
-    """docs(doc_id, text) -> a row for each anchor in a cluster of several documents: (doc_id, first_word, end_word,
-    cluster_doc_id, cluster_word, removed); the cluster is named by its first anchor."""
+    """docs(doc_id, text) -> (doc_id, first_word, end_word, cluster_doc_id, cluster_word, removed), a row for each place of
+    a repeated passage; a cluster is named by its first document and the first word there."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     bands = tuned_bands(threshold, recall)
@@ -132,47 +288,79 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, recall: float = 0
                         ["bucket", "doc_id", "word"],
                     )
 
-    def around(batches):
+    def gather(batches):
         for b in batches:
             for at, to in slices(b.column("text")):
                 h, bounds = word_hashes(b.column("text").slice(at, to - at))
-                ids, wanted = b.column("doc_id").to_pylist(), b.column("at")
+                h = (h >> np.uint64(32)).astype("<u4")
                 for i in range(to - at):
-                    own = wanted[at + i].values
-                    bucket, word, lead = own.field("bucket"), own.field("word"), own.field("lead")
-                    place = word.to_numpy().astype(np.int64)
-                    fits = place < bounds[i + 1] - bounds[i]  # of rows with the same id, the anchors may be of another text
-                    near = contexts(h[bounds[i] : bounds[i + 1]], place[fits], size) if fits.any() else np.zeros((0, 1), "<u2")
-                    keep = pa.array(fits)
+                    own = h[bounds[i] : bounds[i + 1]]
+                    ranges = b.column("ranges")[at + i].values
+                    x, y = ranges.field("from"), ranges.field("to")
                     yield pa.RecordBatch.from_arrays(
-                        [bucket.filter(keep), pa.array([ids[at + i]] * len(near), pa.int64()), word.filter(keep), lead.filter(keep), pa.array([x.tobytes() for x in near], pa.binary())],
-                        ["bucket", "doc_id", "word", "lead", "context"],
+                        [b.column("doc_id").slice(at + i, 1).take(pa.array(np.zeros(len(x), np.int64))), x, y, pa.array([own[p:q].tobytes() for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.binary())],
+                        ["doc_id", "from", "to", "words"],
                     )
 
     found = scratch.keep(docs.mapInArrow(find, "bucket long, doc_id long, word int"), "anchors")
-    led = (
-        found.groupBy("bucket")
-        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min(F.xxhash64("doc_id")).alias("other"))
-        .where("first <> last")
+    led = found.groupBy("bucket").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b <> last").drop("last")
+    shared = scratch.keep(found.join(led.hint("merge"), "bucket"), "shared")
+    lead = shared.where("doc_id = b").groupBy("bucket").agg(F.min("word").alias("lead"))
+    # the first place in the first document leads; its other places stand for themselves
+    rows = shared.join(lead.hint("merge"), "bucket").where("doc_id <> b or word <> lead")
+    rows = rows.selectExpr("doc_id as a", "word", "bucket", "if(doc_id = b, null, b) as b", "if(doc_id = b, 0, word - lead) as shift")
+    spans = rows.groupBy("a", "b", "shift", F.expr(f"word div {BLOCK}")).agg(
+        F.min("word").alias("low"), F.max("word").alias("high"), F.collect_list(F.struct("word", "bucket")).alias("anchors")
     )
-    # of the first document of a bucket, and of one chosen by hash, the first anchor leads
-    leads = (F.col("doc_id") == F.col("first")) | (F.xxhash64("doc_id") == F.col("other"))
-    shared = found.join(led.hint("merge"), "bucket").select("bucket", "doc_id", "word", leads.alias("lead"))
-    by_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "word", "lead")).alias("at"))
-    near = docs.join(by_doc.hint("merge"), "doc_id").mapInArrow(around, "bucket long, doc_id long, word int, lead boolean, context binary")
-    near = scratch.keep(near.repartition("bucket"), "contexts")
-    lead = near.where("lead").groupBy("bucket", F.col("doc_id").alias("b")).agg(F.min(F.struct("word", "context")).alias("l"))
-    lead = lead.select("bucket", "b", F.col("l.word").alias("wb"), F.col("l.context").alias("cb"))
-    links = near.select("bucket", F.col("doc_id").alias("a"), F.col("word").alias("wa"), F.col("context").alias("ca")).join(lead.hint("merge"), "bucket").where("a <> b")
-    good = scratch.keep(verified(links, size, threshold), "verified")
-    edges = good.select(F.struct(F.col("a").alias("doc_id"), F.col("wa").alias("word")).alias("a"), F.struct(F.col("b").alias("doc_id"), F.col("wb").alias("word")).alias("b"))
-    scratch.drop(found, near)
-    roots = connected(edges, scratch, "clusters").select("node.doc_id", "node.word", F.col("root.doc_id").alias("cluster_doc_id"), F.col("root.word").alias("cluster_word"))
-    spans = good.selectExpr("a as doc_id", "wa as word", "wa + x as x", "wa + y as y").union(good.selectExpr("b", "wb", "wb + x", "wb + y"))
-    spans = spans.groupBy("doc_id", "word").agg(F.min("x").cast("long").alias("first_word"), F.max("y").cast("long").alias("end_word"))
-    return spans.join(roots, ["doc_id", "word"]).select(
-        "doc_id", "first_word", "end_word", "cluster_doc_id", "cluster_word", (F.col("doc_id") != F.col("cluster_doc_id")).alias("removed")
-    ).distinct()
+    reach = size + SHINGLE
+    spans = spans.selectExpr(
+        "a", f"cast(greatest(low - {reach}, 0) as int) as from", f"cast(high + {reach} + {SHINGLE} as int) as to", "b",
+        f"if(b is null, null, cast(greatest(low - shift - {reach + 8}, 0) div {GRAIN} * {GRAIN} as int)) as b_from",
+        f"if(b is null, null, cast((high - shift + {reach + 8 + SHINGLE}) div {GRAIN} * {GRAIN} + {GRAIN} as int)) as b_to",
+        "anchors",
+    )
+    spans = scratch.keep(spans, "spans")
+    wanted = spans.select(F.col("a").alias("doc_id"), "from", "to").union(spans.where("b is not null").select("b", "b_from", "b_to"))
+    by_doc = wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    words = docs.join(by_doc.hint("merge"), "doc_id").mapInArrow(gather, "doc_id long, from int, to int, words binary")
+    words = scratch.keep(words, "words")
+    scratch.drop(found, shared)
+    of_a = words.select(F.col("doc_id").alias("a"), "from", "to", F.col("words").alias("wa"))
+    of_b = words.select(F.col("doc_id").alias("b"), F.col("from").alias("b_from"), F.col("to").alias("b_to"), F.col("words").alias("wb"))
+
+    def both_sides(spans: DataFrame) -> DataFrame:
+        return spans.join(of_a.hint("merge"), ["a", "from", "to"]).join(of_b.hint("merge"), ["b", "b_from", "b_to"], "left")
+
+    checked = scratch.keep(both_sides(spans).select("a", "from", "to", "wa", "b", "b_from", "wb", "anchors").mapInArrow(_verifier(size, threshold, True), CHECKED), "checked")
+    finer = checked.where("b is null").select("key", "a", "word", "from", "to")
+    first = finer.groupBy("key").agg(F.min(F.struct("a", "word", "from", "to")).alias("l"), F.max("a").alias("last")).where("l.a <> last").select("key", "l")
+    again = finer.join(first.hint("merge"), "key").where("a <> l.a")
+    again = again.select("a", "from", "to", F.col("l.a").alias("b"), F.col("l.from").alias("b_from"), F.col("l.to").alias("b_to")).distinct()
+    more = both_sides(again).select("a", "from", "to", "wa", "b", "b_from", "wb").mapInArrow(_verifier(size, threshold, False), CHECKED)
+    links = ["a", "x0", "x1", "b", "y0", "y1"]
+    good = scratch.keep(checked.where("b is not null").select(links).union(more.select(links)).distinct(), "verified")
+    scratch.drop(spans, words, checked)
+    return clustered(good, scratch)
+
+
+def clustered(good: DataFrame, scratch: Scratch) -> DataFrame:
+    """good(a, x0, x1, b, y0, y1), b < a: passages of a that stand in b -> rows of repeated_passages."""
+    places = good.selectExpr("a as doc_id", "x0", "x1", "true as removed").union(good.selectExpr("b", "y0", "y1", "false"))
+    places = places.groupBy("doc_id", "x0", "x1").agg(F.max("removed").alias("removed"))
+    before = F.expr("max(x1) over (partition by doc_id order by x0, x1 rows between unbounded preceding and 1 preceding)")
+    begins = places.withColumn("begin", F.when(before.isNull() | (F.col("x0") >= before), F.col("x0")))
+    begins = begins.withColumn("begin", F.expr("max(begin) over (partition by doc_id order by x0, x1)"))
+    nodes = scratch.keep(begins.withColumn("node", F.xxhash64("doc_id", "begin")), "nodes")
+    a = nodes.select(F.col("doc_id").alias("a"), "x0", "x1", F.col("node").alias("na"))
+    b = nodes.select(F.col("doc_id").alias("b"), F.col("x0").alias("y0"), F.col("x1").alias("y1"), F.col("node").alias("nb"))
+    edges = good.join(a.hint("merge"), ["a", "x0", "x1"]).join(b.hint("merge"), ["b", "y0", "y1"]).selectExpr("na as a", "nb as b")
+    roots = scratch.keep(connected(edges, scratch, "clusters"), "roots")
+    in_cluster = nodes.join(roots.hint("merge"), "node")
+    named = in_cluster.groupBy("root").agg(F.min(F.struct("doc_id", "x0")).alias("first"))
+    return in_cluster.join(named.hint("merge"), "root").select(
+        "doc_id", F.col("x0").cast("long").alias("first_word"), F.col("x1").cast("long").alias("end_word"),
+        F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.x0").alias("cluster_word"), "removed",
+    )
 
 
 def remove_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:

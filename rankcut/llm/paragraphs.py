@@ -36,11 +36,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankcut.llm.shared import Scratch, connected, mixed, slices
-from rankcut.llm.words import PLACES, plain, shingles, sums, word_hashes
+from rankcut.llm.words import PLACES, plain, shingles, word_hashes
 
 SHINGLE = 5
 BLOCK = 1024  # words of a span at most, besides those around it
@@ -85,10 +86,10 @@ def anchors(h: np.ndarray, bounds: np.ndarray, size: int, bands: int):
         if picked:
             at = np.unique(np.concatenate(picked))
             word = first[at] - bounds[owner[at]]
-            order = np.lexsort((at, word >> 5, x[at], owner[at]))
-            key = np.stack([owner[at], x[at].view(np.int64), word >> 5])[:, order]
+            key = x[at] ^ mixed((owner[at] << 32 | word >> 5).astype(np.uint64))
+            order = np.argsort(key, kind="stable")
             new = np.ones(len(at) + 1, bool)
-            new[1:-1] = (key[:, 1:] != key[:, :-1]).any(0)
+            new[1:-1] = key[order[1:]] != key[order[:-1]]
             keep = np.sort(order[new[:-1] | new[1:]])
             out.append((x[at[keep]] + np.uint64(band), owner[at[keep]], word[keep]))
     if not out:
@@ -125,18 +126,35 @@ def keyed(s: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return mixed(s ^ (owner.astype(np.uint64) + np.uint64(1)) * PLACES[7])
 
 
-def flat_shingles(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle, slice, bounds) of arrays of word hashes, told apart by slice."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    h = np.concatenate([*words, np.zeros(0, np.uint32)]).astype(np.uint64)
-    bounds = np.concatenate([[0], np.cumsum(size)])
+def slices_of(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers of a binary column in a row, bounds of each row); null counts as empty."""
+    column = column.fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data is not None else np.zeros(0, kind)
+    return flat, (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
+def gathered_rows(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    """A binary column of the slices lo to hi of an array."""
+    n = np.maximum(hi - lo, 0)
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1] if len(n) else 0) + np.repeat(lo - (ends - n), n)
+    offsets = np.concatenate([[0], ends * data.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
+
+def flat_shingles(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, slice, bounds) of slices of word hashes, told apart by slice."""
+    size = np.diff(bounds)
+    h = mixed(words)
     count = np.maximum(size - SHINGLE + 1, 0)
     out = np.concatenate([[0], np.cumsum(count)])
     owner = np.repeat(np.arange(len(size)), count)
     at = np.arange(out[-1]) + np.repeat(bounds[:-1] - out[:-1], count)
     s = np.zeros(len(at), np.uint64)
     for k in range(SHINGLE):
-        s += mixed(h[at + k]) * PLACES[k]
+        s += h[at + k] * PLACES[k]
     return keyed(s, owner), owner, out
 
 
@@ -153,14 +171,13 @@ def inside(at: np.ndarray, owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     return (at >= lo[owner]) & (at < hi[owner])
 
 
-def passages_of(a: list[np.ndarray], b: list[np.ndarray], size: int, threshold: float) -> tuple[np.ndarray, ...]:
-    """a[i] and b[i]: words around the two sides of a span. (i, from and to in a[i], from and to in b[i], Jaccard) of the
-    repeated passages."""
-    n, least = len(a), size - SHINGLE + 1
-    sa, oa, ba = flat_shingles(a)
-    sb, ob, bb = flat_shingles(b)
+def passages_of(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int, threshold: float) -> tuple[np.ndarray, ...]:
+    """a and b: words around the two sides of spans, and the bounds of each span. (span, from and to in a, from and to in
+    b, Jaccard) of the repeated passages."""
+    n, least = len(a[1]) - 1, size - SHINGLE + 1
+    sa, oa, ba = flat_shingles(*a)
+    sb, ob, bb = flat_shingles(*b)
     hit = np.isin(sa, sb)
-    place_a, place_b = np.arange(len(sa)), np.arange(len(sb))
     out = []
 
     def judge(which: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -205,19 +222,23 @@ def passages_of(a: list[np.ndarray], b: list[np.ndarray], size: int, threshold:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def finer_keys(words: np.ndarray, start: int, place: np.ndarray, bucket: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, which place) of the exact surroundings of anchors at `place` (words of the text, of which `words` begins at
-    `start`)."""
-    h = mixed(words.astype(np.uint64))
-    run = np.concatenate([[np.uint64(0)], np.cumsum(h * (PLACES[9] ** np.arange(len(h), dtype=np.uint64)), dtype=np.uint64)])
-    undo = np.uint64(pow(int(PLACES[9]), -1, 1 << 64))
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def finer_keys(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, bucket: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, which anchor) of the exact surroundings of anchors: at is the place of each in `words`, of which lo to hi are
+    those of its text."""
+    up, down = powers(int(PLACES[9]), len(words)), powers(pow(int(PLACES[9]), -1, 1 << 64), len(words) + 1)
+    run = np.concatenate([[np.uint64(0)], np.cumsum(mixed(words) * up[: len(words)], dtype=np.uint64)])
     out = []
-    spans = [(-k, size - k, k) for k in range(0, size - SHINGLE + 1, 5)] + [(-10, SHINGLE, 101), (0, SHINGLE + 10, 102)]
-    for x, y, tag in spans:
-        lo, hi = place - start + x, place - start + y
-        ok = np.flatnonzero((lo >= 0) & (hi <= len(words)))
-        value = (run[hi[ok]] - run[lo[ok]]) * (undo ** lo[ok].astype(np.uint64))
-        out.append((mixed(value ^ mixed(bucket[ok].view(np.uint64) + np.uint64(tag))), ok))
+    around = [(-k, size - k, k) for k in range(0, size - SHINGLE + 1, 5)] + [(-10, SHINGLE, 101), (0, SHINGLE + 10, 102)]
+    for x, y, tag in around:
+        ok = np.flatnonzero((at + x >= lo) & (at + y <= hi))
+        x, y = at[ok] + x, at[ok] + y
+        out.append((mixed((run[y] - run[x]) * down[x] ^ mixed(bucket[ok].view(np.uint64) + np.uint64(tag))), ok))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -233,39 +254,32 @@ def _verifier(size: int, threshold: float, keys: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                wa, wb = ([np.frombuffer(x or b"", "<u4") for x in part.column(c).to_pylist()] for c in ("wa", "wb"))
-                start, b_start = part.column("from").to_numpy(), pa.compute.fill_null(part.column("b_from"), 0).to_numpy()
+                wa, wb = slices_of(part.column("wa"), "<u4"), slices_of(part.column("wb"), "<u4")
+                start, b_start = part.column("from").to_numpy(), pc.fill_null(part.column("b_from"), 0).to_numpy()
                 i, x0, x1, y0, y1, j = passages_of(wa, wb, size, threshold)
-                take = lambda c, i=i, part=part: part.column(c).take(pa.array(i))
-                none = lambda kind, n=len(i): pa.nulls(n, kind)
                 ints = [pa.array((v + w[i]).astype(np.int32)) for v, w in ((x0, start), (x1, start), (y0, b_start), (y1, b_start))]
+                row = pa.array(i)
                 yield pa.RecordBatch.from_arrays(
-                    [take("a"), ints[0], ints[1], take("b"), ints[2], ints[3], pa.array(j), none(pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.int32())], names
+                    [part.column("a").take(row), *ints[:2], part.column("b").take(row), *ints[2:], pa.array(j), pa.nulls(len(i), pa.int64()), *[pa.nulls(len(i), pa.int32())] * 3], names
                 )
                 if keys:
                     lists = part.column("anchors")
-                    bounds, flat = lists.offsets.to_numpy(), lists.flatten()
-                    word, bucket = flat.field("word").to_numpy().astype(np.int64), flat.field("bucket").to_numpy()
-                    bounds = bounds - bounds[0]
-                    order = np.argsort(i, kind="stable")
-                    of = np.searchsorted(i[order], np.arange(part.num_rows + 1))
-                    found = []
-                    for r in range(part.num_rows):
-                        w, k = word[bounds[r] : bounds[r + 1]], bucket[bounds[r] : bounds[r + 1]]
-                        open_ = np.ones(len(w), bool)
-                        for q in order[of[r] : of[r + 1]]:
-                            open_ &= (w < x0[q] + start[r]) | (w + SHINGLE > x1[q] + start[r])
-                        if open_.any():
-                            key, which = finer_keys(wa[r], int(start[r]), w[open_], k[open_], size)
-                            found.append((key.view(np.int64), w[open_][which], np.full(len(key), r)))
-                    if found:
-                        key, w, r = (np.concatenate(c) for c in zip(*found, strict=True))
-                        n = len(key)
-                        yield pa.RecordBatch.from_arrays(
-                            [part.column("a").take(pa.array(r)), *[pa.nulls(n, pa.int32())] * 2, pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int32())] * 2, pa.nulls(n, pa.float64()),
-                             pa.array(key), pa.array(w.astype(np.int32)), part.column("from").take(pa.array(r)), part.column("to").take(pa.array(r))],
-                            names,
-                        )
+                    flat, of = lists.flatten(), np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                    place, bucket = flat.field("word").to_numpy() - start[of] + wa[1][of], flat.field("bucket").to_numpy()
+                    # an anchor is settled where a passage of its span covers it
+                    edge = np.zeros(len(wa[0]) + 2, np.int32)
+                    np.add.at(edge, wa[1][i] + x0, 1)
+                    np.add.at(edge, np.maximum(wa[1][i] + x1 - SHINGLE + 1, wa[1][i] + x0), -1)
+                    covered = np.cumsum(edge) > 0
+                    fits = place + SHINGLE <= wa[1][of + 1]  # of rows with the same id, the anchors may be of another text
+                    open_ = np.flatnonzero(fits & ~covered[np.minimum(place, len(covered) - 1)])
+                    key, which = finer_keys(wa[0], wa[1][of[open_]], wa[1][of[open_] + 1], place[open_], bucket[open_], size)
+                    row, n = pa.array(of[open_][which]), len(key)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("a").take(row), *[pa.nulls(n, pa.int32())] * 2, pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int32())] * 2, pa.nulls(n, pa.float64()),
+                         pa.array(key.view(np.int64)), flat.field("word").take(pa.array(open_[which])), part.column("from").take(row), part.column("to").take(row)],
+                        names,
+                    )
 
     return verify
 
@@ -293,14 +307,12 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, recall: float = 0
             for at, to in slices(b.column("text")):
                 h, bounds = word_hashes(b.column("text").slice(at, to - at))
                 h = (h >> np.uint64(32)).astype("<u4")
-                for i in range(to - at):
-                    own = h[bounds[i] : bounds[i + 1]]
-                    ranges = b.column("ranges")[at + i].values
-                    x, y = ranges.field("from"), ranges.field("to")
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").slice(at + i, 1).take(pa.array(np.zeros(len(x), np.int64))), x, y, pa.array([own[p:q].tobytes() for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.binary())],
-                        ["doc_id", "from", "to", "words"],
-                    )
+                lists = b.column("ranges").slice(at, to - at)
+                n, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+                of = np.repeat(np.arange(to - at), n)
+                x, y = (flat.field(c) for c in ("from", "to"))
+                lo, hi = (np.minimum(v.to_numpy() + bounds[of], bounds[of + 1]) for v in (x, y))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at + of)), x, y, gathered_rows(h, lo, hi)], ["doc_id", "from", "to", "words"])
 
     found = scratch.keep(docs.mapInArrow(find, "bucket long, doc_id long, word int"), "anchors")
     led = found.groupBy("bucket").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b <> last").drop("last")
@@ -356,7 +368,8 @@ def clustered(good: DataFrame, scratch: Scratch) -> DataFrame:
     edges = good.join(a.hint("merge"), ["a", "x0", "x1"]).join(b.hint("merge"), ["b", "y0", "y1"]).selectExpr("na as a", "nb as b")
     roots = scratch.keep(connected(edges, scratch, "clusters"), "roots")
     in_cluster = nodes.join(roots.hint("merge"), "node")
-    named = in_cluster.groupBy("root").agg(F.min(F.struct("doc_id", "x0")).alias("first"))
+    # stored, so that the join can split the rows of a large cluster
+    named = scratch.keep(in_cluster.groupBy("root").agg(F.min(F.struct("doc_id", "x0")).alias("first")), "named")
     return in_cluster.join(named.hint("merge"), "root").select(
         "doc_id", F.col("x0").cast("long").alias("first_word"), F.col("x1").cast("long").alias("end_word"),
         F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.x0").alias("cluster_word"), "removed",

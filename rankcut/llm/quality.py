@@ -10,9 +10,11 @@ The fit takes a bounded sample of the labelled documents, `sample` of them by th
 parameter); their features, some tens of MB at most, go to one task, and the weights to the driver. Scoring covers all
 documents.
 
-Rows of labels with a null are left out; of several for one doc_id the lowest grade counts. Without labelled documents
+Rows of labels with a null are left out; of several for one doc_id the lowest grade counts. Of labelled rows with one doc_id
+and different texts the fit takes the text with the least hash. Without labelled documents
 no feature has a weight and the thresholds are such that every document is kept. Null text counts as empty. Rows that
-repeat get equal scores. An empty table gives an empty result. Other columns are ignored, and kept by select_quality.
+repeat get equal scores. Very long texts are scored whole. An empty table gives an empty result. Other columns, whatever their
+names (but for _grade), are ignored, and kept by select_quality.
 """
 
 from __future__ import annotations
@@ -26,11 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankcut.llm.shared import slices
-from rankcut.llm.words import looked_up, split_words
+from rankcut.llm.words import LIMIT, known, looked_up, split_words
 
 SLOTS = 1 << 18
 SIGNS = re.compile(r"[^\W_]+|[^\w\s]+")
-_PARTS: dict[str, list[int]] = {}
 
 
 def slot(feature: str) -> int:
@@ -39,14 +40,17 @@ def slot(feature: str) -> int:
     return xxhash.xxh3_64_intdigest(feature) % SLOTS
 
 
-def _parts(word: str) -> list[int]:
-    if (got := _PARTS.get(word)) is None:
-        if len(_PARTS) > 300_000:
-            _PARTS.clear()
-        got = [slot(x.lower()) for x in SIGNS.findall(word)]
-        if len(word) <= 64:
-            _PARTS[word] = got
-    return got
+def _parts(words: list[str]) -> list[list[int]]:
+    own = known("quality", "parts")
+    if len(own) > LIMIT:
+        own.clear()
+    out = list(map(own.get, words))
+    for i, got in enumerate(out):
+        if got is None:
+            out[i] = [slot(x.lower()) for x in SIGNS.findall(words[i])]
+            if len(words[i]) <= 64:
+                own[words[i]] = out[i]
+    return out
 
 
 def _shape(word: str) -> int:
@@ -62,7 +66,9 @@ def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndar
     codes, words, bounds = split_words(texts)
     n = np.diff(bounds)
     owner = np.repeat(np.arange(len(n)), n)
-    parts = [_parts(w) if wanted is None else [s for s in _parts(w) if wanted[s]] for w in words]
+    parts = _parts(words)
+    if wanted is not None:
+        parts = [[s for s in p if wanted[s]] for p in parts]
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     flat = np.fromiter((s for p in parts for s in p), np.int64, int(size.sum()))
     first = np.cumsum(size) - size
@@ -71,7 +77,7 @@ def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndar
         k = size[codes[hit]]
         at = np.repeat(first[codes[hit]], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
         keys = [np.unique(np.repeat(owner[hit], k) * SLOTS + flat[at])]
-        shape = looked_up(words, "shape", _shape)[codes]
+        shape = looked_up(words, "quality", "shape", _shape)[codes]
         again = np.zeros(len(codes), bool)
         again[1:] = (shape[1:] == shape[:-1]) & (owner[1:] == owner[:-1])
         for name, flag in (("again", again), ("capitals", shape & np.uint64(1) == 1)):
@@ -160,7 +166,8 @@ def fit(docs: DataFrame, grades: DataFrame, steps: int = 2, sample: int = 20_000
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "grade")  # `sample` rows
-    found = rows.mapInArrow(slots, f"doc_id {kind}, grade int, slots array<int>").dropDuplicates(["doc_id"])
+    found = rows.mapInArrow(slots, f"doc_id {kind}, grade int, slots array<int>")
+    found = found.groupBy("doc_id").agg(F.min_by(F.struct("grade", "slots"), F.xxhash64("slots")).alias("r")).select("doc_id", "r.*")
     learnt = found.repartition(1).mapInArrow(learn, "slot long, weight double").toPandas()  # SLOTS + steps rows at most
     weights, thresholds = np.zeros(SLOTS), np.full(steps, -10.0)
     of_slot = learnt[learnt.slot >= 0]
@@ -171,26 +178,29 @@ def fit(docs: DataFrame, grades: DataFrame, steps: int = 2, sample: int = 20_000
 
 
 def scored(docs: DataFrame, model: Ordinal, least: float) -> DataFrame:
-    """docs with expected_grade, p_top (of the highest grade) and kept."""
+    """docs with one more column _grade: struct<expected_grade, p_top (of the highest grade), kept>."""
     given = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["expected_grade", "p_top", "kept"]
 
     def score(batches):
         for b in batches:
-            parts = [given.value.tails(b.column("text").slice(at, to - at)) for at, to in slices(b.column("text"))]
+            text = b.column(b.schema.get_field_index("text"))
+            parts = [given.value.tails(text.slice(at, to - at)) for at, to in slices(text)]
             tail = np.concatenate(parts) if parts else np.zeros((0, 1))
-            columns = [*b.columns, pa.array(tail.sum(1)), pa.array(tail[:, -1]), pa.array(tail[:, -1] >= least)]
-            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "expected_grade", "p_top", "kept"])
+            grade = pa.StructArray.from_arrays([pa.array(tail.sum(1)), pa.array(tail[:, -1]), pa.array(tail[:, -1] >= least)], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, grade], [*b.schema.names, "_grade"])
 
+    docs = docs.drop("_grade")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{kinds}, expected_grade double, p_top double, kept boolean")
+    return docs.mapInArrow(score, f"{kinds}, _grade struct<expected_grade: double, p_top: double, kept: boolean>")
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7, sample: int = 20_000) -> DataFrame:
     """docs(doc_id, text), labels -> (doc_id, expected_grade, p_top, kept)."""
     model = fit(docs, graded(labels), sample=sample)
-    return scored(docs.select("doc_id", "text"), model, least).drop("text")
+    return scored(docs.select("doc_id", "text"), model, least).select("doc_id", "_grade.*")
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, least: float = 0.7, sample: int = 20_000) -> DataFrame:
     """The documents that are kept."""
-    return scored(docs, fit(docs, graded(labels), sample=sample), least).where("kept").select(*docs.columns)
+    return scored(docs, fit(docs, graded(labels), sample=sample), least).where("_grade.kept").select(*docs.columns)

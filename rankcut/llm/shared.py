@@ -91,39 +91,31 @@ def string_hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((h(w) for w in words.to_pylist()), np.uint64, len(words))
 
 
-def connected(edges: DataFrame, scratch: Scratch, tag: str, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """Connected components of edges(a, b): (node, root), root the least node of the component.
 
     Rounds of large-star and small-star (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014), each
-    written to the shared folder; ends when a round changes nothing. Nothing is collected but two sums.
+    written to the shared folder; ends when a round changes nothing. Nothing is collected but two sums. The joins deal
+    their results out anew by both ends, so that the rows of a hub can be split over tasks.
     """
-    spark = scratch.spark
     cur = scratch.keep(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), tag
     )
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = cur.union(cur.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        # small star: each node's smaller neighbours are tied to the least of them
-        large = large.distinct()
+        low = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m"), tag)
+        large = cur.selectExpr("b as c", "a as b").join(low.hint("merge"), F.col("c") == F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # a larger neighbour is tied to the least of all neighbours; small star: a node's smaller neighbours to the least of them
+        large = scratch.keep(large.union(low.select("a", F.col("m").alias("b"))).where("a <> b").repartition("a", "b").distinct(), tag)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(least, "a")
-            .select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e"))
-            .select(F.col("e.x").alias("a"), F.col("e.y").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        nxt = scratch.keep(small, tag)
+        small = large.join(least.hint("merge"), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        nxt = scratch.keep(small.where("a <> b").repartition("a", "b").distinct(), tag)
         row = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(cur)
+        scratch.drop(cur, low, large)
         cur = nxt
         if tuple(row) == seen:
             break
         seen = tuple(row)
-    else:
-        raise RuntimeError("components did not settle")
     roots = cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -15,12 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from rankcut.llm.shared import slices
+from rankcut.llm.words import known
 
 TOKENIZER = "word_bpe_49k.json"
 
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
 _PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-_CACHES: dict[tuple[str, int], TokenCache] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,7 +39,7 @@ def byte_letters() -> dict[int, str]:
 class TokenCache:
     """Ids of texts. limit bounds the words kept; when it is reached the kept words are let go and gathered anew."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -100,11 +100,12 @@ class TokenCache:
         return pool[at + np.arange(len(at))], counts
 
 
-def cache(path: str, limit: int = 600_000) -> TokenCache:
+def cache(path: str, limit: int = 150_000) -> TokenCache:
     """This worker process's cache."""
-    if (path, limit) not in _CACHES:
-        _CACHES[path, limit] = TokenCache(path, limit)
-    return _CACHES[path, limit]
+    own = known("tokens", "caches")
+    if (path, limit) not in own:
+        own[path, limit] = TokenCache(path, limit)
+    return own[path, limit]
 
 
 def encoded(texts: pa.Array, path: str, want_ids: bool = True):

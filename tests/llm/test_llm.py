@@ -272,7 +272,7 @@ def test_best_part_and_jaccard_by_brute_force():
     voc = g.integers(1, 1 << 32, 900, dtype=np.uint64).astype("<u4")
     p = g.choice(voc, 70)
     q = np.delete(p, 30)
-    i, x0, x1, y0, y1, j = paragraphs.passages_of([p], [q], 45, 0.8)
+    i, x0, x1, y0, y1, j = paragraphs.passages_of(*((w, np.array([0, len(w)])) for w in (p, q)), 45, 0.8)
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (p[x0[0] : x1[0]], q[y0[0] : y1[0]])]
     assert j[0] == pytest.approx(len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
 
@@ -293,12 +293,70 @@ def test_decontamination(spark, docs, none):
     )
     got = {(r.doc_id, r.item_id): r.reparameterised for r in decontamination.contaminated(planted, bench).collect()}
     assert got == {(100, 1): False, (101, 1): True, (103, 2): False}
-    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(planted, bench, block=3).collect()} == set(got)
     assert decontamination.contaminated(docs, bench).count() == 0 and decontamination.contaminated(none, bench).count() == 0
     kept = decontamination.without_contaminated(planted, decontamination.contaminated(planted, bench))
     assert {r.doc_id for r in kept.collect()} == {102, 104}
 
 
+def test_reparameterised_questions(spark):
+    """Slots of more or fewer words, number words, a word more or less, a part of a long item, items without literals."""
+    g = np.random.default_rng(31)
+    voc = [w for w in WORDS[:80]]
+    long = [f"{w}{i}x" for i, w in enumerate(g.choice(voc, 250))]
+    long = [re.sub(r"\d", lambda m: "abcdefghij"[int(m[0])], w) for w in long]
+    bench = spark.createDataFrame(
+        [
+            (1, "A train that left with Anna Smith on board goes 12 km in the first hour and 5 km in the next so how far did Anna Smith go"),
+            (2, " ".join(long)),
+            (3, "1 2 3 4 5 6 7 8 9 10 11 12"),
+            (1, "A train that left with Anna Smith on board goes 12 km in the first hour and 5 km in the next so how far did Anna Smith go"),
+        ],
+        "item_id long, text string",
+    )
+    rows = [
+        (1, "Now. A train that left with Bob on board goes 40 miles in the first hour and 7 miles in the next so how far did Bob go"),
+        (2, "Now. A train that left with Eve on board goes twenty five km in the first hour and six km in the next so how far did Eve go"),
+        (3, "Now. A train that left with Eve Miller on board goes 3 km in the very first hour and 9 km in the next so how far did Eve Miller go"),
+        (4, "Now. A train that left with Bob on board goes 40 km in the first hour and 7 km in the next so how far did Peter Jones go and Eve too"),
+        (5, "other text " + " ".join(long[100:130]) + " and more"),
+        (6, "take 1 2 3 4 5 6 7 8 9 10 11 12 now"),
+        (7, " ".join(long[10:18]) + " nothing else"),
+        (7, " ".join(long[10:18]) + " nothing else"),
+        (8, " ".join(f"{w} " for w in g.choice(voc, 60_000)) + " ".join(long[:40])),
+        (None, " ".join(long)),
+    ]
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, hash int, item_id string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs, bench).collect()}
+    assert set(got) >= {(1, 1), (2, 1), (3, 1), (5, 2), (6, 3), (8, 2)} and not {d for d, _ in got} & {7, None}
+    assert all(got[d, 1].reparameterised for d in (1, 2, 3)) and not got[5, 2].reparameterised
+
+
+def test_traits_of_words():
+    from rankcut.llm import words as w
+
+    texts = ["Anna 12 12km 12 kilometres x9 Über über A. End? (Smith) 3.5% ÉÉ"]
+    h, bounds, t = w.words_of(pa.array(texts), traits=True)
+    assert bounds.tolist() == [0, 13]
+    assert [int(x) for x in t] == [2, 1, 1, 1, 0, 0, 2, 0, 4, 6, 2, 1, 0]
+
+
+def test_word_hashes_are_those_of_plain_words(monkeypatch):
+    from rankcut.llm import words as w
+
+    g = np.random.default_rng(32)
+    signs = list("aÉß 'sS<|>.,;:!?_-~^`\t\n\x0b\x1c\x85 ́ Ⅷ½9٣中ﬁİ×÷ÿŸKéàÀ zZ  ")
+    texts = ["".join(g.choice(signs, int(n))) for n in g.integers(0, 80, 300)] + [None, "", "a" * 500 + " b", "x y" * 200]
+    seen = {}
+    for block in (1 << 20, 64, 7):
+        monkeypatch.setattr(w, "BLOCK", block)
+        h, bounds = w.word_hashes(pa.array(texts))
+        for i, t in enumerate(texts):
+            want = [p for p in map(w.plain, re.split("[ \t\n\x0b\f\r]+", t or "")) if p]
+            assert len(want) == bounds[i + 1] - bounds[i]
+            assert all(seen.setdefault(x, y) == y for x, y in zip(want, h[bounds[i] : bounds[i + 1]].tolist(), strict=True))
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_quality(spark, none):
     g = np.random.default_rng(4)
     bad = ["vile", "rotten", "awful"]
@@ -317,6 +375,8 @@ def test_quality(spark, none):
     right = [got[i].kept == (i % 3 != 0 and i % 5 != 0) for i in held]
     assert np.mean(right) > 0.95
     assert all(0 <= r.p_top <= 1 and r.p_top <= r.expected_grade <= 2 for r in got.values())
+    clash = docs.selectExpr("*", "1 as kept", "'x' as p_top", "2.0 as expected_grade")
+    assert quality.select_quality(clash, lab).columns == clash.columns and quality.classify(clash, lab).columns == ["doc_id", "expected_grade", "p_top", "kept"]
     kept = quality.select_quality(docs, lab)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
     assert quality.classify(none, lab).count() == 0

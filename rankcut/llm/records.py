@@ -8,9 +8,10 @@ A file holds records in a row. A record is
 which is the TFRecord framing. The index is a table with the file, byte offset and length of each record, and how many
 ids stand before it in its file, so a reader can take records in any order.
 
-Documents are dealt to files by ranges of doc_id and sorted within. A task writes under a name of its own and then moves
-the file to its final name; a task that runs again writes the same bytes, so a lost executor or a second attempt does no
-harm. Null text counts as empty, a null doc_id comes first (stored as the least 64-bit number and given back as null),
+Documents are dealt to files by ranges of doc_id (rows with one doc_id by a hash of their text) and sorted within. A task
+writes under a name of its own and then moves the file to its final name; a task that runs again writes the same bytes, so
+a lost executor or a second attempt does no harm, and an attempt that fails deletes what it wrote. Very long texts are one
+record each. Null text counts as empty, a null doc_id comes first (stored as the least 64-bit number and given back as null),
 rows that repeat are records each. An empty table writes no file. Other columns are ignored.
 """
 
@@ -21,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,30 +96,51 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return (crc >> 15 | crc << 17) + np.uint32(MASK)
 
 
-def frame(datas: list[bytes]) -> tuple[bytes, np.ndarray]:
-    """Records of the given data in a row; the length in bytes of each."""
-    n = np.fromiter(map(len, datas), np.int64, len(datas))
-    heads = n.astype("<u8").view(np.uint8)
-    head_crc = masked(crc32c_of(heads, np.arange(len(n)) * 8, np.full(len(n), 8)))
-    body = np.frombuffer(b"".join(datas), np.uint8)
-    body_crc = masked(crc32c_of(body, np.cumsum(n) - n, n))
-    out = []
-    for i, data in enumerate(datas):
-        out += (heads[8 * i : 8 * i + 8].tobytes(), head_crc[i].astype("<u4").tobytes(), data, body_crc[i].astype("<u4").tobytes())
-    return b"".join(out), n + 16
-
-
-def unframe(buf: bytes, at: np.ndarray, size: np.ndarray) -> list[memoryview]:
-    """Data of the records at the given places of a buffer; raises where a length or checksum is wrong."""
-    raw = np.frombuffer(buf, np.uint8)
+def framed(docs: np.ndarray, ids: np.ndarray, counts: np.ndarray, end: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of a record for each document, their lengths); ids: those of all documents in a row, counts[i] of each."""
+    n = counts + 1
+    size = 24 + width * n
+    starts = np.cumsum(size) - size
+    buf = np.empty(int(size.sum()), np.uint8)
+    unit, first = buf.view(f"<u{width}"), starts // width  # every field begins at a multiple of the width
+
+    def put(at: int, values: np.ndarray) -> None:
+        own = np.ascontiguousarray(values).view(f"<u{width}").reshape(len(n), -1)
+        for k in range(own.shape[1]):
+            unit[first + at // width + k] = own[:, k]
+
+    put(0, (size - 16).astype("<u8"))
+    put(12, docs.astype("<i8"))
+    at = np.repeat(first + 20 // width - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))
+    unit[at] = ids
+    unit[first + 20 // width + counts] = end
+    put(8, masked(crc32c_of(buf, starts, np.full(len(n), 8))).astype("<u4"))
+    crc = masked(crc32c_of(buf, starts + 12, size - 16)).astype("<u4").view(f"<u{width}").reshape(len(n), -1)
+    for k in range(crc.shape[1]):
+        unit[first + (size - 4) // width + k] = crc[:, k]
+    return buf, size
+
+
+def unframed(raw: np.ndarray, at: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc ids, all ids in a row, number of ids of each) of the records at the given places of a buffer; raises where a
+    length or checksum is wrong."""
     take = lambda p, kind, n: np.stack([raw[p + i] for i in range(n)], 1).copy().view(kind)[:, 0]
     n = take(at, "<u8", 8).astype(np.int64)
     if (n != size - 16).any() or (take(at + 8, "<u4", 4) != masked(crc32c_of(raw, at, np.full(len(at), 8)))).any():
         raise ValueError("a record's length is damaged")
     if (take(at + 12 + n, "<u4", 4) != masked(crc32c_of(raw, at + 12, n))).any():
         raise ValueError("a record's data is damaged")
-    view = memoryview(buf)
-    return [view[int(a) + 12 : int(a + 12 + k)] for a, k in zip(at, n, strict=True)]
+    counts = (n - 8) // width
+    unit = raw[: len(raw) // width * width].view(f"<u{width}")
+    where = np.repeat((at + 20) // width - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    return take(at + 12, "<i8", 8), unit[where], counts
+
+
+def width_for(tokenizer: str, end: int) -> int:
+    """Bytes of an id: 2 where the tokenizer's vocabulary and the end id allow it, else 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end) < 1 << 16 else 4
 
 
 def _files(uri: str):
@@ -129,12 +152,13 @@ def _files(uri: str):
 INDEX = "file string, nth long, doc_id long, byte_offset long, byte_length long, n_tokens long, ids_before long"
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = 1, width: int = 2) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = 1, width: int | None = None) -> DataFrame:
     """Writes docs(doc_id, text) to files in `folder` in order of doc_id; returns the rows of the index.
 
-    The files are written when the result is computed: store it once (write_index) and read it from there.
+    The files are written when the result is computed: store it once and read it from there.
     """
     path = tokenizer or tokenizer_path(TOKENIZER)
+    width = width or width_for(path, end)
     run = uuid.uuid4().hex
 
     def write(batches):
@@ -145,42 +169,44 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
         fs, root = _files(folder)
         out, nth, place, before = None, 0, 0, 0
         temp = f"{root}/_{run}-{context.taskAttemptId()}.part"
-        for b in batches:
-            known = b.column("doc_id").to_pylist()
-            for at, to, ids, counts in encoded(b.column("text"), path):
-                datas, stop, n_tokens = [], 0, counts + 1
-                for i, n in enumerate(counts):
-                    own = np.append(ids[stop : stop + n], np.uint32(end)).astype(f"<u{width}")
-                    stop += n
-                    doc = known[at + i]
-                    datas.append((NO_ID if doc is None else doc).to_bytes(8, "little", signed=True) + own.tobytes())
-                framed, size = frame(datas)
-                if out is None:
-                    fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(temp)
-                out.write(framed)
-                ends = np.cumsum(size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * (to - at)), pa.array(nth + np.arange(to - at)), pa.array(known[at:to], pa.int64()), pa.array(place + ends - size), pa.array(size), pa.array(n_tokens), pa.array(before + np.cumsum(n_tokens) - n_tokens)],
-                    ["file", "nth", "doc_id", "byte_offset", "byte_length", "n_tokens", "ids_before"],
-                )
-                nth, place, before = nth + to - at, place + int(ends[-1]), before + int(n_tokens.sum())
-        if out is not None:
-            out.close()
-            fs.move(temp, f"{root}/{name}")
-
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return docs.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text").mapInArrow(write, INDEX)
-
-
-def read_records(index: DataFrame, folder: str, width: int = 2, most: int = 16_000_000) -> DataFrame:
+        try:
+            for b in batches:
+                for at, to, ids, counts in encoded(b.column("text"), path):
+                    if width < 4 and len(ids) and int(ids.max()) >> 8 * width:
+                        raise ValueError(f"an id does not fit into {width} bytes")
+                    doc = b.column("doc_id").slice(at, to - at)
+                    buf, size = framed(pc.fill_null(doc, NO_ID).to_numpy(), ids, counts, end, width)
+                    if out is None:
+                        fs.create_dir(root, recursive=True)
+                        out = fs.open_output_stream(temp)
+                    out.write(buf)
+                    ends, n_tokens = np.cumsum(size), counts + 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * (to - at)), pa.array(nth + np.arange(to - at)), doc, pa.array(place + ends - size), pa.array(size), pa.array(n_tokens), pa.array(before + np.cumsum(n_tokens) - n_tokens)],
+                        ["file", "nth", "doc_id", "byte_offset", "byte_length", "n_tokens", "ids_before"],
+                    )
+                    nth, place, before = nth + to - at, place + int(ends[-1]), before + int(n_tokens.sum())
+            if out is not None:
+                out.close()
+                fs.move(temp, f"{root}/{name}")
+                out = None
+        finally:
+            if out is not None:  # this attempt failed
+                out.close()
+                fs.delete_file(temp)
+
+    # the hash lets rows with the same doc_id go to several files
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    order = [F.asc_nulls_first("doc_id"), F.col("h")]
+    return docs.repartitionByRange(*order).sortWithinPartitions(*order).drop("h").mapInArrow(write, INDEX)
+
+
+def read_records(index: DataFrame, folder: str, width: int, most: int = 16_000_000) -> DataFrame:
     """Reads the records that the rows of a stored index name, in runs of one file, checks them, and returns
     (file, nth, doc_id, ids_before, n_tokens, ids_crc32)."""
     runs = index.withColumn("run", F.expr(f"byte_offset div {most}"))
 
     def read(batches):
-        import pandas as pd
-
         fs, root = _files(folder)
         for b in batches:
             pdf = b.to_pandas()
@@ -189,16 +215,13 @@ def read_records(index: DataFrame, folder: str, width: int = 2, most: int = 16_0
                     rows = rows.sort_values("nth")
                     for _, part in rows.groupby((rows.byte_offset - rows.byte_offset.min()) // most):
                         first = int(part.byte_offset.min())
-                        buf = f.read_at(int((part.byte_offset + part.byte_length).max()) - first, first)
-                        docs, n, crc = [], [], []
-                        for data in unframe(buf, part.byte_offset.to_numpy() - first, part.byte_length.to_numpy()):
-                            doc = int.from_bytes(data[:8], "little", signed=True)
-                            ids = np.frombuffer(data[8:], f"<u{width}").astype("<u4")
-                            docs.append(None if doc == NO_ID else doc), n.append(len(ids)), crc.append(zlib.crc32(ids.tobytes()))
-                        yield pa.RecordBatch.from_pandas(
-                            pd.DataFrame({"file": file, "nth": part.nth.to_numpy(), "doc_id": pd.array(docs, "Int64"), "ids_before": part.ids_before.to_numpy(), "n_tokens": n, "ids_crc32": crc}),
-                            preserve_index=False,
-                            schema=pa.schema([("file", pa.string()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("ids_before", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]),
+                        raw = np.frombuffer(f.read_at(int((part.byte_offset + part.byte_length).max()) - first, first), np.uint8)
+                        docs, ids, n = unframed(raw, part.byte_offset.to_numpy() - first, part.byte_length.to_numpy(), width)
+                        view, ends = memoryview(ids.astype("<u4").tobytes()), 4 * np.cumsum(n)
+                        crc = [zlib.crc32(view[x:y]) for x, y in zip((ends - 4 * n).tolist(), ends.tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([file] * len(n)), pa.array(part.nth.to_numpy()), pa.array(docs, mask=docs == NO_ID), pa.array(part.ids_before.to_numpy()), pa.array(n), pa.array(crc, pa.int64())],
+                            ["file", "nth", "doc_id", "ids_before", "n_tokens", "ids_crc32"],
                         )
 
     return (
@@ -214,8 +237,9 @@ def store_and_read(docs: DataFrame, tokenizer: str | None = None, end: int = 1)
     ids_crc32), start counting the ids of all documents before, in order of doc_id."""
     spark: SparkSession = docs.sparkSession
     scratch, folder = Scratch(spark), new_path(spark, "records")
-    index = scratch.keep(write_records(docs, folder, tokenizer, end), "record-index")
+    width = width_for(tokenizer or tokenizer_path(TOKENIZER), end)
+    index = scratch.keep(write_records(docs, folder, tokenizer, end, width), "record-index")
     # a row for each file: files are in the order of their names
     sums = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     base = sums.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
-    return read_records(index, folder).join(base, "file").select("doc_id", (F.col("base") + F.col("ids_before")).alias("start"), "n_tokens", "ids_crc32")
+    return read_records(index, folder, width).join(base, "file").select("doc_id", (F.col("base") + F.col("ids_before")).alias("start"), "n_tokens", "ids_crc32")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankcut.llm.shared import Scratch
-from rankcut.llm.token_ids import TOKENIZER, cache, encoded, tokenizer_path
+from rankcut.llm.token_ids import TOKENIZER, encoded, encoder, tokenizer_path
 
 SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
@@ -28,7 +28,7 @@ def _marks(texts: list[str], starts: list[int], path: str) -> list[tuple[int, li
     """For each chunk: its number of tokens; the places (in the document) where a token follows white space; the number
     of tokens before each of them."""
     out = []
-    for text, base, enc in zip(texts, starts, cache(path).library.encode_batch(texts, add_special_tokens=False), strict=True):
+    for text, base, enc in zip(texts, starts, encoder(path).library.encode_batch(texts, add_special_tokens=False), strict=True):
         first = np.array([o[0] for o in enc.offsets], np.int64)
         ok = [i for i, p in enumerate(first) if p and text[p - 1] in " \t\n\x0b\f\r" and (not i or first[i - 1] != p)]
         out.append((len(enc.ids), [int(first[i]) + base for i in ok], ok))

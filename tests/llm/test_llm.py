@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankcut.llm import decontamination, knn, licenses, lm, near_dup, packing, paragraphs, quality, records, token_counts
 from rankcut.llm.shared import Scratch, connected
-from rankcut.llm.token_ids import TokenCache, tokenizer_path
+from rankcut.llm.token_ids import WordEncoder, tokenizer_path
 
 SCHEMA = "doc_id long, text string, source string, n_chars long, sequence_id string, rank int"
 WORDS = [f"w{a}{b}" for a in "bcdfghklmn" for b in "aeiouxyz"] + ["Über", "l'été", "don't", "x-y,", "3.5%", "ﬁ", "数据", "é"]
@@ -56,12 +56,12 @@ def ids_of(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
 
-def test_cached_ids_are_those_of_whole_texts(library, texts):
+def test_ids_by_words_are_those_of_whole_texts(library, texts):
     g = np.random.default_rng(0)
     signs = list("aÉß 'sS<|>.,;:!?_-~^`\t\n\x0b\x1c\x85 ́ Ⅷ½9٣中ﬁİ")
-    odd = ["".join(g.choice(signs, int(n))) for n in g.integers(1, 60, 400)] + ["<|endoftext|>", "x<|startoftext|>y", "don't we'll I'd"]
+    odd = ["".join(g.choice(signs, int(n))) for n in g.integers(1, 60, 400)] + ["<|endoftext|>", "x<|startoftext|>y", "don't we'll I'd", "'S 's' a''s 're've"]
     all_ = [*texts, *odd]
-    ids, n = TokenCache(tokenizer_path(), limit=50).encode(pa.array(all_, pa.string()))
+    ids, n = WordEncoder(tokenizer_path(), limit=50).encode(pa.array(all_, pa.string()))
     want = [ids_of(library, t) for t in all_]
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
@@ -134,11 +134,21 @@ def test_checksums_and_damage():
         for b in d:
             c = int(table[(c ^ b) & 0xFF]) ^ (c >> 8)
         assert c ^ 0xFFFFFFFF == crc
-    buf, size = records.frame(datas)
-    at = np.cumsum(size) - size
-    assert [bytes(x) for x in records.unframe(buf, at, size)] == datas
-    with pytest.raises(ValueError):
-        records.unframe(buf[:-9] + b"x" + buf[-8:], at, size)
+    for width in (2, 4):
+        counts = np.array([0, 1, 31, 32, 40, 700])
+        ids = g.integers(0, 1 << 16, int(counts.sum())).astype(np.uint32)
+        docs = np.array([5, -1, records.NO_ID, 7, 2**62, 0])
+        buf, size = records.framed(docs, ids, counts, 1, width)
+        at = np.cumsum(size) - size
+        got, flat, n = records.unframed(buf, at, size, width)
+        assert got.tolist() == docs.tolist() and n.tolist() == (counts + 1).tolist()
+        assert flat.tolist() == [x for k, c in enumerate(counts) for x in [*ids[counts[:k].sum() : counts[:k].sum() + c].tolist(), 1]]
+        length, data = int(buf[at[4] : at[4] + 8].view("<u8")[0]), buf[at[4] + 12 : at[5] - 4]
+        assert length == len(data) and buf[at[5] - 4 : at[5]].view("<u4")[0] == records.masked(records.crc32c_of(data, np.array([0]), np.array([length])))[0]
+        hurt = buf.copy()
+        hurt[at[5] + 30] ^= 1
+        with pytest.raises(ValueError):
+            records.unframed(hurt, at, size, width)
 
 
 def shingled(text):

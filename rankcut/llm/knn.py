@@ -7,7 +7,9 @@ multiplied in runs of 1,024.) A pair survives if its least possible distance is
 possible one seen for the query; survivors are measured in double precision, and each query keeps a heap of its k best, by
 distance and then vec_id. Heaps of the partitions are merged by rank. So the result is exact.
 
-Queries go out in blocks of at most `block` vectors, each block against all rows. Vectors of different length are not
+Queries and rows are dealt to blocks by hash; each pair of blocks is one task, to which both come by a join on their
+numbers (`block` queries and `rows` rows on average), so nothing is broadcast or passes the driver, and each row is sent
+once for each block of queries. Vectors of different length are not
 compared. Vectors that are null, empty, zero or hold null or non-finite components take no part. Rows with a query's
 vec_id are its own and no candidates; a query id that stands in several rows is asked once, with the vector that is
 least in order; rows that repeat are candidates each. Null ids take no part. Empty tables give an empty result. Other
@@ -88,38 +90,36 @@ class Heaps:
                 self.limit[i] = min(self.limit[i], -heap[0][0])
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, tile: int = 2048) -> DataFrame:
+def by_length(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length -> (ids, vectors)."""
+    ids, lists = table.column("vec_id").to_numpy(), table.column("v").combine_chunks()
+    bounds = lists.offsets.to_numpy()
+    flat, length = lists.values.to_numpy(), np.diff(bounds)
+    rows = {int(n): np.flatnonzero(length == n) for n in np.unique(length)}
+    return {n: (ids[r], flat[bounds[r][:, None] + np.arange(n)]) for n, r in rows.items()}
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, rows: int = 16_384, tile: int = 2048) -> DataFrame:
     """queries and vectors (vec_id, embedding) -> (query_id, rank, vec_id, score): the k nearest rows of vectors."""
-    spark = vectors.sparkSession
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-asked.count() // block))
-    candidates, found = usable(vectors), None
-
-    for i in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toPandas()  # about `block` vectors
-        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size, part in own.groupby(own.v.map(len)):
-            by_size[size] = (part.vec_id.to_numpy(np.int64), np.stack(part.v.to_list()).astype(np.float64))
-        given = spark.sparkContext.broadcast(by_size)
-
-        def search(batches, given=given):
-            sizes = {n: [Heaps(ids[s : s + 1024], x[s : s + 1024], k) for s in range(0, len(ids), 1024)] for n, (ids, x) in given.value.items()}
-            for b in batches:
-                ids, lists = b.column("vec_id").to_numpy(), b.column("v")
-                bounds = lists.offsets.to_numpy()
-                flat, length = lists.values.to_numpy(), np.diff(bounds)
-                for n, heaps in sizes.items():
-                    rows = np.flatnonzero(length == n)
-                    for s in range(0, len(rows), tile):
-                        part = rows[s : s + tile]
-                        x = flat[bounds[part][:, None] + np.arange(n)]
-                        for h in heaps:
-                            h.meet(ids[part], x)
-            out = [(int(q), -j, -d) for heaps in sizes.values() for h in heaps for q, heap in zip(h.ids, h.heaps, strict=True) for d, j in heap]
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-        part = candidates.mapInArrow(search, "query_id long, vec_id long, score double")
-        found = part if found is None else found.union(part)
+    candidates = usable(vectors)
+    n_q, n_v = max(1, -(-asked.count() // block)), max(1, -(-candidates.count() // rows))
+    q = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(n_q))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
+    # rows that repeat are told apart by nothing, so a random deal would not be the same when a task runs again
+    v = candidates.withColumn("r", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_v)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+
+    def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        out, given = [], by_length(rows)
+        for n, (ids, x) in by_length(queries).items():
+            if n in given:
+                heaps = [Heaps(ids[s : s + 1024], x[s : s + 1024], k) for s in range(0, len(ids), 1024)]
+                for s in range(0, len(given[n][0]), tile):
+                    for h in heaps:
+                        h.meet(given[n][0][s : s + tile], given[n][1][s : s + tile])
+                out += [(int(i), -j, -d) for h in heaps for i, heap in zip(h.ids, h.heaps, strict=True) for d, j in heap]
+        cols = list(zip(*out, strict=True)) if out else [[], [], []]
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    found = q.groupBy("q", "r").cogroup(v.groupBy("q", "r")).applyInArrow(search, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

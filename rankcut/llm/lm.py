@@ -133,7 +133,8 @@ def in_lanes(ids: np.ndarray, bounds: np.ndarray, end: int, most: int = 1024) ->
     keep all of them busy while the longest document runs."""
     size = np.diff(bounds)
     order = np.argsort(-size, kind="stable")
-    lanes = max(1, min(most, len(size), max(64, 2 * len(ids) // int(size.max()))))
+    # a long document doesn't make the others' lanes long: those that hold nothing are not made
+    lanes = max(1, min(most, len(size), max(64, 2 * len(ids) // int(size.max())), -(-len(ids) // int(size.max())) + 1))
     ends = np.concatenate([[0], np.cumsum(size[order])])
     room = max(-(-int(ends[-1]) // lanes), int(size.max()))
     lane = np.minimum(ends[:-1] // room, lanes - 1)

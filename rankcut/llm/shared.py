@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -91,31 +91,69 @@ def string_hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((h(w) for w in words.to_pylist()), np.uint64, len(words))
 
 
+def _stars(small: bool):
+    """For mapInArrow over edges (a, b) that lie together by a, sorted by a and b: ties neighbours of a to the least of
+    them. Large star: those above a, to the least of a and all. Small star (all lie below a): these and a itself."""
+
+    def star(batches):
+        of, least = None, 0
+        last = (None, None)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (batch.column(c).to_numpy() for c in (0, 1))
+            first = np.ones(len(a), bool)
+            first[1:] = a[1:] != a[:-1]
+            first[0] = of is None or a[0] != of
+            low = np.where(first, b if small else np.minimum(a, b), 0)
+            starts = np.maximum.accumulate(np.where(first, np.arange(len(a)), -1))
+            m = np.where(starts >= 0, low[starts], least)
+            same = np.zeros(len(a), bool)  # an edge that repeats
+            same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            same[0] = (a[0], b[0]) == last
+            of, least, last = a[-1], m[-1], (a[-1], b[-1])
+            if small:
+                x = np.where(b == m, a, b)
+                keep = ~same
+            else:
+                x, keep = b, ~same & (b > a)
+            keep &= x != m
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(m[keep])], ["a", "b"])
+
+    return star
+
+
 def connected(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """Connected components of edges(a, b): (node, root), root the least node of the component.
+    """Connected components of edges(a, b), both long: (node, root), root the least node of the component.
 
-    Rounds of large-star and small-star (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014), each
-    written to the shared folder; ends when a round changes nothing. Nothing is collected but two sums. The joins deal
-    their results out anew by both ends, so that the rows of a hub can be split over tasks.
+    Leaves (nodes with one neighbour, which is smaller) are set aside, so that what is tied to a hub alone doesn't gather in
+    one task. On the rest, rounds of large-star and small-star (Kiveris et al., "Connected Components in MapReduce and
+    Beyond", 2014), each two shuffles and written to the shared folder; ends when a round changes nothing. Then leaves take
+    their neighbour's root. Nothing is collected but a count and a sum for each round.
     """
-    cur = scratch.keep(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), tag
+    every = scratch.keep(
+        edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct(), tag
     )
-    seen = None
+    ends = every.select("a", F.lit(1).alias("up"), "b").union(every.select("b", F.lit(0), "a"))
+    single = ends.groupBy("a").agg(F.count("*").alias("n"), F.max("up").alias("up"), F.max("b").alias("b")).where("n = 1 and up = 1").select("a", "b")
+    leaves = scratch.keep(single, tag)
+    cur, seen = every.join(leaves.hint("merge"), ["a", "b"], "left_anti"), None
+    kind = "a long, b long"
     while True:
         both = cur.union(cur.select("b", "a"))
-        low = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m"), tag)
-        large = cur.selectExpr("b as c", "a as b").join(low.hint("merge"), F.col("c") == F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # a larger neighbour is tied to the least of all neighbours; small star: a node's smaller neighbours to the least of them
-        large = scratch.keep(large.union(low.select("a", F.col("m").alias("b"))).where("a <> b").repartition("a", "b").distinct(), tag)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.hint("merge"), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        nxt = scratch.keep(small.where("a <> b").repartition("a", "b").distinct(), tag)
-        row = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(cur, low, large)
-        cur = nxt
-        if tuple(row) == seen:
+        large = both.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_stars(False), kind)
+        small = large.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_stars(True), kind)
+        told = Observation()
+        small = small.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("x"))
+        nxt = scratch.keep(small, tag)
+        scratch.drop(cur)
+        cur, row = nxt, tuple(sorted(told.get.items()))
+        if row == seen or not told.get["n"]:
             break
-        seen = tuple(row)
-    roots = cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        seen = row
+    cur = cur.distinct()
+    core = cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select("b", "b").distinct())
+    core = scratch.keep(core, tag)
+    of_leaves = leaves.join(core.hint("merge"), F.col("b") == F.col("node"), "left").select(F.col("a").alias("node"), F.coalesce("root", "b").alias("root"))
+    hubs = leaves.select("b").distinct().join(core.hint("merge"), F.col("b") == F.col("node"), "left_anti").select(F.col("b").alias("node"), F.col("b").alias("root"))
+    return core.union(of_leaves).union(hubs)

@@ -514,6 +514,22 @@ def test_components(spark):
     got = {r.node: r.root for r in connected(edges, Scratch(spark), "t").collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 103: 100}
     assert connected(edges.where("a < 0"), Scratch(spark), "t").count() == 0
+    g = np.random.default_rng(41)
+    pairs = [(int(a), int(b)) for a, b in g.integers(0, 900, (500, 2))] + [(5000, i) for i in range(1000, 1300)] + [(1000, i) for i in range(2000, 2300)]
+    up = {x: x for p in pairs for x in p}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    got = connected(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark), "t").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.node, r.root) for r in got) == sorted((x, top(x)) for x in up if any(x in p and p[0] != p[1] for p in pairs))
 
 
 def test_pipeline_stages(spark, tmp_path, texts):

@@ -77,38 +77,32 @@ def pack_sentences(text: str, size: int, overlap: int) -> list[tuple[str, int, i
 
 
 def recursive_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Parts between separators, joined up to `size` tokens; a part that is too long is split by the next finer
-    separator. A new chunk takes over the last part if that fits in `overlap`. Places are within the chunk."""
+    """Parts between separators, joined as long as the sum of their sizes is at most `size` tokens; a part that is too long
+    is split by the next finer separator, and stays whole below the last. Empty parts go. A new chunk takes over the last
+    part if that has at most `overlap` tokens. Places are within the chunk."""
 
     def split(text: str) -> list[tuple[str, int, int]]:
-        return [(t, 0, len(t)) for t in split_by(text, size, overlap, 0) if t.strip()]
+        return [(t, 0, len(t)) for t in split_by(text, size, overlap, 0)] if text.strip() else []
 
     return _per_document(docs, split)
 
 
 def split_by(text: str, size: int, overlap: int, level: int) -> list[str]:
-    if len(text) // CHARS <= size:
-        return [text]
     sep = SEPARATORS[level]
-    if not sep:
-        step = max(1, (size - overlap) * CHARS)
-        return [text[i : i + size * CHARS] for i in range(0, len(text), step)]
-    out, held = [], []
-    length = lambda parts: len(sep.join(parts)) // CHARS
-    for part in text.split(sep):
-        if len(part) // CHARS > size:
-            if held:
-                out.append(sep.join(held))
-            held = []
-            out += split_by(part, size, overlap, level + 1)
-        elif held and length([*held, part]) > size:
+    if not sep:  # single characters count as no token each, so all of them fit
+        return [text]
+    out, held, total = [], [], 0
+    for part in filter(None, text.split(sep)):
+        n = len(part) // CHARS
+        if held and (n > size or total + n > size):
             out.append(sep.join(held))
-            held = [held[-1], part] if len(held[-1]) // CHARS <= overlap and length([held[-1], part]) <= size else [part]
+            last = len(held[-1]) // CHARS
+            held, total = ([held[-1]], last) if n <= size and last <= overlap else ([], 0)
+        if n > size:
+            out += split_by(part, size, overlap, level + 1)
         else:
-            held.append(part)
-    if held:
-        out.append(sep.join(held))
-    return out
+            held, total = [*held, part], total + n
+    return [*out, sep.join(held)] if held else out
 
 
 def sections_of(text: str) -> list[tuple[str, int, str]]:

@@ -45,13 +45,13 @@ def clipped(p: Column, low: Column | float, high: Column | float) -> Column:
 
 
 def empirical_p(count: Column, n: Column) -> Column:
-    """(#{null >= x} + 1) / (N + 1), held within [1 / (N + 1), 1 - 1 / (N + 1)]."""
-    return clipped((count + 1) / (n + 1), 1 / (n + 1), 1 - 1 / (n + 1))
+    """(#{null >= x} + 1) / (N + 1), held within [1 / (N + 1), 1 - 1 / (N + 1)]; NULL for an empty null."""
+    return F.when(n > 0, clipped((count + 1) / (n + 1), 1 / (n + 1), 1 - 1 / (n + 1)))
 
 
 def plain_p(count: Column, n: Column) -> Column:
-    """The validators' p-value: 1 - #{null < x} / N, at least 1e-10."""
-    return clipped(count / n, 1e-10, 1.0)
+    """The validators' p-value: 1 - #{null < x} / N, at least 1e-10; NULL for an empty null."""
+    return F.when(n > 0, clipped(count / n, 1e-10, 1.0))
 
 
 def with_query_null(candidates: DataFrame, null: DataFrame, value: str = "similarity") -> DataFrame:
@@ -99,13 +99,16 @@ def gpd_composite_p(x: Column, empirical: Column, shape: float, scale: float, th
 
 
 def curve(candidates: DataFrame, gamma: float | Column, method: str = "hc", p: str = "p") -> DataFrame:
-    """The ranks 1..max(1, floor(gamma n)) of each query with their statistic."""
+    """The ranks 1..max(1, floor(gamma n)) of each query with their statistic; 0 where p is 0 or 1 (hc). Candidates without
+    a p-value are left out."""
+    candidates = candidates.where(F.col(p).isNotNull())
     n, i = F.count("*").over(_by_query()), F.col("rank")
     gamma = gamma if isinstance(gamma, Column) else F.lit(gamma)
     inside = candidates.withColumn("n", n).where(i <= F.least(F.col("n"), F.greatest(F.lit(1), F.floor(gamma * F.col("n")))))
     share, pv = i / F.col("n"), F.col(p)
     if method == "hc":
-        stat = (share - pv) / F.sqrt(pv * (1 - pv) / F.col("n"))
+        deviation = F.sqrt(pv * (1 - pv) / F.col("n"))
+        stat = F.when(deviation > 0, (share - pv) / deviation).otherwise(0.0)
     else:
         a, b = clipped(share, 1e-15, 1 - 1e-15), clipped(pv, 1e-15, 1 - 1e-15)
         stat = F.col("n") * (a * F.log(a / b) + (1 - a) * F.log((1 - a) / (1 - b)))

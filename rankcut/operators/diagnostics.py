@@ -137,11 +137,22 @@ def relevant_p(relevant: DataFrame, window: int) -> DataFrame:
     )
 
 
-def failure_modes(cuts: DataFrame, relevant: DataFrame) -> DataFrame:
-    """The first that holds of: weak signal, too sparse, borderline, too scattered."""
-    r = relevant.groupBy("query_id").agg(F.count("*").alias("_n"), F.percentile("p", F.lit(0.5)).alias("_p"))
-    mode = F.when(F.coalesce("_p", F.lit(1.0)) > 0.3, "weak_signal").when(F.coalesce("_n", F.lit(0)) < 3, "too_sparse").when(F.col("statistic") > -1, "borderline").otherwise("too_scattered")
-    return cuts.join(r, "query_id", "left").select("query_id", mode.alias("mode"))
+def failure_modes(cuts: DataFrame, other: DataFrame, relevant: DataFrame, fixed: DataFrame, window: int, level: float = 0.0) -> DataFrame:
+    """Queries whose statistic is at most the level under the null in use (cuts) and under their own (other), with the
+    first that holds of: no relevant candidate with p (own null) up to 0.05, fewer than three in the window, made positive
+    by clean z-scores (fixed), nearly positive, too scattered."""
+    r = relevant.groupBy("query_id").agg(
+        F.min("p").alias("_best"), F.count_if(F.col("rank") <= window).alias("_in"), F.count_if(F.col("p") < 0.05).alias("_sig")
+    )
+    both = cuts.select("query_id", F.col("statistic").alias("statistic_global")).join(other.select("query_id", F.col("statistic").alias("statistic_own")), "query_id")
+    both = both.where((F.col("statistic_global") <= level) & (F.col("statistic_own") <= level))
+    rows = both.join(r, "query_id", "left").join(fixed.select("query_id", F.col("flipped").alias("_flipped")), "query_id", "left")
+    best, n_in, flips = F.coalesce("_best", F.lit(1.0)), F.coalesce("_in", F.lit(0)), F.coalesce("_flipped", F.lit(False))
+    mode = F.when(best > 0.05, "weak_signal").when(n_in < 3, "too_sparse").when(flips, "zscore_distortion").when(F.col("statistic_own") > level - 1, "borderline").otherwise("too_scattered")
+    return rows.select(
+        "query_id", mode.alias("mode"), "statistic_global", "statistic_own", best.alias("best_p"), n_in.alias("n_in_window"),
+        F.coalesce("_sig", F.lit(0)).alias("n_significant"), (n_in / window).alias("concentration"), flips.alias("clean_flips"),
+    )
 
 
 def clean_fix(pool: DataFrame, cuts: DataFrame, gamma: float, level: float = 0.0, need: int = 5) -> DataFrame:

@@ -11,8 +11,11 @@ from rankcut.functions.text import k_range, word_count
 from rankcut.operators.retrieval import hash_order
 from rankcut.sources.checkpoints import ensure_checkpoint_dir
 
-STOP_WORDS = ["a", "an", "the", "of", "in", "on", "at", "to", "for", "and", "or", "is", "are", "was", "were", "what", "which", "who", "how", "that", "by", "with", "from"]  # fixed list
-INDICATORS = {"easy": ["what is", "list", "name"], "medium": ["which", "compare", "between"], "hard": ["how many", "excluding", "both", "except"]}  # fixed lists
+#: Words that don't count when questions are compared (fixed values).
+STOP_WORDS = ["the", "a", "an", "is", "are", "was", "were", "in", "on", "at", "to", "for", "of", "and", "or", "that", "this", "with", "by"]
+#: Words that speak for an easy and for a hard question (fixed values).
+EASY_INDICATORS = ["who", "what", "list", "name", "which"]
+HARD_INDICATORS = ["how", "compare", "analyze", "pattern", "relationship"]
 
 
 def map_queries(asked: DataFrame, passages: DataFrame, most: int = 3) -> DataFrame:
@@ -88,25 +91,33 @@ def k_report(checked: DataFrame, *by: str) -> DataFrame:
     return checked.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("accepted").alias("n_accepted"), F.avg(F.abs(F.col("target_k") - F.col("actual_k"))).alias("mean_difference"))
 
 
-def k_alignment(target: Column, actual: Column, tolerance: int = 5) -> tuple[Column, Column]:
-    d = F.abs(target - actual)
-    return d <= tolerance, F.greatest(F.lit(0.0), 1 - d / (2 * tolerance))
+def k_alignment(target: Column, actual: Column, tolerance: int = 2, min_k: int = 2, max_k: int = 25) -> tuple[Column, Column]:
+    """Within the bounds, and close to the target; the score falls with the distance."""
+    d, inside = F.abs(target - actual), actual.between(min_k, max_k)
+    far = 1 - d / F.when(target == 0, 1).otherwise(target)
+    return inside & (d <= tolerance), F.when(~inside, 0.0).when(d > tolerance, far).otherwise(1 - d / (tolerance + 1))
 
 
-def answerability(n_passages: Column, coverage_: Column, text: Column) -> tuple[Column, Column]:
-    ok = (n_passages >= 1) & (coverage_ >= 0.5) & F.rtrim(text).endswith("?")
-    return ok, F.least(F.lit(1.0), coverage_) * (n_passages >= 1).cast("double")
+def answerability(n_passages: Column, coverage_: Column, text: Column, min_coverage: float = 0.5, min_passages: int = 1) -> tuple[Column, Column]:
+    """Enough passages, enough of the entities covered, and a question mark at the end."""
+    asks = text.rlike(r"\?\s*$")
+    ok = (n_passages >= min_passages) & (coverage_ >= min_coverage) & asks
+    full = F.least(F.lit(1.0), (coverage_ + n_passages / 10) / 2)
+    return ok, F.when(n_passages < min_passages, 0.0).when(coverage_ < min_coverage, coverage_).when(~asks, 0.5).otherwise(full)
 
 
-def difficulty_fit(text: Column, difficulty: Column) -> tuple[Column, Column]:
-    """Words that speak for the difficulty, and a fitting length."""
+def difficulty_fit(text: Column, difficulty: Column, strict: bool = False) -> tuple[Column, Column]:
+    """How well length and indicator words go with the difficulty; only if strict, a poor fit fails."""
     low, n = F.lower(text), word_count(text)
-    found = {d: reduce(lambda a, b: a + b, [low.contains(w).cast("int") for w in ws]) for d, ws in INDICATORS.items()}
-    total = reduce(lambda a, b: a + b, found.values())
-    own = F.when(difficulty == "easy", found["easy"]).when(difficulty == "medium", found["medium"]).otherwise(found["hard"])
-    length = F.when(difficulty == "easy", n < 25).when(difficulty == "hard", n > 12).otherwise((n >= 12) & (n <= 25)).cast("double")
-    score = 0.5 * F.when(total > 0, own / total).otherwise(0.5) + 0.5 * length
-    return score >= 0.4, score
+    easy, hard = (reduce(lambda a, b: a | b, [low.contains(w) for w in ws]) for ws in (EASY_INDICATORS, HARD_INDICATORS))
+    short, long = n < 12, n > 25
+    plain, deep = short & easy, long | hard
+    score = (
+        F.when(difficulty == "easy", F.when(plain, 1.0).when(deep, 0.3).otherwise(0.7))
+        .when(difficulty == "hard", F.when(deep, 1.0).when(plain, 0.3).otherwise(0.6))
+        .otherwise(F.when(short | long, 0.6).otherwise(0.8))
+    )
+    return (score >= 0.4) | F.lit(not strict), score
 
 
 def filtered(rows: DataFrame, filters: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -150,16 +161,14 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     return both.where(common / (F.size("ti") + F.size("tj") - common) > threshold).select("i", "j")
 
 
-def diverse(rows: DataFrame, threshold: float = 0.85, most_rounds: int = 50) -> DataFrame:
+def diverse(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     """rows(pos, text) with kept: in order of pos, a row goes if it is too similar to one that was kept. Rounds: a row
-    without an open or kept earlier neighbour is kept; one with a kept earlier neighbour goes; until all are settled.
-    Rounds are cut by checkpoint()."""
+    without an open or kept earlier neighbour is kept; one with a kept earlier neighbour goes; until all are settled, as
+    each round settles the first open row of each chain at least. Rounds are cut by checkpoint()."""
     ensure_checkpoint_dir(rows.sparkSession)
     pairs = similar_pairs(rows, threshold).checkpoint()
     state = rows.select("pos").join(pairs.select(F.col("j").alias("pos")).distinct().withColumn("_open", F.lit(True)), "pos", "left").select("pos", F.when(F.col("_open").isNull(), True).alias("kept")).checkpoint()
-    for _ in range(most_rounds):
-        if not state.where("kept is null").limit(1).count():
-            break
+    while not state.where("kept is null").isEmpty():
         earlier = pairs.join(state.select(F.col("pos").alias("i"), F.col("kept").alias("ki")), "i")
         seen = earlier.groupBy(F.col("j").alias("pos")).agg(F.max(F.coalesce("ki", F.lit(False))).alias("_hit"), F.max(F.col("ki").isNull()).alias("_wait"))
         state = state.join(seen, "pos", "left").select("pos", F.coalesce("kept", F.when(F.col("_hit"), False).when(~F.col("_wait"), True)).alias("kept")).checkpoint()

@@ -27,7 +27,8 @@ def scored(queries: DataFrame, corpus: DataFrame, k: int | None = None, digits:
     Arrow batch if k is given, else all. own: a document with the query's id counts.
 
     Queries go out in blocks of `block` vectors, each against all rows: one matrix product for each tile of rows, and no
-    more than block * tile scores at a time. Vectors with NULLs or of another length than the first query's take no part.
+    more than block * tile scores at a time. Vectors with NULLs or of another length than that of the query with the least
+    id take no part.
     """
     spark = corpus.sparkSession
     q_kind, d_kind = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (corpus, "doc_id")))
@@ -35,6 +36,8 @@ def scored(queries: DataFrame, corpus: DataFrame, k: int | None = None, digits:
     clean = ~F.exists("embedding", lambda x: x.isNull())
     queries = queries.where("embedding is not null").where(clean).select("query_id", double)
     corpus = corpus.where("embedding is not null").where(clean).select("doc_id", double)
+    size = queries.agg(F.min_by(F.size("embedding"), "query_id")).first()[0]
+    queries = queries.where(F.size("embedding") == F.lit(size))
     blocks = max(1, -(-queries.count() // block))
     out = None
     for i in range(blocks):

@@ -117,10 +117,11 @@ def q6r(spark, sf):
     return rounded(p.k_report(p.k_validation(generated(spark, sf)), "difficulty"))
 
 
-_IND = {d: " + ".join(f"(contains(lower(text), '{w}'))::INT" for w in ws) for d, ws in p.INDICATORS.items()}
-_FIL = f"""fa AS (SELECT *, len({_words('text')}) AS nw, {_IND['easy']} AS e_, {_IND['medium']} AS m_, {_IND['hard']} AS h_, abs(target_k - actual_k) AS d FROM gen),
-fb AS (SELECT *, d <= 5 AS k_ok, greatest(0.0::DOUBLE, 1 - d / 10.0::DOUBLE) AS k_score, n_passages >= 1 AND coverage >= 0.5 AND rtrim(text) LIKE '%?' AS a_ok, least(1.0, coverage) * CASE WHEN n_passages >= 1 THEN 1 ELSE 0 END AS a_score,
- 0.5::DOUBLE * CASE WHEN e_ + m_ + h_ > 0 THEN (CASE difficulty WHEN 'easy' THEN e_ WHEN 'medium' THEN m_ ELSE h_ END)::DOUBLE / (e_ + m_ + h_) ELSE 0.5 END + 0.5::DOUBLE * (CASE difficulty WHEN 'easy' THEN nw < 25 WHEN 'hard' THEN nw > 12 ELSE nw BETWEEN 12 AND 25 END)::INT AS d_score FROM fa),
+_any = lambda ws: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + ")"
+_FIL = f"""fa AS (SELECT *, len({_words('text')}) AS nw, {_any(['who', 'what', 'list', 'name', 'which'])} AS e_, {_any(['how', 'compare', 'analyze', 'pattern', 'relationship'])} AS h_, abs(target_k - actual_k) AS d FROM gen),
+fb AS (SELECT *, actual_k >= 2 AND actual_k <= 25 AND d <= 2 AS k_ok, CASE WHEN actual_k < 2 OR actual_k > 25 THEN 0 WHEN d > 2 THEN 1 - d::DOUBLE / coalesce(nullif(target_k, 0), 1) ELSE 1 - d::DOUBLE / 3 END AS k_score,
+ n_passages >= 1 AND coverage >= 0.5 AND regexp_matches(text, '\\?\\s*$') AS a_ok, CASE WHEN n_passages < 1 THEN 0 WHEN coverage < 0.5 THEN coverage WHEN NOT regexp_matches(text, '\\?\\s*$') THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, (coverage + n_passages / 10.0::DOUBLE) / 2) END AS a_score,
+ CASE difficulty WHEN 'easy' THEN CASE WHEN nw < 12 AND e_ THEN 1.0::DOUBLE WHEN nw > 25 OR h_ THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END WHEN 'hard' THEN CASE WHEN nw > 25 OR h_ THEN 1.0::DOUBLE WHEN nw < 12 AND e_ THEN 0.3::DOUBLE ELSE 0.6::DOUBLE END ELSE CASE WHEN nw BETWEEN 12 AND 25 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END END AS d_score FROM fa),
 fc AS (SELECT *, d_score >= 0.4 AS d_ok, (k_score + a_score + d_score) / 3 AS total_score FROM fb)"""
 _NAMES = ["k_alignment", "answerability", "difficulty"]
 
@@ -130,7 +131,7 @@ def _filters():
     return {
         "k_alignment": p.k_alignment(F.col("target_k"), F.col("actual_k")),
         "answerability": p.answerability(F.col("n_passages"), F.col("coverage"), text),
-        "difficulty": p.difficulty_fit(text, F.col("difficulty")),
+        "difficulty": p.difficulty_fit(text, F.col("difficulty"), strict=True),
     }
 
 
@@ -145,7 +146,7 @@ def q11r(spark, sf):
     return p.filter_report(p.filtered(generated(spark, sf), _filters()), _NAMES)
 
 
-_TOK = "list_filter(list_distinct(regexp_extract_all(lower(text), '(\\w+)', 1)), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in p.STOP_WORDS) + "))"
+_TOK = "list_filter(list_distinct(regexp_extract_all(lower(text), '(\\w+)', 1)), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in "the a an is are was were in on at to for of and or that this with by".split()) + "))"
 
 
 @query("q8_similar_pairs", f"WITH tk AS (SELECT doc_id, {_TOK} AS t FROM documents), tf AS (SELECT doc_id, t, len(t) AS n FROM tk WHERE len(t) > 0) SELECT a.doc_id AS i, b.doc_id AS j FROM tf a JOIN tf b ON a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) WHERE len(list_intersect(a.t, b.t))::DOUBLE / (a.n + b.n - len(list_intersect(a.t, b.t))) > 0.85")

@@ -81,12 +81,8 @@ def g5(spark, sf):
 
 @query("g6_null_check_per_query")
 def g6(spark, sf):
-    """Empirical halves against a Gaussian fit, query by query."""
     null = nulls.sampled_negatives(b.scores(spark, sf), b.qrels(spark, sf), 0)
-    fit = nulls.summary(null, "query_id").select("query_id", "mean", "std")
-    gauss = null.join(fit, "query_id").withColumn("p", c.parametric_p((F.col("value") - F.col("mean")) / F.col("std")))
-    by = va.with_p(va.ks_uniform(gauss, "query_id"))
-    return by.select("query_id", "n", "d", F.round("p_value", 4).alias("p_value"), (F.col("p_value") > 0.05).alias("gaussian_fits"))
+    return rounded(va.null_checks(null, ["query_id", "doc_id"] if "doc_id" in null.columns else ["query_id", "value"]))
 
 
 @query("g7_calibration_by_query", f"WITH {_FP}, np AS (SELECT * FROM pall WHERE rel = 0), {_ks('k', 'np', 'query_id')} SELECT query_id, n, d FROM k")
@@ -105,10 +101,10 @@ def g8(spark, sf):
     return rounded(va.compared(*cuts))
 
 
-@query("g9_artifact_test", f"WITH {_FP}, np AS (SELECT * FROM pall WHERE rel = 0), {_ks('k', 'np', 'query_id')}, r AS (SELECT query_id, avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END) AS rate FROM pall WHERE rel = 1 GROUP BY ALL) SELECT d < 0.01 AS passed, count(*) AS n, round(avg(rate), 6) AS mean_rate, round(quantile_cont(rate, 0.5), 6) AS median_rate FROM k JOIN r USING (query_id) GROUP BY ALL")
+@query("g9_artifact_test", f"WITH {_FP}, np AS (SELECT * FROM pall WHERE rel = 0), {_ks('k', 'np', 'query_id')}, r AS (SELECT query_id, avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END) AS rate FROM pall WHERE rel = 1 GROUP BY ALL) SELECT CASE WHEN (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d < 0.4 THEN true ELSE 2 * list_sum([CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * i * i * power((sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d, 2)) for i in range(1, 40)]) > 0.05 END AS passed, count(*) AS n, round(avg(rate), 6) AS mean_rate, round(quantile_cont(rate, 0.5), 6) AS median_rate FROM k JOIN r USING (query_id) GROUP BY ALL")
 def g9(spark, sf):
     p = _full_p(spark, sf)
-    uniform = va.ks_uniform(p.where("rel = 0"), "query_id").select("query_id", (F.col("d") < 0.01).alias("passed"))
+    uniform = va.with_p(va.ks_uniform(p.where("rel = 0"), "query_id")).select("query_id", (F.col("p_value") > 0.05).alias("passed"))
     rate = p.where("rel = 1").groupBy("query_id").agg(F.avg((F.col("p") < 0.05).cast("double")).alias("rate"))
     return rounded(va.artifact(uniform, rate))
 
@@ -231,17 +227,25 @@ def d10(spark, sf):
     return rounded(g.grouped(c.thresholds(c.curve(rt.with_global_p(spark, sf), 0.3)), _cuts(spark, sf), least=2.0))
 
 
-@query("d10_relevant_p", f"WITH {P}, {_N2}, {_PQ} SELECT query_id, count(*) AS n, round(min(p), 9) AS best, round(quantile_cont(p, 0.5), 9) AS median, round(avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS under_05, round(avg(CASE WHEN p < 0.01 THEN 1.0 ELSE 0.0 END), 6) AS under_01, count(*) FILTER (rank <= 30) AS in_window FROM pq WHERE rel = 1 GROUP BY query_id")
+@query("d10_relevant_p", f"WITH {P}, {_N2}, {_PQ} SELECT query_id, count(*) AS n, round(min(p), 9) AS best, round(quantile_cont(p, 0.5), 9) AS median, round(avg(CASE WHEN p < 0.05 THEN 1.0::DOUBLE ELSE 0 END), 9) AS under_05, round(avg(CASE WHEN p < 0.01 THEN 1.0::DOUBLE ELSE 0 END), 9) AS under_01, count(*) FILTER (rank <= 30) AS in_window FROM pq WHERE rel = 1 GROUP BY query_id")
 def d10b(spark, sf):
     return rounded(g.relevant_p(b.flagged(rt.with_query_p(spark, sf), spark, sf).where("rel = 1"), 30), 9)
 
 
+_CLEAN = f"{z_sql('k', 'p', drop='rel = 1', need=5)}, kn AS (SELECT query_id, z AS value FROM k WHERE rel = 0), {p_sql('kp', 'k', 'kn', 'z')}, {hc_sql('x', 'kp', '0.3')}"
+
+
 @query(
     "d11_failure_modes",
-    f"WITH {_HQ}, r AS (SELECT query_id, count(*) AS n, quantile_cont(p, 0.5) AS median_p, (max(rank) - min(rank))::DOUBLE / count(*) AS scatter FROM pq WHERE rel = 1 GROUP BY ALL) SELECT query_id, CASE WHEN coalesce(median_p, 1) > 0.3 THEN 'weak_signal' WHEN coalesce(n, 0) < 3 THEN 'too_sparse' WHEN statistic > -1 THEN 'borderline' ELSE 'too_scattered' END AS mode FROM h LEFT JOIN r USING (query_id)",
+    f"""WITH {_HQ}, {_N4}, {_PG}, {hc_sql('w', 'pg', '0.3')}, {_CLEAN},
+r AS (SELECT query_id, min(p) AS best, count(*) FILTER (rank <= 30) AS n_in, count(*) FILTER (p < 0.05) AS n_sig FROM pq WHERE rel = 1 GROUP BY ALL),
+i AS (SELECT query_id, w.statistic AS sg, h.statistic AS so, coalesce(best, 1) AS best, coalesce(n_in, 0) AS n_in, coalesce(n_sig, 0) AS n_sig, coalesce(w.statistic < 10 AND x.statistic >= 10, false) AS flips FROM w JOIN h USING (query_id) LEFT JOIN r USING (query_id) LEFT JOIN x USING (query_id) WHERE w.statistic <= 10 AND h.statistic <= 10)
+SELECT query_id, CASE WHEN best > 0.05 THEN 'weak_signal' WHEN n_in < 3 THEN 'too_sparse' WHEN flips THEN 'zscore_distortion' WHEN so > 9 THEN 'borderline' ELSE 'too_scattered' END AS mode, round(sg, 6) AS statistic_global, round(so, 6) AS statistic_own, round(best, 6) AS best_p, n_in AS n_in_window, n_sig AS n_significant, round(n_in / 30.0::DOUBLE, 6) AS concentration, flips AS clean_flips FROM i""",
 )
 def d11(spark, sf):
-    return g.failure_modes(_cuts(spark, sf), b.flagged(rt.with_query_p(spark, sf), spark, sf).where("rel = 1"))
+    cuts = c.thresholds(c.curve(rt.with_global_p(spark, sf), 0.3))
+    fixed = g.clean_fix(b.flagged(b.pool(spark, sf), spark, sf), cuts, gamma=0.3, level=10.0)
+    return rounded(g.failure_modes(cuts, _cuts(spark, sf), b.flagged(rt.with_query_p(spark, sf), spark, sf).where("rel = 1"), fixed, 30, level=10.0))
 
 
 @query("d12_clean_z_fix", f"WITH {P}, {_N4}, {_PG}, {hc_sql('w', 'pg', '0.3')}, {z_sql('k', 'p', drop='rel = 1', need=5)}, kn AS (SELECT query_id, z AS value FROM k WHERE rel = 0), {p_sql('kp', 'k', 'kn', 'z')}, {hc_sql('x', 'kp', '0.3')} SELECT query_id, round(w.statistic, 6) AS before, round(x.statistic, 6) AS after, w.statistic < 1 AND x.statistic >= 1 AS flipped FROM w JOIN x USING (query_id)")

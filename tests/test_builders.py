@@ -1,5 +1,7 @@
 """Text, chunks, answers, passages and catalogue on small literal inputs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,7 +38,11 @@ def test_chunkers_cover_their_text():
     for chunks in (ch.pack_sentences(text, 40, 10), ch.passages_of(text, 300, 50)):
         assert all(text[x:y].strip() for _, x, y in chunks) and chunks[0][1] == 0 and chunks[-1][2] == len(text)
         assert all(b[1] <= a[2] + 1 and b[1] > a[1] for a, b in zip(chunks, chunks[1:], strict=False))
-    assert all(len(x) // 4 <= 40 for x in ch.split_by(text, 40, 10, 0))
+    assert all(sum(len(w) // 4 for w in re.split(r"\. |[ \n]", x)) <= 40 for x in ch.split_by(text, 40, 10, 0))
+    # parts of 2, 1 and 3 tokens: empty ones go, sizes add up, the last part comes again if it is short enough
+    assert ch.split_by("eightchr\n\n\n\nfour\n\ntwelve chars", 4, 1, 0) == ["eightchr\n\nfour", "four\n\ntwelve chars"]
+    assert ch.split_by("eightchr\n\nfour\n\ntwelve chars", 4, 0, 0) == ["eightchr\n\nfour", "twelve chars"]
+    assert ch.split_by("x" * 40, 4, 0, 0) == ["x" * 40]
     assert ch.sections_of("a\n== T ==\nb\n=== U ===\nc") == [("Lead", 0, "a"), ("T", 1, "b"), ("U", 2, "c")]
 
 

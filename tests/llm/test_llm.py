@@ -453,6 +453,54 @@ def test_licenses(spark):
     assert licenses.scan_licenses(files.where("key < 0")).count() == 0
 
 
+def notice(name, start):
+    return next(t for n, t in licenses.TEMPLATES if n == name and t.startswith(start) and len(t) > 200)
+
+
+def test_license_texts_and_headers(spark):
+    """Whole licence texts, headers over several lines and SPDX tags; code about other things has no licence."""
+    import textwrap
+
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 70))
+    code = "\nimport os\n" + "\n".join(f"value_{i} = compute(other_{i}, table, index)" for i in range(200))
+    bsd3, bsd2, mit = notice("BSD-3-Clause", "Redis"), notice("BSD-2-Clause", "Redis"), notice("MIT", "Permission")
+    rows = [
+        (1, "b3/LICENSE", "Copyright (c) 2020, Jane Doe\nAll rights reserved.\n\n" + wrap(bsd3)),
+        (2, "b2/LICENSE", "Copyright (c) 2020, Jane Doe\nAll rights reserved.\n\n" + wrap(bsd2)),
+        (3, "b2/src/deep/x.c", "int main;"),
+        (4, "ap/x.py", "# Copyright 2020 The Authors\n#\n" + wrap(notice("Apache-2.0", "Licensed under"), "# ") + code),
+        (5, "tag/y.rs", "// SPDX-License-Identifier: WTFPL\n" + code),
+        (6, "gpl/z.c", "/*\n" + wrap(notice("GPL-2.0", "This program"), " * ") + "\n */\n" + code),
+        (7, "mit/m.js", "// Copyright Jane Doe\n//\n" + wrap(mit, "// ") + code),
+        (8, "none/n.py", code),
+        (9, "ap2/LICENSE", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE\n"),
+        (10, "isc/ISC.txt", wrap(notice("ISC", "Permission"))),
+        (None, "nul/LICENSE", wrap(mit)),
+        (None, None, None),
+        (12, "mit/m.js", code),
+        (12, "mit/m.js", code),
+        (13, "long/LICENSE.txt", wrap(mit) + "\n\n" + "sundry words of nobody " * 50_000),
+    ]
+    rows += [(100 + i, f"code/f{i}.py", f"common words {i} of the code in every file and for the use of it {i * 7}" + code) for i in range(60)]
+    files = spark.createDataFrame([(*r, "x", 0.5, 1) for r in rows], "key long, path string, text string, license string, score double, id int")
+    found = licenses.scan_licenses(files)
+    got = {r.key: (r.license, r.origin, r.from_path) for r in found.collect() if r.key is not None}
+    assert got[1][:2] == ("BSD-3-Clause", "header") and got[2][:2] == ("BSD-2-Clause", "header")
+    assert got[3] == ("BSD-2-Clause", "inherited", "b2/LICENSE")
+    assert got[4][:2] == ("Apache-2.0", "header") and got[5][:2] == ("WTFPL", "header") and got[6][:2] == ("GPL-2.0", "header")
+    assert got[7][:2] == ("MIT", "header") and got[8] == (None, "none", None) and got[9][:2] == ("Apache-2.0", "header")
+    assert got[10][:2] == ("ISC", "header") and got[12] == (None, "none", None) and got[13][:2] == ("MIT", "header")
+    assert all(got[100 + i] == (None, "none", None) for i in range(60))
+    nulls = {r.path: r.license for r in found.where("key is null").collect()}
+    assert nulls == {"nul/LICENSE": "MIT", "": None} and found.count() == len(rows)
+    import duckdb
+
+    db = duckdb.connect()
+    db.register("files", files.select("key", "path", "text").toPandas().astype({"key": "Int64"}))
+    want = sorted(map(repr, db.sql(licenses.license_sql("SELECT * FROM files")).fetchall()))
+    assert sorted(repr(tuple(r)) for r in found.collect()) == want
+
+
 def test_lm_counts_and_base(spark, docs, none):
     got = lm.score_documents(docs, lexicon=20, frequent=60, lanes=8).collect()
     tok = lambda t: [*re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), ""]

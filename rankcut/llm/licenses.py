@@ -9,8 +9,9 @@ score 1. A file is a licence file of its folder if its name says so or if segmen
 words at least. A file without a licence of its own gets that of the nearest folder above it that has a licence file (of
 several, the one with the greatest cosine, then the first path). All is DataFrame and SQL functions.
 
-No segment is compared that cannot reach `least`: it must hold one of a template's weightiest words, those without which
-the rest of the template is too light (a prefix filter by df, which loses nothing).
+No segment is compared that cannot reach `least`, which loses nothing: with m(w) the greatest share that word w has in the
+squared length of a template, the squared cosine is at most the sum of m over the segment's words. So that sum must be
+least ** 2 at least, and one of the words must be beyond the most frequent ones that together stay below that.
 
 A null path is the root folder's; a null text is empty; rows with a null key are files like others. Files without licence
 get null and origin "none". Rows that repeat give rows each; rows with the same key and path take the best of both. An empty
@@ -182,26 +183,32 @@ def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     total = F.broadcast(counted.where("word = ''").select(F.col("df").alias("files")))  # one row
     df = F.broadcast(counted.where("word <> ''"))  # a row for each word of the vocabulary
     idf = F.log((1 + F.col("files")) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    t = terms.join(df, "word", "left").crossJoin(total).select("template", "license", "word", F.col("tf").alias("t_tf"), idf.alias("t_idf"))
+    t = terms.join(df, "word", "left").crossJoin(total).select("template", "license", "word", F.col("tf").alias("t_tf"), idf.alias("t_idf"), F.coalesce("df", F.lit(0)).alias("df"))
     t_norm = F.broadcast(t.groupBy("template").agg(F.sum(F.pow(F.col("t_tf") * F.col("t_idf"), 2)).alias("t_norm")))
 
-    # the words of which a segment must hold one: without them the rest of a template weighs too little
-    weight = F.pow(F.col("t_tf") * F.col("t_idf"), 2)
-    lighter = F.sum(weight).over(Window.partitionBy("template").orderBy(weight, "word"))  # the rest if this and heavier ones are away, and this
-    needed = t.withColumn("_up_to", lighter).join(t_norm, "template").where(F.col("_up_to") >= (least * 0.999) ** 2 * F.col("t_norm"))
-    needed = F.broadcast(needed.agg(F.collect_set("word").alias("needed")))  # one row, of the vocabulary at most
-    may = lambda text: F.arrays_overlap(words(text), F.col("needed"))
+    # what a segment's words can reach (see above); tables of the vocabulary, in one row
+    reach = (least * 0.999) ** 2
+    shares = t.join(t_norm, "template").groupBy("word", "df").agg(F.max(F.pow(F.col("t_tf") * F.col("t_idf"), 2) / F.col("t_norm")).alias("m"))
+    shares = shares.withColumn("frequent", F.sum("m").over(Window.orderBy(F.desc("df"), "word")) < reach)
+    needed = F.broadcast(
+        shares.agg(F.struct(F.collect_list(F.when(~F.col("frequent"), F.col("word"))).alias("rare"), F.map_from_entries(F.collect_list(F.struct("word", "m"))).alias("m")).alias("needed"))
+    )
+
+    def may(text: Column) -> Column:
+        total = F.aggregate(F.array_intersect(words(text), F.map_keys("needed.m")), F.lit(0.0), lambda x, w: x + F.col("needed.m")[w])
+        return F.arrays_overlap(words(text), F.col("needed.rare")) & (total >= reach)
 
-    found = files.crossJoin(needed).where(may(F.col("text"))).distinct()  # rows that repeat count once
+    found = files.crossJoin(needed).where(may(F.col("text"))).select("id", "text").distinct()  # rows that repeat count once
     parts = (
-        found.select("id", "needed", F.size(words(F.col("text"))).alias("n_words"), F.posexplode(segments(F.col("text"))).alias("seg", "g"))
-        .select("id", "n_words", "seg", "needed", F.col("g.kind").alias("kind"), F.col("g.s").alias("s"))
+        found.select("id", F.size(words(F.col("text"))).alias("n_words"), F.posexplode(segments(F.col("text"))).alias("seg", "g"))
+        .select("id", "n_words", "seg", F.col("g.kind").alias("kind"), F.col("g.s").alias("s"))
+        .crossJoin(needed)
         .where(may(F.col("s")))
     )
     tf = parts.select("id", "n_words", "seg", "kind", F.explode(words(F.col("s"))).alias("word")).groupBy("id", "n_words", "seg", "kind", "word").agg(F.count("*").alias("tf"))
     weighed = tf.join(df, "word", "left").crossJoin(total).select("id", "n_words", "seg", "kind", "word", "tf", idf.alias("idf"))
     norms = weighed.groupBy("id", "n_words", "seg", "kind").agg(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("norm"), F.sum("tf").alias("size"))
-    dots = weighed.join(F.broadcast(t), "word").groupBy("id", "n_words", "seg", "template", "license").agg(F.sum(F.col("tf") * F.col("t_tf") * F.col("idf") * F.col("t_idf")).alias("dot"))
+    dots = weighed.join(F.broadcast(t.drop("df")), "word").groupBy("id", "n_words", "seg", "template", "license").agg(F.sum(F.col("tf") * F.col("t_tf") * F.col("idf") * F.col("t_idf")).alias("dot"))
     score = F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("t_norm")), 6)
     matched = dots.join(norms, ["id", "n_words", "seg"]).join(t_norm, "template").withColumn("score", score).where(F.col("score") >= least)
     best = lambda: F.min_by("license", F.struct(-F.col("score"), "license")).alias("license")

@@ -25,6 +25,11 @@ def category_profile(items: DataFrame, content: Column) -> DataFrame:
     return paths.groupBy("level", "category").agg(F.count("*").alias("n"), F.count_if("_ok").alias("n_content"))
 
 
+def label_totals(items: DataFrame, labels: Column, depth: Column, content: Column) -> DataFrame:
+    """One row: items, those with content, those with several labels, and the greatest depth of a label."""
+    return items.agg(F.count("*").alias("n"), F.count_if(content).alias("n_content"), F.count_if(F.size(labels) > 1).alias("n_multi"), F.max(depth).alias("max_depth"))
+
+
 def level_statistics(profile: DataFrame, bands: list[tuple[str, int, int]]) -> DataFrame:
     """Sizes of the categories of each level; the median is element n // 2 of the descending list."""
     w = Window.partitionBy("level")
@@ -153,3 +158,9 @@ def composition(corpus: DataFrame) -> DataFrame:
     by = corpus.groupBy("tier").agg(F.count("*").alias("n"))
     total = by.agg(F.sum("n").alias("_t"))  # one row
     return by.crossJoin(F.broadcast(total)).select("tier", "n", (100 * F.col("n") / F.col("_t")).alias("percent"))
+
+
+def relevant_per_query(qrels: DataFrame) -> DataFrame:
+    """One row: how many queries there are and how many documents are relevant to each."""
+    by = qrels.groupBy("query_id").agg(F.count("*").alias("k"))
+    return by.agg(F.count("*").alias("n_queries"), F.min("k").alias("min_k"), F.max("k").alias("max_k"), F.avg("k").alias("mean_k"))

@@ -127,6 +127,16 @@ def thresholds(on_curve: DataFrame, min_hc: float = 0.0, allow_empty: bool = Tru
     )
 
 
+def pool_size_sweep(candidates: DataFrame, sizes: list[int], most: int) -> DataFrame:
+    """(pool_size, query_id, statistic, k): cuts within the first candidates of each size, with gamma = most / size. All
+    sizes go through one grouping, as (query, size) groups of the pool that is ranked once."""
+    swept = candidates.withColumn("_n", F.explode(F.array(*map(F.lit, sizes)))).where(F.col("rank") <= F.col("_n"))
+    swept = swept.withColumn("query_id", F.struct(F.col("query_id").alias("q"), F.col("_n").alias("n")))
+    cuts = thresholds(curve(swept, F.lit(float(most)) / F.col("_n")))
+    return cuts.select(F.col("query_id.n").alias("pool_size"), F.col("query_id.q").alias("query_id"), "statistic", "k")
+
+
+
 def keep(candidates: DataFrame, cuts: DataFrame, max_k: int | None = None) -> DataFrame:
     k = F.col("k") if max_k is None else F.least("k", F.lit(max_k))
     return candidates.join(cuts, "query_id").where(F.col("rank") <= k)

@@ -40,16 +40,23 @@ def landscape(pool: DataFrame, top: int = 100) -> DataFrame:
     return nth.join(iqr, "query_id").groupBy("query_id").agg(
         F.avg(rel).alias("mean_rel"), F.stddev_pop(rel).alias("std_rel"), F.avg(non).alias("mean_non"), F.stddev_pop(non).alias("std_non"), (F.avg(rel) - F.avg(non)).alias("gap"),
         (F.avg(rel) - F.avg(F.when(_non() & (F.col("_i") <= top), s))).alias("gap_top"), F.avg(F.when(_rel(), s.between(F.col("_q1"), F.col("_q3")).cast("double"))).alias("inside_iqr"),
+        *(f(x).alias(f"{name}_{side}") for side, x in (("rel", rel), ("non", non)) for name, f in (("min", F.min), ("max", F.max))), F.skewness(non).alias("skew_non"),
     )
 
 
+def landscape_means(by_query: DataFrame) -> DataFrame:
+    """One row: the means of landscape() over the queries that have a value."""
+    names = ("mean_rel", "mean_non", "gap", "gap_top", "inside_iqr", "skew_non")
+    return by_query.agg(F.count("*").alias("n"), *(F.avg(x).alias(x) for x in names))
+
+
 def rank_positions(relevant: DataFrame) -> DataFrame:
     """Places (from 0) of the relevant candidates."""
     rows = relevant.withColumn("r", F.col("rank") - 1)
     rows = rows.withColumn("gap", F.col("r") - F.lag("r").over(_by_query().orderBy("rank")))
     return rows.groupBy("query_id").agg(
         F.count("*").alias("n"), *(F.count_if(F.col("r") < n).alias(f"in_top_{n}") for n in (50, 100, 200)), F.avg("r").alias("mean_rank"), F.percentile("r", F.lit(0.5)).alias("median_rank"),
-        F.min("r").alias("first_rank"), F.max("r").alias("last_rank"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"), ((F.max("r") - F.min("r")) / F.count("*")).alias("dispersion"),
+        F.min("r").alias("first_rank"), F.max("r").alias("last_rank"), (F.max("r") - F.min("r")).alias("rank_range"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"), ((F.max("r") - F.min("r")) / F.count("*")).alias("dispersion"),
     )
 
 
@@ -71,11 +78,11 @@ def contamination(pool: DataFrame, fractions: list[float]) -> DataFrame:
 
 
 def null_fit(null: DataFrame) -> DataFrame:
-    """Each query's null deviation against that of all: narrower, matched or wider."""
+    """Each query's null deviation against that of all: narrower, matched or wider, and the shape of its null."""
     total = null.agg(F.stddev_pop("value").alias("_s"))  # one row
     x = F.col("std_ratio")
-    return null.groupBy("query_id").agg(F.count("*").alias("n"), F.stddev_pop("value").alias("_q")).crossJoin(F.broadcast(total)).withColumn("std_ratio", F.col("_q") / F.col("_s")).select(
-        "query_id", "n", "std_ratio", F.when(x < 0.8, "narrower").when(x > 1.2, "wider").otherwise("matched").alias("direction")
+    return null.groupBy("query_id").agg(F.count("*").alias("n"), F.stddev_pop("value").alias("_q"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurtosis")).crossJoin(F.broadcast(total)).withColumn("std_ratio", F.col("_q") / F.col("_s")).select(
+        "query_id", "n", "std_ratio", F.when(x < 0.8, "narrower").when(x > 1.2, "wider").otherwise("matched").alias("direction"), "skew", "kurtosis"
     )
 
 
@@ -123,11 +130,16 @@ def trace(p: DataFrame, top: int = 100) -> DataFrame:
     return rows.select("query_id", F.col("t.doc_id").alias("docs"), F.col("t.rel").alias("rels"), F.col("t.z").alias("zs"), F.col("t.p").alias("ps"))
 
 
-def grouped(cuts: DataFrame, other: DataFrame, least: float = 0.0) -> DataFrame:
-    """positive under the null in use, fixable by the other one, irreducible."""
+def groups_of(cuts: DataFrame, other: DataFrame, least: float = 0.0) -> DataFrame:
+    """(query_id, k, grp): positive under the null in use, fixable by the other one, irreducible."""
     both = cuts.select("query_id", F.col("statistic").alias("a"), "k").join(other.select("query_id", F.col("statistic").alias("b")), "query_id")
     name = F.when(F.col("a") >= least, "positive").when(F.col("b") >= least, "fixable").otherwise("irreducible")
-    return both.groupBy(name.alias("grp")).agg(F.count("*").alias("n"), F.avg("k").alias("mean_k"))
+    return both.select("query_id", "k", name.alias("grp"))
+
+
+def grouped(cuts: DataFrame, other: DataFrame, least: float = 0.0) -> DataFrame:
+    """Sizes of the groups and their mean k."""
+    return groups_of(cuts, other, least).groupBy("grp").agg(F.count("*").alias("n"), F.avg("k").alias("mean_k"))
 
 
 def relevant_p(relevant: DataFrame, window: int) -> DataFrame:
@@ -169,3 +181,10 @@ def boundary(z: DataFrame, window: int) -> DataFrame:
     """Share eps and mean z of relevant candidates in the window; above if it exceeds sqrt(2 ln(1 / eps))."""
     by = z.where(F.col("rank") <= window).groupBy("query_id").agg(F.avg(F.col("rel").cast("double")).alias("eps"), F.avg(F.when(_rel(), F.col("z"))).alias("signal")).where("eps > 0")
     return by.withColumn("above", F.col("signal") > F.sqrt(2 * F.log(1 / F.col("eps"))))
+
+
+def boundary_by_group(bounds: DataFrame, groups: DataFrame) -> DataFrame:
+    """Means of boundary() by group; groups(query_id, grp)."""
+    return bounds.join(groups, "query_id").groupBy("grp").agg(
+        F.count("*").alias("n"), F.avg("eps").alias("mean_eps"), F.avg("signal").alias("mean_signal"), F.count_if("above").alias("n_above"), F.avg(F.col("above").cast("double")).alias("share_above")
+    )

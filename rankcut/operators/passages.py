@@ -49,10 +49,11 @@ def lead_mismatch(asked: DataFrame, mapped: DataFrame, targets: DataFrame) -> Da
 
 
 def cluster_coverage(members: DataFrame, passages: DataFrame) -> DataFrame:
-    """members(cluster_id, entity): entities with passages, rates and quality; valid at 0.8 covered and 3 passages each."""
+    """members(cluster_id, entity): entities with passages, rates and quality, those without (missing, in order); valid at 0.8 covered and 3 passages each."""
     n = passages.groupBy("entity").agg(F.count("*").alias("_n"))
     by = members.join(n, "entity", "left").groupBy("cluster_id").agg(
-        F.count("*").alias("n_entities"), F.count("_n").alias("n_covered"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_passages"), F.coalesce(F.avg("_n"), F.lit(0.0)).alias("mean_passages"), (F.count("_n") / F.count("*")).alias("rate")
+        F.count("*").alias("n_entities"), F.count("_n").alias("n_covered"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_passages"), F.coalesce(F.avg("_n"), F.lit(0.0)).alias("mean_passages"), (F.count("_n") / F.count("*")).alias("rate"),
+        F.sort_array(F.collect_list(F.when(F.col("_n").isNull(), F.col("entity")))).alias("missing"),
     )
     quality = F.when(F.col("mean_passages") >= 10, "high").when(F.col("mean_passages") >= 5, "medium").otherwise("low")
     return by.withColumns({"quality": quality, "valid": (F.col("rate") >= 0.8) & (F.col("mean_passages") >= 3)})

@@ -103,6 +103,18 @@ def to_parents(chunks: DataFrame, mapping: DataFrame, how: str = "max", k: int |
     return ranked(docs, k)
 
 
+def sweep_strategies(chunks: DataFrame, mapping: DataFrame, ks: list[int], strategies: tuple[str, ...] = ("max", "mean", "sum")) -> DataFrame:
+    """to_parents() for several strategies and k in one grouping: (strategy, k, query_id, doc_id, similarity, rank)."""
+    agg = {"max": F.max, "mean": F.avg, "sum": F.sum}
+    docs = chunks.join(mapping, "chunk_id").groupBy("query_id", F.col("parent_doc_id").alias("doc_id")).agg(
+        F.array(*(F.struct(F.lit(s).alias("strategy"), F.round(agg[s]("similarity"), 6).alias("similarity")) for s in strategies)).alias("of")
+    )
+    rows = docs.select("query_id", "doc_id", F.inline("of"))
+    order = Window.partitionBy("strategy", "query_id").orderBy(F.desc("similarity"), "doc_id")
+    top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(ks))
+    return sweep(top, ks).select("strategy", "k", "query_id", "doc_id", "similarity", "rank")
+
+
 def sampled_pairs(queries: DataFrame, corpus: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n random (query, document) pairs with replacement and their cosine: (pair, similarity). Rows get numbers in order of
     id by a distributed count; pairs pick numbers by hash."""

@@ -141,3 +141,16 @@ def b11(spark, sf):
 @query("b12_composition", f"WITH {ITEMS}, {_TIER}, a AS (SELECT * FROM core UNION ALL SELECT * FROM easy) SELECT tier, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM a), 6) AS percent FROM a GROUP BY tier")
 def b12(spark, sf):
     return rounded(k.composition(b9(spark, sf)))
+
+
+@query("b12_relevant_per_query", f"WITH {ITEMS}, {_TIER}, g AS (SELECT query_id, count(*) AS k FROM tr WHERE tier = 'relevant' GROUP BY query_id) SELECT count(*) AS n_queries, min(k) AS min_k, max(k) AS max_k, round(avg(k), 6) AS mean_k FROM g")
+def b12k(spark, sf):
+    return rounded(k.relevant_per_query(b9q(spark, sf)))
+
+
+@query("b2_label_totals", "SELECT count(*) AS n, count(*) FILTER (p_retailprice > 950) AS n_content, count(*) FILTER (p_size > 25) AS n_multi, max(len(string_split(p_type, ' '))) AS max_depth FROM part")
+def b2t(spark, sf):
+    # parts of over 25 have their brand for a second label; a type's words are its levels
+    p = table(spark, sf, "part")
+    labels = F.when(F.col("p_size") > 25, F.array("p_type", "p_brand")).otherwise(F.array("p_type"))
+    return k.label_totals(p, labels, F.size(F.split("p_type", " ")), F.col("p_retailprice") > 950)

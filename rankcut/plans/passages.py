@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankcut.functions.text import k_range
 from rankcut.operators import passages as p
 from rankcut.plans.base import rounded
 from rankcut.plans.registry import query, table
@@ -59,7 +60,7 @@ def q3m(spark, sf):
     return p.lead_mismatch(a, p.lead_mapping(a, passages(spark, sf)), a.groupBy("query_id").agg(F.count("*").alias("target_k")))
 
 
-@query("q4_cluster_coverage", f"WITH {BASE}, n AS (SELECT entity, count(*) AS n FROM pas GROUP BY ALL), g AS (SELECT cluster_id, count(*) AS n_entities, count(n) AS n_covered, coalesce(sum(n), 0)::BIGINT AS n_passages, coalesce(avg(n), 0) AS m, count(n)::DOUBLE / count(*) AS r FROM members LEFT JOIN n USING (entity) GROUP BY ALL) SELECT cluster_id, n_entities, n_covered, n_passages, round(m, 6) AS mean_passages, round(r, 6) AS rate, CASE WHEN m >= 10 THEN 'high' WHEN m >= 5 THEN 'medium' ELSE 'low' END AS quality, r >= 0.8 AND m >= 3 AS valid FROM g")
+@query("q4_cluster_coverage", f"WITH {BASE}, n AS (SELECT entity, count(*) AS n FROM pas GROUP BY ALL), g AS (SELECT cluster_id, count(*) AS n_entities, count(n) AS n_covered, coalesce(sum(n), 0)::BIGINT AS n_passages, coalesce(avg(n), 0) AS m, count(n)::DOUBLE / count(*) AS r, coalesce(list(entity ORDER BY entity) FILTER (n IS NULL), []) AS missing FROM members LEFT JOIN n USING (entity) GROUP BY ALL) SELECT cluster_id, n_entities, n_covered, n_passages, round(m, 6) AS mean_passages, round(r, 6) AS rate, CASE WHEN m >= 10 THEN 'high' WHEN m >= 5 THEN 'medium' ELSE 'low' END AS quality, r >= 0.8 AND m >= 3 AS valid, missing FROM g")
 def q4(spark, sf):
     return rounded(p.cluster_coverage(members(spark, sf), passages(spark, sf)))
 
@@ -206,9 +207,9 @@ def q15(spark, sf):
     return p.split(generated(spark, sf), "conv_id").select("query_id", "split")
 
 
-@query("q16_metadata_counts", f"WITH {GEN} SELECT 'difficulty' AS dimension, difficulty AS value, count(*) AS n FROM gen GROUP BY difficulty UNION ALL SELECT 'cluster_type', cluster_type, count(*) FROM gen GROUP BY cluster_type")
+@query("q16_metadata_counts", f"WITH {GEN} SELECT 'difficulty' AS dimension, difficulty AS value, count(*) AS n FROM gen GROUP BY difficulty UNION ALL SELECT 'cluster_type', cluster_type, count(*) FROM gen GROUP BY cluster_type UNION ALL SELECT 'k_range', CASE WHEN actual_k <= 5 THEN '2-5' WHEN actual_k <= 10 THEN '6-10' WHEN actual_k <= 15 THEN '11-15' ELSE '16-20' END AS v, count(*) FROM gen GROUP BY v")
 def q16(spark, sf):
-    return p.counts_by(generated(spark, sf), "difficulty", "cluster_type")
+    return p.counts_by(generated(spark, sf).withColumn("k_range", k_range(F.col("actual_k"))), "difficulty", "cluster_type", "k_range")
 
 
 @query("q17_bucket_coverage", f"WITH {BASE}, s AS (SELECT cluster_id, count(*) AS n FROM members GROUP BY ALL), t AS (SELECT * FROM (VALUES ('small', 1, 40, 10), ('medium', 41, 60, 10), ('large', 61, 100000, 10)) t(bucket, lo, hi, target)), h AS (SELECT bucket, count(*) AS have FROM s JOIN t ON n BETWEEN lo AND hi GROUP BY ALL) SELECT bucket, target, coalesce(have, 0) AS have, greatest(0, target - coalesce(have, 0)) AS gap FROM t LEFT JOIN h USING (bucket)")

@@ -87,6 +87,14 @@ def v10(spark, sf):
     return r.sweep(b.pool(spark, sf), [5, 10, 15, 20]).select("k", "query_id", "doc_id", "rank")
 
 
+@query(
+    "v10_sweep_of_strategies",
+    f"WITH {P}, g AS (SELECT query_id, doc_id // 5 AS doc_id, round(max(similarity), 6) AS a, round(avg(similarity), 6) AS b, round(sum(similarity), 6) AS c FROM p GROUP BY ALL), u AS (SELECT 'max' AS strategy, query_id, doc_id, a AS similarity FROM g UNION ALL SELECT 'mean', query_id, doc_id, b FROM g UNION ALL SELECT 'sum', query_id, doc_id, c FROM g), o AS (SELECT *, row_number() OVER (PARTITION BY strategy, query_id ORDER BY similarity DESC, doc_id) AS rank FROM u) SELECT strategy, k, query_id, doc_id, similarity, rank FROM o, (SELECT unnest([5, 10, 20]) AS k) WHERE rank <= k",
+)
+def v10s(spark, sf):
+    return r.sweep_strategies(b.pool(spark, sf).select("query_id", F.col("doc_id").alias("chunk_id"), "similarity"), _parents(spark, sf), [5, 10, 20])
+
+
 # nulls
 
 _N2 = "n2 AS (SELECT query_id, similarity AS value FROM s0 WHERE rel = 0)"
@@ -238,6 +246,17 @@ def hc6(spark, sf):
 _GAMMAS = (0.05, 0.1, 0.3, 0.5)
 
 
+_SIZES, _MOST = (40, 60, 100), 20
+
+
+@query(
+    "hc7_pool_size_sweep",
+    f"WITH {P}, {_N2}, {_PQ}, " + ", ".join(f"c{n} AS (SELECT * FROM pq WHERE rank <= {n}), " + hc_sql(f"s{n}", f"c{n}", repr(_MOST / n)) for n in _SIZES) + " " + " UNION ALL ".join(f"SELECT {n} AS pool_size, query_id, round(statistic, 6) AS statistic, k FROM s{n}" for n in _SIZES),
+)
+def hc7p(spark, sf):
+    return rounded(c.pool_size_sweep(with_query_p(spark, sf), list(_SIZES), _MOST))
+
+
 @query("hc7_gamma_sweep", f"WITH {P}, {_N2}, {_PQ}, " + ", ".join(hc_sql(f"h{i}", "pq", str(g)) for i, g in enumerate(_GAMMAS)) + " " + " UNION ALL ".join(f"SELECT {g}::DOUBLE AS gamma, query_id, k FROM h{i}" for i, g in enumerate(_GAMMAS)))
 def hc7(spark, sf):
     p = with_query_p(spark, sf)

@@ -136,21 +136,28 @@ def d1(spark, sf):
     return rounded(g.by_sign(_cuts(spark, sf), m.recall_ceiling(b.queries(spark, sf), b.pool(spark, sf), b.qrels(spark, sf)), below=1.0))
 
 
-@query(
-    "d2_similarity_landscape",
-    f"""WITH {P}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, rel ORDER BY rank) AS i FROM p),
+_LAND = f"""WITH {P}, o AS (SELECT *, avg(similarity) OVER (PARTITION BY query_id, rel) AS mu, row_number() OVER (PARTITION BY query_id, rel ORDER BY rank) AS i FROM p),
 f AS (SELECT query_id, quantile_cont(similarity, 0.25) AS q1, quantile_cont(similarity, 0.75) AS q3 FROM p WHERE rel = 0 GROUP BY ALL)
 SELECT query_id, round(avg(similarity) FILTER (rel = 1), 4) AS mean_rel, round(stddev_pop(similarity) FILTER (rel = 1), 4) AS std_rel, round(avg(similarity) FILTER (rel = 0), 4) AS mean_non, round(stddev_pop(similarity) FILTER (rel = 0), 4) AS std_non,
-round(avg(similarity) FILTER (rel = 1) - avg(similarity) FILTER (rel = 0), 4) AS gap, round(avg(similarity) FILTER (rel = 1) - avg(similarity) FILTER (rel = 0 AND i <= 100), 4) AS gap_top, round(avg(CASE WHEN similarity BETWEEN q1 AND q3 THEN 1.0 ELSE 0.0 END) FILTER (rel = 1), 4) AS inside_iqr FROM o JOIN f USING (query_id) GROUP BY query_id""",
-)
+round(avg(similarity) FILTER (rel = 1) - avg(similarity) FILTER (rel = 0), 4) AS gap, round(avg(similarity) FILTER (rel = 1) - avg(similarity) FILTER (rel = 0 AND i <= 100), 4) AS gap_top, round(avg(CASE WHEN similarity BETWEEN q1 AND q3 THEN 1.0 ELSE 0.0 END) FILTER (rel = 1), 4) AS inside_iqr,
+round(min(similarity) FILTER (rel = 1), 4) AS min_rel, round(max(similarity) FILTER (rel = 1), 4) AS max_rel, round(min(similarity) FILTER (rel = 0), 4) AS min_non, round(max(similarity) FILTER (rel = 0), 4) AS max_non,
+round(avg(power(similarity - mu, 3)) FILTER (rel = 0) / nullif(power(avg(power(similarity - mu, 2)) FILTER (rel = 0), 1.5), 0), 4) AS skew_non FROM o JOIN f USING (query_id) GROUP BY query_id"""
+
+
+@query("d2_similarity_landscape", _LAND)
 def d2(spark, sf):
     return rounded(g.landscape(b.flagged(b.pool(spark, sf), spark, sf)), 4)
 
 
+@query("d2_landscape_means", "SELECT count(*) AS n, " + ", ".join(f"round(avg({x}), 6) AS {x}" for x in ("mean_rel", "mean_non", "gap", "gap_top", "inside_iqr", "skew_non")) + f" FROM ({_LAND})")
+def d2m(spark, sf):
+    return rounded(g.landscape_means(d2(spark, sf)))
+
+
 @query(
     "d3_rank_positions",
     f"""WITH {P}, o AS (SELECT query_id, rank - 1 AS r, rank - 1 - lag(rank - 1) OVER (PARTITION BY query_id ORDER BY rank) AS gap FROM p WHERE rel = 1)
-SELECT query_id, count(*) AS n, count(*) FILTER (r < 50) AS in_top_50, count(*) FILTER (r < 100) AS in_top_100, count(*) FILTER (r < 200) AS in_top_200, round(avg(r), 6) AS mean_rank, round(quantile_cont(r, 0.5), 6) AS median_rank, min(r) AS first_rank, max(r) AS last_rank, round(avg(gap), 6) AS mean_gap, max(gap) AS max_gap, round((max(r) - min(r))::DOUBLE / count(*), 6) AS dispersion FROM o GROUP BY query_id""",
+SELECT query_id, count(*) AS n, count(*) FILTER (r < 50) AS in_top_50, count(*) FILTER (r < 100) AS in_top_100, count(*) FILTER (r < 200) AS in_top_200, round(avg(r), 6) AS mean_rank, round(quantile_cont(r, 0.5), 6) AS median_rank, min(r) AS first_rank, max(r) AS last_rank, max(r) - min(r) AS rank_range, round(avg(gap), 6) AS mean_gap, max(gap) AS max_gap, round((max(r) - min(r))::DOUBLE / count(*), 6) AS dispersion FROM o GROUP BY query_id""",
 )
 def d3(spark, sf):
     return rounded(g.rank_positions(b.flagged(b.pool(spark, sf), spark, sf).where("rel = 1")))
@@ -186,7 +193,7 @@ def d6(spark, sf):
     return rounded(g.heterogeneity(c.z_scores(b.pool(spark, sf))))
 
 
-@query("d5_null_fit_per_query", f"WITH {P}, {_N4}, st AS (SELECT stddev_pop(value) AS s FROM n4) SELECT query_id, count(*) AS n, round(stddev_pop(value) / max(s), 6) AS std_ratio, CASE WHEN stddev_pop(value) / max(s) < 0.8 THEN 'narrower' WHEN stddev_pop(value) / max(s) > 1.2 THEN 'wider' ELSE 'matched' END AS direction FROM n4, st GROUP BY query_id")
+@query("d5_null_fit_per_query", f"WITH {P}, {_N4}, st AS (SELECT stddev_pop(value) AS s FROM n4), c4 AS (SELECT *, value - avg(value) OVER (PARTITION BY query_id) AS c FROM n4) SELECT query_id, count(*) AS n, round(stddev_pop(value) / max(s), 6) AS std_ratio, CASE WHEN stddev_pop(value) / max(s) < 0.8 THEN 'narrower' WHEN stddev_pop(value) / max(s) > 1.2 THEN 'wider' ELSE 'matched' END AS direction, round(avg(power(c, 3)) / nullif(power(avg(c * c), 1.5), 0), 6) AS skew, round(avg(power(c, 4)) / nullif(power(avg(c * c), 2), 0) - 3, 6) AS kurtosis FROM c4, st GROUP BY query_id")
 def d5(spark, sf):
     return rounded(g.null_fit(_matched_null(spark, sf)))
 
@@ -256,3 +263,12 @@ def d12(spark, sf):
 @query("d13_detection_boundary", f"WITH {P}, {_ZP}, g AS (SELECT query_id, avg(CASE WHEN rel = 1 THEN 1.0 ELSE 0.0 END) AS eps, avg(z) FILTER (rel = 1) AS mu FROM zp WHERE rank <= 30 GROUP BY ALL) SELECT query_id, round(eps, 6) AS eps, round(mu, 6) AS signal, eps > 0 AND mu > sqrt(2 * ln(1 / CASE WHEN eps > 0 THEN eps ELSE 1 END)) AS above FROM g WHERE eps > 0")
 def d13(spark, sf):
     return rounded(g.boundary(b.flagged(c.z_scores(b.pool(spark, sf)), spark, sf), 30))
+
+
+@query(
+    "d13_boundary_by_group",
+    f"WITH {_HQ}, {_N4}, {_PG}, {hc_sql('w', 'pg', '0.3')}, g AS (SELECT query_id, avg(CASE WHEN rel = 1 THEN 1.0 ELSE 0.0 END) AS eps, avg(z) FILTER (rel = 1) AS mu FROM zp WHERE rank <= 30 GROUP BY ALL), gr AS (SELECT query_id, CASE WHEN w.statistic >= 2 THEN 'positive' WHEN h.statistic >= 2 THEN 'fixable' ELSE 'irreducible' END AS grp FROM h JOIN w USING (query_id)), u AS (SELECT *, mu > sqrt(2 * ln(1 / eps)) AS above FROM g WHERE eps > 0) SELECT grp, count(*) AS n, round(avg(eps), 6) AS mean_eps, round(avg(mu), 6) AS mean_signal, count(*) FILTER (above) AS n_above, round(avg(CASE WHEN above THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_above FROM u JOIN gr USING (query_id) GROUP BY grp",
+)
+def d13g(spark, sf):
+    groups = g.groups_of(c.thresholds(c.curve(rt.with_global_p(spark, sf), 0.3)), _cuts(spark, sf), least=2.0)
+    return rounded(g.boundary_by_group(g.boundary(b.flagged(c.z_scores(b.pool(spark, sf)), spark, sf), 30), groups))

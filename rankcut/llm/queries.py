@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankcut.llm.decontamination import contaminated
+from rankcut.llm.exact_dup import EXACT_SQL, exact_duplicates
 from rankcut.llm.knn import nearest
+from rankcut.llm.lexical import LEXICAL_SQL, ranked_documents
 from rankcut.llm.licenses import license_sql, scan_licenses
 from rankcut.llm.lm import score_documents
 from rankcut.llm.near_dup import near_duplicates
 from rankcut.llm.packing import pack_documents
 from rankcut.llm.paragraphs import repeated_passages
+from rankcut.llm.periodic import periodic_runs, with_planted_repeats
 from rankcut.llm.quality import classify
 from rankcut.llm.records import store_and_read
 from rankcut.llm.token_counts import count_tokens
@@ -69,6 +72,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("key", "doc_id")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), k=10)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(with_planted_repeats(_table(spark, sf_dir, "documents")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -80,8 +95,13 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_records": op9_token_records,
     "op10_license_scan": op10_license_scan,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op10_license_scan": f"SELECT key AS doc_id, * EXCLUDE (key) FROM ({license_sql("SELECT doc_id AS key, source || '/' || lang || '/' || doc_id AS path, text FROM documents")})",
+    "op11_lexical_search": LEXICAL_SQL,
+    "op13_exact_dedup": EXACT_SQL,
 }

@@ -37,9 +37,10 @@ class Scratch:
         self.spark = spark
         self.paths: dict[int, str] = {}
 
-    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+    def keep(self, df: DataFrame, tag: str, *folders: str) -> DataFrame:
+        """folders: columns whose values are the names of folders."""
         path = new_path(self.spark, tag)
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=list(folders) or None)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -55,11 +56,6 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Deal rows out anew, by hash of the columns, where a scan has too few or uneven partitions."""
-    return df.repartition(*cols)
-
-
 def slices(texts: pa.Array, most: int = 4_000_000):
     """(from, to) of runs of rows holding about `most` bytes each, so that a batch of long texts stays small."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -83,14 +79,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def string_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string of an Arrow array, the same on every machine."""
-    import xxhash
-
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in words.to_pylist()), np.uint64, len(words))
-
-
 def _stars(small: bool):
     """For mapInArrow over edges (a, b) that lie together by a, sorted by a and b: ties neighbours of a to the least of
     them. Large star: those above a, to the least of a and all. Small star (all lie below a): these and a itself."""

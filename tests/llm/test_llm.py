@@ -424,13 +424,27 @@ def test_nearest(spark):
 def test_quantisation_bounds():
     g = np.random.default_rng(8)
     a, b = g.standard_normal((20, 1500)), g.standard_normal((30, 1500)) * 10
-    qa, sa, na, ea = knn.quantised(a)
-    qb, sb, nb, eb = knn.quantised(b)
-    exact = qa.astype(np.int64) @ qb.astype(np.int64).T
-    assert (knn.int8_products(qa, qb) == exact).all()
-    near = np.sqrt(na[:, None] + nb[None] - 2 * sa[:, None] * sb[None] * exact)
+    b[:20] = a + np.where(np.arange(20)[:, None] % 2, 1e-9, 0)  # equal ones, and ones nearly so
+    qa, qb = knn.quantised(a), knn.quantised(b)
+    assert (knn.int8_products(qa[0], qb[0]) == qa[0].astype(np.int64) @ qb[0].astype(np.int64).T).all()
+    low, high = knn.bounds(qa, qb)
     true = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
-    assert (np.abs(near - true) <= ea[:, None] + eb[None] + 1e-9).all()
+    assert (low <= true).all() and (true <= high).all() and (high - low <= 2.001 * (qa[2][:, None] + qb[2]) + 1e-4).all()
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_nearest_of_vectors_that_quantise_without_error(spark, seed):
+    """Signs: many vectors are equal or equally far, so that ties decide, over several tiles and blocks."""
+    g = np.random.default_rng(seed)
+    x = np.where(g.random((9, 96)) < 0.5, -0.1, 0.1)[g.integers(0, 9, 3000) * (g.random(3000) < 0.5)]
+    x[::7, :3] *= -1
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = knn.nearest(df.where("vec_id % 300 = 0"), df, k=10, block=4, rows=20, tile=64).orderBy("query_id", "rank").collect()
+    for q in range(0, 3000, 300):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        order = np.lexsort((np.arange(3000), d))[:10]
+        assert [(r.vec_id, r.score) for r in got if r.query_id == q] == [(int(i), d[i]) for i in order]
 
 
 def test_licenses(spark):

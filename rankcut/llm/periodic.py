@@ -62,7 +62,7 @@ def candidate_anchors(ids: np.ndarray, soon: np.ndarray, p: int) -> np.ndarray:
     late = np.concatenate([[0], np.cumsum(soon >= 2 * p)])
     anchors = np.arange(0, n - 3 * p + 1, p)
     anchors = anchors[late[anchors + 2 * p] == late[anchors]]
-    if not len(anchors) or p > 64:  # below, p x anchors comparisons
+    if len(anchors) <= p:
         return np.array([a for a in anchors.tolist() if len(_distances(ids, a, p))], np.int64)
     fits = np.zeros(len(anchors), bool)
     for q in range(p, 2 * p):
@@ -127,8 +127,8 @@ def primitive_period(w: np.ndarray, p: int) -> int:
 def solve(p: int, words: np.ndarray, at: int) -> list[tuple[int, int, int]]:
     """(period, from, to) of the stretches in which words of a tile equal those a period later, numbered within the
     document; at: the tile's first word."""
-    n, found, past = len(words), [], -1
-    for a in range(-at % p, n - 3 * p + 1, p):
+    n, found, past, skip = len(words), [], -1, -at % p
+    for a in (skip + candidate_anchors(words[skip:], next_distance(words[skip:]), p)).tolist():
         if a < past:
             continue
         q = primitive_period(words[a : a + 8 * p], p)

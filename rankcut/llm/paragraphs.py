@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankcut.llm.shared import Scratch, connected, mixed, slices
+from rankcut.llm.shared import Scratch, connected, mixed, slices, unused
 from rankcut.llm.words import PLACES, plain, shingles, word_hashes
 
 SHINGLE = 5
@@ -379,7 +379,8 @@ def clustered(good: DataFrame, scratch: Scratch) -> DataFrame:
 def remove_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     """docs without the words that are marked as removed; n_chars, where there is such a column, follows. A document of
     which no word is left goes."""
-    spans = repeats.where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "end_word")).alias("_spans"))
+    name = unused("_spans", docs)
+    spans = repeats.where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "end_word")).alias(name))
     token = re.compile(r"[^ \t\n\x0b\f\r]+")
 
     def cut(text: str, spans: list[dict]) -> str:
@@ -395,13 +396,13 @@ def remove_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     def apply(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            for i, spans in enumerate(b.column("_spans").to_pylist()):
+            for i, spans in enumerate(b.column(name).to_pylist()):
                 if spans is not None and texts[i] is not None:
                     texts[i] = cut(texts[i], spans)
             yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
-    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, "_spans")
-    left = joined.mapInArrow(apply, joined.schema).where("_spans is null or text rlike '[^ \\\\t\\\\n\\\\r]'").drop("_spans")
+    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, name)
+    left = joined.mapInArrow(apply, joined.schema).where(F.col(name).isNull() | F.expr("text rlike '[^ \\\\t\\\\n\\\\r]'")).drop(name)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)

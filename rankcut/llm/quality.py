@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankcut.llm.shared import slices
+from rankcut.llm.shared import slices, unused
 from rankcut.llm.words import LIMIT, known, looked_up, split_words
 
 SLOTS = 1 << 18
@@ -177,8 +177,8 @@ def fit(docs: DataFrame, grades: DataFrame, steps: int = 2, sample: int = 20_000
     return Ordinal(weights, thresholds)
 
 
-def scored(docs: DataFrame, model: Ordinal, least: float) -> DataFrame:
-    """docs with one more column _grade: struct<expected_grade, p_top (of the highest grade), kept>."""
+def scored(docs: DataFrame, model: Ordinal, least: float, name: str = "_grade") -> DataFrame:
+    """docs with one more column of that name: struct<expected_grade, p_top (of the highest grade), kept>."""
     given = docs.sparkSession.sparkContext.broadcast(model)
     names = ["expected_grade", "p_top", "kept"]
 
@@ -188,11 +188,10 @@ def scored(docs: DataFrame, model: Ordinal, least: float) -> DataFrame:
             parts = [given.value.tails(text.slice(at, to - at)) for at, to in slices(text)]
             tail = np.concatenate(parts) if parts else np.zeros((0, 1))
             grade = pa.StructArray.from_arrays([pa.array(tail.sum(1)), pa.array(tail[:, -1]), pa.array(tail[:, -1] >= least)], names)
-            yield pa.RecordBatch.from_arrays([*b.columns, grade], [*b.schema.names, "_grade"])
+            yield pa.RecordBatch.from_arrays([*b.columns, grade], [*b.schema.names, name])
 
-    docs = docs.drop("_grade")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{kinds}, _grade struct<expected_grade: double, p_top: double, kept: boolean>")
+    return docs.mapInArrow(score, f"{kinds}, `{name}` struct<expected_grade: double, p_top: double, kept: boolean>")
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7, sample: int = 20_000) -> DataFrame:
@@ -203,4 +202,5 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7, sample: int
 
 def select_quality(docs: DataFrame, labels: DataFrame, least: float = 0.7, sample: int = 20_000) -> DataFrame:
     """The documents that are kept."""
-    return scored(docs, fit(docs, graded(labels), sample=sample), least).where("_grade.kept").select(*docs.columns)
+    name = unused("_grade", docs)
+    return scored(docs, fit(docs, graded(labels), sample=sample), least, name).where(F.col(name)["kept"]).select(*docs.columns)

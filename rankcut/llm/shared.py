@@ -56,6 +56,14 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with more underscores where the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(texts: pa.Array, most: int = 4_000_000):
     """(from, to) of runs of rows holding about `most` bytes each, so that a batch of long texts stays small."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

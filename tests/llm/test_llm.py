@@ -208,6 +208,13 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - true) < 4 * math.sqrt(true * (1 - true) / 512)
 
 
+def test_removal_of_repeats_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "x", 7), (2, None, "y", 0), (3, "a b", "z", 3)], "doc_id long, text string, _spans string, n_chars long")
+    repeats = spark.createDataFrame([(1, 1, 3, True), (1, 0, 1, False), (3, 0, 9, True), (2, 0, 1, True)], "doc_id long, first_word long, end_word long, removed boolean")
+    left = paragraphs.remove_repeats(docs, repeats)
+    assert left.columns == docs.columns and left.where("doc_id = 1").collect() == [(1, "a  d", "x", 4)] and left.where("doc_id = 3").count() == 0
+
+
 def test_repeated_passages(docs, none, texts):
     found = paragraphs.repeated_passages(docs)
     rows = found.collect()
@@ -387,6 +394,8 @@ def test_quality(spark, none):
     assert all(0 <= r.p_top <= 1 and r.p_top <= r.expected_grade <= 2 for r in got.values())
     clash = docs.selectExpr("*", "1 as kept", "'x' as p_top", "2.0 as expected_grade")
     assert quality.select_quality(clash, lab).columns == clash.columns and quality.classify(clash, lab).columns == ["doc_id", "expected_grade", "p_top", "kept"]
+    own = docs.withColumns({"_grade": F.lit("own"), "_GRADE_": F.lit(1)})
+    assert quality.select_quality(own, lab).select("_grade").distinct().collect() == [("own",)]
     kept = quality.select_quality(docs, lab)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
     assert quality.classify(none, lab).count() == 0

@@ -56,13 +56,14 @@ def plain_p(count: Column, n: Column) -> Column:
 
 def with_query_null(candidates: DataFrame, null: DataFrame, value: str = "similarity") -> DataFrame:
     """Adds how many of the query's own null values are at least the candidate's value (n_at_least) and how many there are
-    (n_null), by one running count over both."""
-    both = candidates.withColumns({"_null": F.lit(0), "_x": F.col(value)}).unionByName(
-        null.select("query_id", F.lit(1).alias("_null"), F.col("value").alias("_x")), allowMissingColumns=True
+    (n_null), by one running count over both. null(query_id, value) may have a column times."""
+    times = (F.col("times") if "times" in null.columns else F.lit(1)).cast("long")
+    both = candidates.withColumns({"_null": F.lit(0).cast("long"), "_of": F.lit(0), "_x": F.col(value)}).unionByName(
+        null.select("query_id", times.alias("_null"), F.lit(1).alias("_of"), F.col("value").alias("_x")), allowMissingColumns=True
     )
     falling = _by_query().orderBy(F.desc("_x")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     counted = both.withColumns({"n_at_least": F.sum("_null").over(falling), "n_null": F.sum("_null").over(_by_query())})
-    return counted.where("_null = 0").drop("_null", "_x")
+    return counted.where("_of = 0").drop("_null", "_of", "_x")
 
 
 def with_global_null(candidates: DataFrame, null: DataFrame, value: str = "similarity", size: int = 200_000) -> DataFrame:

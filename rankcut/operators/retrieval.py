@@ -5,12 +5,11 @@ Ties go to the smaller doc_id.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankcut.functions import vectors as v
+from rankcut.operators.products import best_scores, every_score, product
 
 
 def by_rank(query: str = "query_id", score: str = "similarity", doc: str = "doc_id") -> Window:
@@ -22,57 +21,12 @@ def normalised_store(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.where(v.fits(F.col("embedding"), dim)).withColumn("embedding", v.normalised(F.col("embedding")))
 
 
-def scored(queries: DataFrame, corpus: DataFrame, k: int | None = None, digits: int = 6, own: bool = False, block: int = 2048, tile: int = 4096) -> DataFrame:
+def scored(queries: DataFrame, corpus: DataFrame, k: int | None = None, digits: int = 6, own: bool = False, block: int = 2048, rows: int = 16_384) -> DataFrame:
     """queries(query_id, embedding) against corpus(doc_id, embedding) -> (query_id, doc_id, similarity); the k best of each
-    Arrow batch if k is given, else all. own: a document with the query's id counts.
-
-    Queries go out in blocks of `block` vectors, each against all rows: one matrix product for each tile of rows, and no
-    more than block * tile scores at a time. Vectors with NULLs or of another length than that of the query with the least
-    id take no part.
-    """
-    spark = corpus.sparkSession
-    q_kind, d_kind = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (corpus, "doc_id")))
-    double = F.col("embedding").cast("array<double>").alias("embedding")
-    clean = ~F.exists("embedding", lambda x: x.isNull())
-    queries = queries.where("embedding is not null").where(clean).select("query_id", double)
-    corpus = corpus.where("embedding is not null").where(clean).select("doc_id", double)
-    size = queries.agg(F.min_by(F.size("embedding"), "query_id")).first()[0]
-    queries = queries.where(F.size("embedding") == F.lit(size))
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for i in range(blocks):
-        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()
-        x = np.stack(asked.embedding.to_list()).astype(np.float64) if len(asked) else np.zeros((0, 0))
-        given = spark.sparkContext.broadcast((asked.query_id.to_numpy(), x / (np.sqrt((x * x).sum(1, keepdims=True)) + 1e-8)))
-
-        def score(batches, given=given):
-            ids, q = given.value
-            for b in batches:
-                lists, docs = b.column("embedding"), b.column("doc_id")
-                bounds = lists.offsets.to_numpy()
-                fit = np.flatnonzero(np.diff(bounds) == q.shape[1]) if len(ids) else np.zeros(0, np.int64)
-                flat = lists.values.to_numpy()
-                for at in range(0, len(fit), tile):
-                    rows = fit[at : at + tile]
-                    y = flat[bounds[rows][:, None] + np.arange(q.shape[1])]
-                    sim = np.round(q @ (y / (np.sqrt((y * y).sum(1, keepdims=True)) + 1e-8)).T, digits)
-                    name = docs.take(pa.array(rows)).to_numpy(zero_copy_only=False)
-                    ok = np.ones(sim.shape, bool) if own else ids[:, None] != name[None, :]
-                    if k is not None and len(rows) > k:
-                        order = np.argsort(np.argsort(name, kind="stable"), kind="stable")
-                        for r in range(len(ids)):
-                            s = np.where(ok[r], sim[r], -np.inf)
-                            least = np.partition(s, len(s) - k)[len(s) - k]
-                            near = np.flatnonzero(s >= least)
-                            ok[r] = False
-                            ok[r, near[np.lexsort((order[near], -s[near]))[:k]]] = True
-                            ok[r] &= np.isfinite(s)
-                    r, c = np.nonzero(ok)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), docs.take(pa.array(rows[c])), pa.array(sim[r, c])], ["query_id", "doc_id", "similarity"])
-
-        part = corpus.mapInArrow(score, f"query_id {q_kind}, doc_id {d_kind}, similarity double")
-        out = part if out is None else out.union(part)
-    return out
+    block of documents if k is given, else all. own: a document with the query's id counts. See products."""
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, similarity double"
+    task = every_score(digits) if k is None else best_scores(k, digits)
+    return product(queries.select("query_id", "embedding"), corpus.select("doc_id", "embedding"), task, kinds, own=own, digits=digits, block=block, rows=rows)
 
 
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:

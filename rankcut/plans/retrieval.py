@@ -12,6 +12,7 @@ from rankcut.operators import retrieval as r
 from rankcut.plans import base as b
 from rankcut.plans.base import P, S, eval_sql, hc_sql, p_sql, rounded, z_sql
 from rankcut.plans.registry import query, table
+from rankcut.sources.checkpoints import stored
 
 METRIC_COLS = 'query_id, k, n_relevant, labelled, round(recall, 6) AS recall, round("precision", 6) AS "precision", round(reciprocal_rank, 6) AS reciprocal_rank, round(ndcg, 6) AS ndcg, hit_rate, round(average_precision, 6) AS average_precision'
 
@@ -98,8 +99,10 @@ def v10s(spark, sf):
 # nulls
 
 _N2 = "n2 AS (SELECT query_id, similarity AS value FROM s0 WHERE rel = 0)"
-_N1 = "n1_a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5('0:' || query_id || ':' || doc_id || ':')) AS i FROM s0 WHERE rel = 0), n1 AS (SELECT query_id, i AS nth, similarity AS value FROM n1_a WHERE i <= 50)"
-_N3 = "n3_a AS (SELECT *, avg(similarity) OVER (PARTITION BY query_id) AS mean, stddev_pop(similarity) OVER (PARTITION BY query_id) AS std, row_number() OVER (PARTITION BY query_id ORDER BY md5('0:' || query_id || ':' || doc_id || ':')) AS i FROM s0 WHERE rel = 0), n3 AS (SELECT query_id, doc_id, (similarity - mean) / std AS value FROM n3_a WHERE std >= 1e-12 AND i <= 5000)"
+_FAC = "('0x' || substr(md5({0}), 1, 8))::BIGINT % 2147483646 + 1"
+_PL = f"pl AS (SELECT *, (({_FAC.format("'0:' || query_id")}) * ({_FAC.format("doc_id::VARCHAR")})) % 2147483647 AS place FROM s0)"
+_N1 = f"{_PL}, n1_a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, doc_id) AS i FROM pl WHERE rel = 0), n1 AS (SELECT query_id, i AS nth, similarity AS value FROM n1_a WHERE i <= 50)"
+_N3 = f"{_PL}, n3_a AS (SELECT *, avg(similarity) OVER (PARTITION BY query_id) AS mean, stddev_pop(similarity) OVER (PARTITION BY query_id) AS std, row_number() OVER (PARTITION BY query_id ORDER BY place, doc_id) AS i FROM pl WHERE rel = 0), n3 AS (SELECT query_id, doc_id, (similarity - mean) / std AS value FROM n3_a WHERE std >= 1e-12 AND i <= 5000)"
 _ZP = z_sql("zp", "p")
 _N4 = f"{_ZP}, n4 AS (SELECT query_id, doc_id, z AS value FROM zp WHERE rel = 0 AND sigma >= 1e-12)"
 _SUM = "round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min_val, round(max(value), 6) AS max_val, count(value) AS n_samples"
@@ -107,17 +110,17 @@ _SUM = "round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(
 
 @query("n1_sampled_negatives", f"WITH {S}, {_N1} SELECT query_id, nth, value FROM n1")
 def n1(spark, sf):
-    return nulls.sampled_negatives(b.scores(spark, sf), b.qrels(spark, sf), 50)
+    return nulls.sampled_null(b.queries(spark, sf), b.corpus(spark, sf), b.qrels(spark, sf), 50)
 
 
 @query("n2_all_negatives", f"WITH {S}, {_N2} SELECT query_id, {_SUM} FROM n2 GROUP BY query_id")
 def n2(spark, sf):
-    return rounded(nulls.summary(nulls.sampled_negatives(b.scores(spark, sf), b.qrels(spark, sf), 0), "query_id"))
+    return rounded(nulls.null_moments(b.queries(spark, sf), b.corpus(spark, sf), b.qrels(spark, sf)))
 
 
 @query("n3_global_z_null", f"WITH {S}, {_N3} SELECT query_id, doc_id, round(value, 6) AS value FROM n3")
 def n3(spark, sf):
-    return rounded(nulls.global_z_null(b.scores(spark, sf), b.qrels(spark, sf)))
+    return rounded(nulls.global_z_null(b.queries(spark, sf), b.corpus(spark, sf), b.qrels(spark, sf)))
 
 
 @query("n4_pool_matched_null", f"WITH {P}, {_N4} SELECT query_id, doc_id, round(value, 6) AS value FROM n4")
@@ -168,12 +171,13 @@ _PG = p_sql("pg", "zp", "n4", "z", per_query=False)
 
 
 def with_query_p(spark, sf):
-    null = nulls.sampled_negatives(b.scores(spark, sf), b.qrels(spark, sf), 0)
-    return c.with_query_null(b.pool(spark, sf), null).withColumn("p", c.empirical_p(F.col("n_at_least"), F.col("n_null")))
+    pool = stored(b.pool(spark, sf))
+    null = nulls.counted_null(b.queries(spark, sf), b.corpus(spark, sf), b.qrels(spark, sf), pool)
+    return c.with_query_null(pool, null).withColumn("p", c.empirical_p(F.col("n_at_least"), F.col("n_null")))
 
 
 def with_global_p(spark, sf):
-    pool = b.pool(spark, sf)
+    pool = stored(b.pool(spark, sf))
     z = c.z_scores(pool)
     return c.with_global_null(z, nulls.pool_matched_null(pool, b.qrels(spark, sf)), "z").withColumn("p", c.empirical_p(F.col("n_at_least"), F.col("n_null")))
 

@@ -51,7 +51,7 @@ def test_search_is_exact_and_independent_of_partitions(spark):
     x[50:60] = x[7]
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(1000, None), (1001, [1.0, 2.0])], "doc_id long, embedding array<double>")
     queries = df.where("doc_id < 9").withColumnRenamed("doc_id", "query_id")
-    got = {n: sorted(map(tuple, r.search(queries, df.repartition(n), 10, block=4, tile=64).collect())) for n in (1, 7)}
+    got = {n: sorted(map(tuple, r.search(queries, df.repartition(n), 10, block=4, rows=64).collect())) for n in (1, 7)}
     assert got[1] == got[7]
     unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
     for q in range(9):

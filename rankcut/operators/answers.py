@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +24,35 @@ def _prf(overlap: Column, n: Column, m: Column) -> Column:
     return F.when((n == 0) & (m == 0), same(1.0)).otherwise(F.coalesce(F.when((n > 0) & (m > 0), some), same(0.0)))
 
 
+def _shared(row: np.ndarray, token: np.ndarray, other_row: np.ndarray, other: np.ndarray, rows: int) -> np.ndarray:
+    """Size of the common multiset of two sides' tokens (numbers), for each row."""
+    most = 1 + max(token.max(initial=0), other.max(initial=0))
+    (a, n), (b, m) = (np.unique(r * most + t, return_counts=True) for r, t in ((row, token), (other_row, other)))
+    both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return np.bincount(both // most, np.minimum(n[i], m[j]), minlength=rows).astype(np.int64)
+
+
+def multiset_overlap(a: Column, b: Column) -> Column:
+    """How many tokens two arrays have in common, each as often as both have it: in the row, by whole Arrow batches."""
+
+    @F.arrow_udf("long")
+    def overlap(x: pa.Array, y: pa.Array) -> pa.Array:
+        tokens = pa.concat_arrays([x.flatten(), y.flatten()]).dictionary_encode().indices.to_numpy().astype(np.int64)
+        rows = [np.repeat(np.arange(len(c)), pc.fill_null(pc.list_value_length(c), 0).to_numpy()) for c in (x, y)]
+        cut = len(rows[0])
+        return pa.array(_shared(rows[0], tokens[:cut], rows[1], tokens[cut:], len(x)))
+
+    return overlap(a, b)
+
+
 def token_overlap(pairs: DataFrame, key: str, generated: str, gold: str) -> DataFrame:
-    """Over multisets of normalised tokens, by counts, for texts of any length: (key, n_generated, n_gold, overlap, precision, recall, f1)."""
-    side = lambda c, name: pairs.select(key, F.explode(answer_tokens(F.col(c))).alias("token")).groupBy(key, "token").agg(F.count("*").alias(name))
-    both = side(generated, "n").join(side(gold, "m"), [key, "token"], "full").groupBy(key).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_generated"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_gold"), F.sum(F.least(F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0)))).alias("overlap")
-    )
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_generated", "n_gold", "overlap")}
-    out = pairs.select(key).join(both, key, "left").withColumns(zero).withColumn("_m", _prf(F.col("overlap"), F.col("n_generated"), F.col("n_gold")))
-    return out.select(key, *zero, "_m.*")
+    """Over multisets of normalised tokens, for texts of any length: (key, n_generated, n_gold, overlap, precision, recall, f1).
+    A missing text has no tokens."""
+    tokens = lambda c: F.coalesce(answer_tokens(F.col(c)), F.array().cast("array<string>"))
+    rows = pairs.select(key, tokens(generated).alias("a_"), tokens(gold).alias("b_"))
+    size = lambda c: F.size(c).cast("long")
+    out = rows.select(key, size("a_").alias("n_generated"), size("b_").alias("n_gold"), multiset_overlap(F.col("a_"), F.col("b_")).alias("overlap"))
+    return out.withColumn("_m", _prf(F.col("overlap"), F.col("n_generated"), F.col("n_gold"))).select(key, "n_generated", "n_gold", "overlap", "_m.*")
 
 
 def title_f1(generated: Column, gold: Column) -> Column:

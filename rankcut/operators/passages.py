@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from rankcut.functions.text import k_range, word_count
 from rankcut.operators.retrieval import hash_order
-from rankcut.sources.checkpoints import ensure_checkpoint_dir
+from rankcut.operators.similar import question_tokens, same_tokens, similar_classes
+from rankcut.sources.checkpoints import stored
 
-#: Words that don't count when questions are compared (fixed values).
-STOP_WORDS = ["the", "a", "an", "is", "are", "was", "were", "in", "on", "at", "to", "for", "of", "and", "or", "that", "this", "with", "by"]
 #: Words that speak for an easy and for a hard question (fixed values).
 EASY_INDICATORS = ["who", "what", "list", "name", "which"]
 HARD_INDICATORS = ["how", "compare", "analyze", "pattern", "relationship"]
@@ -141,39 +140,21 @@ def filter_report(rows: DataFrame, names: list[str]) -> DataFrame:
     return one.select(F.explode(stacked).alias("r")).select("r.*")
 
 
-def question_tokens(text: Column) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"), 1))
-    return F.array_except(found, F.array(*map(F.lit, STOP_WORDS)))
-
-
-def similar_pairs(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """rows(pos, text): pairs i < j with a Jaccard similarity of tokens above the threshold. Pairs meet on a token of both
-    prefixes, the rarest tokens of each: as many as a pair above the threshold can't avoid; then all tokens decide."""
-    tokens = rows.select("pos", question_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    flat = tokens.select("pos", F.explode("t").alias("w"))
-    rank = flat.groupBy("w").agg(F.count("*").alias("df"))
-    sized = flat.join(rank, "w").join(tokens.select("pos", F.size("t").alias("n")), "pos")
-    nth = sized.withColumn("i", F.row_number().over(Window.partitionBy("pos").orderBy("df", "w")))
-    prefix = nth.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    a, b = prefix.select("w", F.col("pos").alias("i"), F.col("n").alias("ni")), prefix.select("w", F.col("pos").alias("j"), F.col("n").alias("nj"))
-    meet = a.join(b, "w").where((F.col("i") < F.col("j")) & (F.least("ni", "nj") >= F.greatest("ni", "nj") * threshold)).select("i", "j").distinct()
-    both = meet.join(tokens.select(F.col("pos").alias("i"), F.col("t").alias("ti")), "i").join(tokens.select(F.col("pos").alias("j"), F.col("t").alias("tj")), "j")
-    common = F.size(F.array_intersect("ti", "tj"))
-    return both.where(common / (F.size("ti") + F.size("tj") - common) > threshold).select("i", "j")
-
-
 def diverse(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """rows(pos, text) with kept: in order of pos, a row goes if it is too similar to one that was kept. Rounds: a row
-    without an open or kept earlier neighbour is kept; one with a kept earlier neighbour goes; until all are settled, as
-    each round settles the first open row of each chain at least. Rounds are cut by checkpoint()."""
-    ensure_checkpoint_dir(rows.sparkSession)
-    pairs = similar_pairs(rows, threshold).checkpoint()
-    state = rows.select("pos").join(pairs.select(F.col("j").alias("pos")).distinct().withColumn("_open", F.lit(True)), "pos", "left").select("pos", F.when(F.col("_open").isNull(), True).alias("kept")).checkpoint()
+    """rows(pos, text) with kept: in order of pos, a row goes if it is too similar to one that was kept, and so does one
+    without text. Of rows with the same tokens only the first can be kept, so the rounds are over these: a row without an
+    open or kept earlier neighbour is kept; one with a kept earlier neighbour goes; until all are settled, as each round
+    settles the first open row of each chain at least. Each round is stored."""
+    classes, _ = same_tokens(rows.where(F.col("text") != ""))
+    pairs = stored(similar_classes(classes, threshold))
+    firsts = classes.select(F.col("first").alias("pos"))
+    state = stored(firsts.join(pairs.select(F.col("j").alias("pos")).distinct().withColumn("_open", F.lit(True)), "pos", "left").select("pos", F.when(F.col("_open").isNull(), True).alias("kept")))
     while not state.where("kept is null").isEmpty():
         earlier = pairs.join(state.select(F.col("pos").alias("i"), F.col("kept").alias("ki")), "i")
         seen = earlier.groupBy(F.col("j").alias("pos")).agg(F.max(F.coalesce("ki", F.lit(False))).alias("_hit"), F.max(F.col("ki").isNull()).alias("_wait"))
-        state = state.join(seen, "pos", "left").select("pos", F.coalesce("kept", F.when(F.col("_hit"), False).when(~F.col("_wait"), True)).alias("kept")).checkpoint()
-    return rows.join(state, "pos")
+        state = stored(state.join(seen, "pos", "left").select("pos", F.coalesce("kept", F.when(F.col("_hit"), False).when(~F.col("_wait"), True)).alias("kept")))
+    plain = F.coalesce(F.col("text") != "", F.lit(False)) & (F.size(question_tokens(F.col("text"))) == 0)  # nothing is similar to it
+    return rows.join(state, "pos", "left").withColumn("kept", F.coalesce("kept", plain))
 
 
 def generation_metrics(rows: DataFrame) -> DataFrame:

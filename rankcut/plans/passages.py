@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankcut.functions.text import k_range
 from rankcut.operators import passages as p
+from rankcut.operators import similar
 from rankcut.plans.base import rounded
 from rankcut.plans.registry import query, table
 from rankcut.plans.text import _words
@@ -152,10 +153,19 @@ _TOK = "list_filter(list_distinct(regexp_extract_all(lower(text), '(\\w+)', 1)),
 
 @query("q8_similar_pairs", f"WITH tk AS (SELECT doc_id, {_TOK} AS t FROM documents), tf AS (SELECT doc_id, t, len(t) AS n FROM tk WHERE len(t) > 0) SELECT a.doc_id AS i, b.doc_id AS j FROM tf a JOIN tf b ON a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) WHERE len(list_intersect(a.t, b.t))::DOUBLE / (a.n + b.n - len(list_intersect(a.t, b.t))) > 0.85")
 def q8(spark, sf):
-    return p.similar_pairs(table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text"))
+    return similar.similar_pairs(table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text"))
 
 
-@query("q8_diverse_rows")
+_Q8 = f"tk AS (SELECT doc_id, text, {_TOK} AS t FROM documents), tf AS (SELECT doc_id, t, len(t) AS n FROM tk WHERE len(t) > 0), pr AS (SELECT a.doc_id AS i, b.doc_id AS j FROM tf a JOIN tf b ON a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) WHERE len(list_intersect(a.t, b.t))::DOUBLE / (a.n + b.n - len(list_intersect(a.t, b.t))) > 0.85)"
+
+
+@query(
+    "q8_diverse_rows",
+    f"""WITH {_Q8}, nb AS (SELECT j AS pos, list(i) AS nb FROM pr GROUP BY j), al AS (SELECT DISTINCT i AS pos FROM pr UNION SELECT j FROM pr),
+st AS (SELECT list({{'kept': [pos], 'nb': coalesce(nb, [])}} ORDER BY pos) AS rows FROM al LEFT JOIN nb USING (pos)),
+kp AS (SELECT list_reduce(rows, lambda a, x: {{'kept': CASE WHEN len(list_intersect(a.kept, x.nb)) > 0 THEN a.kept ELSE list_concat(a.kept, x.kept) END, 'nb': a.nb}}).kept AS kept FROM st)
+SELECT doc_id AS pos, CASE WHEN coalesce(text, '') = '' THEN false WHEN doc_id IN (SELECT pos FROM al) THEN doc_id IN (SELECT unnest(kept) FROM kp) ELSE true END AS kept FROM tk""",
+)
 def q8d(spark, sf):
     return p.diverse(table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text")).select("pos", "kept")
 

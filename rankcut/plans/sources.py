@@ -12,13 +12,12 @@ from rankcut.plans import retrieval as rt
 from rankcut.plans.base import P, eval_sql
 from rankcut.plans.registry import query, table
 from rankcut.sources import readers, writers
-from rankcut.sources.checkpoints import ensure_checkpoint_dir
+from rankcut.sources.checkpoints import shared_folder
 
 
 def _folder(spark, name: str) -> str:
     """A new folder in the shared storage."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 _URL = "regexp_replace(url, '[?#].*$', '')"

@@ -1,20 +1,26 @@
-"""Checkpoints, and the folder they go to."""
+"""Where jobs cut their lineage: tables in the folder that the driver and the executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SETTING = "spark.checkpoint.dir"
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+
+def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a temporary folder only where that is not set (tests, one machine)."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    folder = spark.conf.get(SETTING, None)
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-checkpoints-')}"
+        spark.conf.set(SETTING, folder)
+    return folder.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows, computed once and written to the checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows, computed once and written as a table to the shared folder (checkpoint() would compute them twice)."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

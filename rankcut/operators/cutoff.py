@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankcut.functions.statistics import normal_tail
+from rankcut.operators.ranges import running
 
 INF = float("inf")
 
@@ -66,26 +67,16 @@ def with_query_null(candidates: DataFrame, null: DataFrame, value: str = "simila
     return counted.where("_of = 0").drop("_null", "_of", "_x")
 
 
-def with_global_null(candidates: DataFrame, null: DataFrame, value: str = "similarity", size: int = 200_000) -> DataFrame:
-    """The same against one null for all queries, counted exactly: null and candidates are dealt by ranges of about `size`
-    null values, each with a running count to which the sums of the ranges above are added. Values that are missing have
-    none at least as great."""
-    null = null.select(F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value"))
-    cuts = max(0, min(1000, null.count() // size))
-    # Range limits lie beside the values, so that rounding in a second evaluation doesn't move a value to another range.
-    limits = sorted({round(q, 4) + 3.717e-5 for q in null.approxQuantile("value", [(i + 1) / (cuts + 1) for i in range(cuts)], 0.1 / (cuts + 1))}) if cuts else []
-    within = lambda x: F.size(F.filter(F.array(*map(F.lit, limits)).cast("array<double>"), lambda e: e <= x))
-    sums = dict(null.groupBy(within(F.col("value")).alias("r")).count().collect())  # a row for each range
-    above = [sum(n for r, n in sums.items() if r > k) for k in range(len(limits) + 1)]
-    both = candidates.withColumns({"_null": F.lit(0), "_x": F.col(value).cast("double")}).unionByName(
-        null.select(F.lit(1).alias("_null"), F.col("value").alias("_x")), allowMissingColumns=True
-    )
-    both = both.withColumn("_range", within(F.col("_x")))
-    falling = Window.partitionBy("_range").orderBy(F.desc("_x")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    base = F.element_at(F.array(*map(F.lit, above)).cast("array<bigint>"), F.col("_range") + 1)
-    count = F.when(F.col("_x").isNull() | F.isnan("_x"), F.lit(0)).otherwise(F.sum("_null").over(falling) + base)
-    counted = both.withColumns({"n_at_least": count.cast("long"), "n_null": F.lit(sum(sums.values())).cast("long")})
-    return counted.where("_null = 0").drop("_null", "_x", "_range")
+def with_global_null(candidates: DataFrame, null: DataFrame, value: str = "similarity", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The same against one null for all queries (or one for all rows with the same keys), counted exactly: equal null values
+    are summed up, and running counts go over ranges of values that null and candidates share. A candidate without value
+    has no null value at least as great; a null value that is missing is greater than all."""
+    falling = -F.coalesce(F.nanvl(F.col("value").cast("double"), F.lit(INF)), F.lit(INF))
+    null = null.select(*keys, falling.alias("_x")).groupBy(*keys, "_x").agg(F.count("*").alias("_null"))
+    both = candidates.withColumns({"_null": F.lit(0).cast("long"), "_of": F.lit(0), "_x": -F.col(value).cast("double")}).unionByName(null.withColumn("_of", F.lit(1)), allowMissingColumns=True)
+    counted = running(both, "_x", ["_null"], keys).where("_of = 0")
+    n = F.when(F.col("_x").isNull() | F.isnan("_x"), F.lit(0)).otherwise(F.col("_null_upto"))
+    return counted.select(*candidates.columns, n.cast("long").alias("n_at_least"), F.col("_null_all").cast("long").alias("n_null"))
 
 
 def parametric_p(z: Column) -> Column:

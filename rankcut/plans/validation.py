@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankcut.operators import cutoff as c
 from rankcut.operators import diagnostics as g
+from rankcut.operators import grid
 from rankcut.operators import ir_metrics as m
 from rankcut.operators import nulls
 from rankcut.operators import validation as va
@@ -23,8 +24,7 @@ def _ks(name: str, source: str, key: str, value: str = "p") -> str:
 {name} AS (SELECT {key}, max(nn)::BIGINT AS n, round(max(greatest(i / nn - v_, v_ - (i - 1) / nn)), 9) AS d FROM {name}_a GROUP BY {key})"""
 
 
-_SH = f"""sh_a AS (SELECT seed, query_id, doc_id, value, md5(seed || ':' || query_id || ':' || doc_id) AS h FROM n4, range(20) t(seed)),
-sh_b AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY h, query_id, doc_id) <= floor(count(*) OVER (PARTITION BY seed) / 2) AS ref FROM sh_a),
+_SH = f"""sh_b AS (SELECT seed, value, (('0x' || substr(md5(query_id || ':' || doc_id), 1, 8))::BIGINT >> seed) & 1 = 1 AS ref FROM n4, range(20) t(seed)),
 sh_p AS (SELECT x.seed, least(greatest((SELECT count(*) FROM sh_b r WHERE r.seed = x.seed AND r.ref AND r.value >= x.value)::DOUBLE / (SELECT count(*) FROM sh_b r WHERE r.seed = x.seed AND r.ref), 1e-10), 1.0) AS p FROM sh_b x WHERE NOT ref),
 {_ks('shk', 'sh_p', 'seed')}"""
 
@@ -43,7 +43,7 @@ def _full_p(spark, sf):
 _FP = f"{S}, {_N2}, {_PPALL}"
 
 
-@query("g1_split_half_ks", f"WITH {P}, {_N4}, {_SH} SELECT seed, n, d FROM shk")
+@query("g1_split_half_ks", f"WITH {P}, {_N4}, {_SH} SELECT seed::INT AS seed, n, d FROM shk")
 def g1(spark, sf):
     return va.split_half(_matched_null(spark, sf), ["query_id", "doc_id"])
 
@@ -90,7 +90,7 @@ def g7(spark, sf):
     return va.ks_uniform(_full_p(spark, sf).where("rel = 0"), "query_id")
 
 
-@query("g7_calibration_pooled", f"WITH {_FP}, np AS (SELECT *, 0 AS a_ FROM pall WHERE rel = 0), {_ks('k', 'np', 'a_')} SELECT n, d, n_relevant, round(mean_p, 6) AS mean_p, round(median_p, 6) AS median_p, round(under_05, 6) AS under_05 FROM k, (SELECT count(*) AS n_relevant, avg(p) AS mean_p, quantile_cont(p, 0.5) AS median_p, avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END) AS under_05 FROM pall WHERE rel = 1)")
+@query("g7_calibration_pooled", f"WITH {_FP}, np AS (SELECT *, 0 AS a_ FROM pall WHERE rel = 0), {_ks('k', 'np', 'a_')} SELECT n, round(d, 6) AS d, n_relevant, round(mean_p, 6) AS mean_p, round(median_p, 6) AS median_p, round(under_05, 6) AS under_05 FROM k, (SELECT count(*) AS n_relevant, avg(p) AS mean_p, quantile_cont(p, 0.5) AS median_p, avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END) AS under_05 FROM pall WHERE rel = 1)")
 def g7p(spark, sf):
     return rounded(va.calibration(_full_p(spark, sf), F.col("rel") == 1))
 
@@ -119,6 +119,35 @@ def g10(spark, sf):
     return va.ks_two_samples(b.flagged(b.scores(spark, sf), spark, sf).withColumnsRenamed({"similarity": "value", "rel": "side"}), "query_id")
 
 
+_SIZES, _FRACTIONS, _MOST = (40, 60, 100), (0.5, 0.8), 20
+
+
+def _grid_sql() -> str:
+    ctes, rows = [], []
+    for n in _SIZES:
+        ctes.append(f"c{n} AS (SELECT * FROM p WHERE rank <= {n})")
+        for f in _FRACTIONS:
+            x = f"g{n}_{int(f * 10)}"
+            ctes += [
+                z_sql(f"{x}z", f"c{n}", str(f)),
+                f"{x}y AS (SELECT *, round(z, 9) AS zr FROM {x}z WHERE sigma >= 1e-10)",
+                f"{x}n AS (SELECT zr AS value, z FROM {x}y WHERE rel = 0)",
+                p_sql(f"{x}p", f"{x}y", f"{x}n", "zr", per_query=False),
+                f"{x}u AS (SELECT * FROM {x}p WHERE rel = 0)",
+                _ks(f"{x}k", f"{x}u", "query_id"),
+                hc_sql(f"{x}h", f"{x}p", repr(_MOST / n)),
+            ]
+            rows.append(
+                f"SELECT {n} AS pool_size, {f}::DOUBLE AS fraction, (SELECT count(*) FROM {x}n) AS n_null, (SELECT round(avg(z), 6) FROM {x}n) AS null_mean, (SELECT round(stddev_pop(z), 6) FROM {x}n) AS null_std, (SELECT round(avg(d), 6) FROM {x}k) AS mean_d, (SELECT count(*) FROM {x}p WHERE rel = 1) AS n_relevant, (SELECT round(coalesce(avg(CASE WHEN p < 0.05 THEN 1.0::DOUBLE ELSE 0.0 END), 0), 6) FROM {x}p WHERE rel = 1) AS detected, count(*) AS n_queries, count(*) FILTER (statistic < 1.0) AS n_negative, round(avg(statistic), 6) AS mean_statistic, round(avg(k), 6) AS mean_k, count(DISTINCT k) AS distinct_k FROM {x}h"
+            )
+    return f"WITH {P}, " + ", ".join(ctes) + " " + " UNION ALL ".join(rows)
+
+
+@query("hc7_pool_fraction_grid", _grid_sql())
+def hc7_grid(spark, sf):
+    return rounded(grid.grid_report(b.flagged(b.pool(spark, sf), spark, sf), list(_SIZES), list(_FRACTIONS), _MOST, level=1.0))
+
+
 # diagnostics
 
 _HQ = f"{P}, {_N2}, {_PQ}, {hc_sql('h', 'pq', '0.3')}"

@@ -253,18 +253,41 @@ def k_profile(sizes: DataFrame, wanted: list[tuple[str, int, int]]) -> DataFrame
     return rows.select("cluster_id", "n", F.col("w.kind").alias("kind"), F.greatest(F.lit(0.0), 1 - away / F.col("w.hi")).alias("score"))
 
 
-def select_entities(triples: DataFrame, having: list[tuple[str, str]], has: list[str] = (), years: tuple[int, int] | None = None, at_least: tuple[str, float] | None = None) -> DataFrame:
+def select_entities(triples: DataFrame, having: list[tuple[str, str]], has: list[str] = (), years: tuple[int, int] | None = None, at_least: tuple[str, float] | None = None, at_most: tuple[str, float] | None = None) -> DataFrame:
     """Entities of triples(entity, property, value, year) that meet all constraints: property and value, any value of a
-    property, a year within a range, a number of at least so much."""
-    out = triples.select("entity").distinct()
+    property, a year within a range, a number of at least or at most so much. One pass: a triple has a bit for each
+    constraint that it meets, and an entity must have all. Rows without entity are left out."""
+    number = F.col("value").try_cast("double")
     conditions = [(F.col("property") == p) & (F.col("value") == v) for p, v in having] + [F.col("property") == p for p in has]
     if years:
         conditions.append(F.col("year").between(*years))
-    if at_least:
-        conditions.append((F.col("property") == at_least[0]) & (F.col("value").try_cast("double") >= at_least[1]))
-    for c in conditions:
-        out = out.join(triples.where(c).select("entity").distinct(), "entity", "left_semi")
-    return out
+    bounds: dict[str, Column] = {}  # one number must lie within both bounds of its property
+    for bound, inside in ((at_least, number.__ge__), (at_most, number.__le__)):
+        if bound:
+            bounds[bound[0]] = bounds.get(bound[0], F.col("property") == bound[0]) & inside(bound[1])
+    conditions += bounds.values()
+    met = reduce(lambda a, b: a.bitwiseOR(b), (F.when(c, 1 << i).otherwise(0).cast("long") for i, c in enumerate(conditions)), F.lit(0).cast("long"))
+    by = triples.where("entity is not null").groupBy("entity").agg(F.bit_or(met).alias("_met"))
+    return by.where(F.col("_met") == (1 << len(conditions)) - 1).select("entity")
+
+
+def top_by_property(triples: DataFrame, ranking: str, n: int, descending: bool = True, among: DataFrame | None = None) -> DataFrame:
+    """(entity, value): the n entities with the greatest (or least) number of a property, of those in among(entity) if it is
+    given; an entity counts with its best number, ties go to the smaller entity. Other values are no numbers and don't count."""
+    number = F.col("value").try_cast("double")
+    rows = triples.where((F.col("property") == ranking) & number.isNotNull() & ~F.isnan(number) & F.col("entity").isNotNull())
+    best = rows.groupBy("entity").agg((F.max if descending else F.min)(number).alias("value"))
+    if among is not None:
+        best = best.join(among.select("entity").distinct(), "entity", "left_semi")
+    return best.orderBy(F.desc("value") if descending else F.asc("value"), "entity").limit(n)
+
+
+def article_coverage(entities: DataFrame, articles: DataFrame) -> DataFrame:
+    """One row: how many of entities(entity) have an article with text in articles(entity, text)."""
+    have = articles.where(F.trim("text") != "").select("entity").distinct().withColumn("_has", F.lit(1))
+    rows = entities.select("entity").distinct().join(have, "entity", "left")
+    found = F.count("_has")
+    return rows.agg(F.count("*").alias("n_entities"), found.alias("n_covered"), F.coalesce(F.try_divide(found.cast("double"), F.count("*")), F.lit(0.0)).alias("coverage"))
 
 
 def intersections(triples: DataFrame, p1: str, p2: str, p3: str, lo: int = 5, hi: int = 50) -> DataFrame:

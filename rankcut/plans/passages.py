@@ -6,10 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankcut.functions.text import k_range
+from rankcut.operators import cluster_index as ci
 from rankcut.operators import passages as p
 from rankcut.operators import similar
 from rankcut.plans.base import rounded
 from rankcut.plans.registry import query, table
+from rankcut.sources.checkpoints import new_folder
 from rankcut.plans.text import _words
 
 BASE = """members AS (SELECT c_nationkey AS cluster_id, c_custkey AS entity, c_mktsegment AS type FROM customer),
@@ -273,6 +275,44 @@ def q22(spark, sf):
     return p.select_entities(triples(spark, sf), [("segment", "HOUSEHOLD")], ["priority"], (1995, 1997), ("balance", 1000.0))
 
 
+@query("q22_top_by_property", f"WITH {TRIPLES}, e AS (SELECT DISTINCT entity FROM triples WHERE property = 'priority' AND year BETWEEN 1995 AND 1997), v AS (SELECT entity, max(TRY_CAST(value AS DOUBLE)) AS value FROM triples WHERE property = 'balance' AND entity IN (SELECT entity FROM e) GROUP BY ALL) SELECT entity, value FROM v WHERE value IS NOT NULL ORDER BY value DESC, entity LIMIT 25")
+def q22t(spark, sf):
+    t = triples(spark, sf)
+    return p.top_by_property(t, "balance", 25, among=p.select_entities(t, [], ["priority"], (1995, 1997)))
+
+
+@query("q22_article_coverage", f"WITH {TRIPLES}, e AS (SELECT DISTINCT entity FROM triples WHERE property = 'segment' AND value = 'BUILDING') SELECT count(*) AS n_entities, count(*) FILTER (entity IN (SELECT o_custkey FROM orders)) AS n_covered, round(count(*) FILTER (entity IN (SELECT o_custkey FROM orders))::DOUBLE / count(*), 6) AS coverage FROM e")
+def q22c(spark, sf):
+    return rounded(p.article_coverage(p.select_entities(triples(spark, sf), [("segment", "BUILDING")]), passages(spark, sf)))
+
+
+_INDEX = """s AS (SELECT c_custkey AS cluster_id, c_mktsegment AS cluster_type, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+en AS (SELECT cluster_id, cluster_type, n, CASE WHEN n = 0 THEN []::BIGINT[] ELSE list_distinct([n // 2 + 1, n, 2 * n]) END AS ks, CASE WHEN n % 2 = 0 THEN ['even', 'any'] ELSE ['any'] END AS query_types, round(1 / (1 + abs(n - 10)::DOUBLE / 10), 6) AS suitability FROM s),
+bk AS (SELECT DISTINCT cluster_id, cluster_type, n, query_types, suitability, CASE WHEN k <= 5 THEN '2-5' WHEN k <= 10 THEN '6-10' WHEN k <= 15 THEN '11-15' ELSE '16-20' END AS k_bucket FROM (SELECT *, unnest(ks) AS k FROM en) en)"""
+
+
+def _cluster_index(spark, sf) -> str:
+    """Customers as clusters of their orders, written as an index to the shared folder."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    sizes = c.join(o, c.c_custkey == o.o_custkey, "left").groupBy(F.col("c_custkey").alias("cluster_id"), F.col("c_mktsegment").alias("cluster_type")).agg(F.count("o_orderkey").alias("n"))
+    n = F.col("n")
+    ks = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.array(F.expr("n div 2 + 1"), n, 2 * n)))
+    kinds = F.when(n % 2 == 0, F.array(F.lit("even"), F.lit("any"))).otherwise(F.array(F.lit("any")))
+    none = F.array().cast("array<string>")
+    entries = sizes.select("cluster_id", "cluster_type", "n", ks.alias("ks"), kinds.alias("query_types"), none.alias("difficulties"), none.alias("domains"), F.round(1 / (1 + F.abs(n - 10) / 10), 6).alias("suitability"))
+    return ci.write_index(entries, new_folder(spark, "clusters"))
+
+
+@query("q21_index_search", f"WITH {_INDEX} SELECT DISTINCT cluster_id, cluster_type, n, suitability FROM bk WHERE k_bucket = '6-10' AND list_contains(query_types, 'even') AND cluster_type = 'BUILDING' AND suitability >= 0.5")
+def q21s(spark, sf):
+    return ci.find(spark, _cluster_index(spark, sf), k_bucket="6-10", query_type="even", cluster_type="BUILDING").select("cluster_id", "cluster_type", "n", "suitability")
+
+
+@query("q21_index_statistics", f"WITH {_INDEX} SELECT 'k_bucket' AS dimension, k_bucket AS value, count(*) AS n_clusters FROM bk GROUP BY ALL UNION ALL SELECT 'cluster_type', cluster_type, count(*) FROM en GROUP BY ALL UNION ALL SELECT 'query_type', t, count(*) FROM (SELECT unnest(query_types) AS t FROM en) GROUP BY ALL UNION ALL SELECT 'all', 'all', count(*) FROM en")
+def q21t(spark, sf):
+    return ci.statistics(spark, _cluster_index(spark, sf)).select("dimension", "value", "n_clusters")
+
+
 @query("q23_intersections", f"WITH {TRIPLES}, v AS (SELECT DISTINCT entity, property, value FROM triples) SELECT a.value AS v1, b.value AS v2, c.value AS v3, count(DISTINCT a.entity) AS n FROM v a JOIN v b ON a.entity = b.entity AND b.property = 'nation' JOIN v c ON a.entity = c.entity AND c.property = 'priority' WHERE a.property = 'segment' GROUP BY ALL HAVING count(DISTINCT a.entity) BETWEEN 5 AND 50")
 def q23(spark, sf):
     return p.intersections(triples(spark, sf), "segment", "nation", "priority")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,12 +11,7 @@ from rankcut.plans import retrieval as rt
 from rankcut.plans.base import P, eval_sql
 from rankcut.plans.registry import query, table
 from rankcut.sources import readers, writers
-from rankcut.sources.checkpoints import shared_folder
-
-
-def _folder(spark, name: str) -> str:
-    """A new folder in the shared storage."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+from rankcut.sources.checkpoints import new_folder
 
 
 _URL = "regexp_replace(url, '[?#].*$', '')"
@@ -39,7 +33,7 @@ def s7(spark, sf):
     """Pages of a host as its query's search results, written as nested JSON lines and read again."""
     result = F.struct(F.col("url").alias("page_url"), F.lit("").alias("page_name"), F.col("html").alias("page_snippet"), F.col("html").alias("page_result"))
     nested = table(spark, sf, "pages").groupBy(F.split_part("url", F.lit("/"), F.lit(3)).alias("interaction_id")).agg(F.sort_array(F.collect_list(result)).alias("search_results"))
-    path = _folder(spark, "web-queries")
+    path = new_folder(spark, "web-queries")
     nested.select("interaction_id", F.lit("?").alias("query"), F.lit("web").alias("domain"), "search_results").write.json(path)
     queries = readers.read_web_queries(spark, path)
     return readers.own_results(queries, readers.documents_of(queries, full_text=True))
@@ -48,7 +42,7 @@ def s7(spark, sf):
 @query("s1_s2_s3_s12_csv_round_trip", f"WITH {b.S} SELECT query_id::VARCHAR AS query_id, doc_id::VARCHAR AS doc_id, md5(text) AS digest FROM qr JOIN documents USING (doc_id)")
 def s12(spark, sf):
     """Documents, query vectors' ids and their qrels as a CSV data set, read again and joined."""
-    folder, docs = _folder(spark, "dataset"), table(spark, sf, "documents").select("doc_id", "text")
+    folder, docs = new_folder(spark, "dataset"), table(spark, sf, "documents").select("doc_id", "text")
     qrels, asked = b.qrels(spark, sf), b.queries(spark, sf).select("query_id", F.col("query_label").cast("string").alias("text"))
     writers.write_dataset(folder, docs, asked, qrels.withColumn("relevance", F.lit(1)), qrels.agg(F.count("*").alias("n_qrels")))
     read = readers.read_qrels(spark, f"{folder}/qrels.csv").join(readers.read_queries(spark, f"{folder}/queries.csv").select("query_id"), "query_id", "left_semi")
@@ -57,7 +51,7 @@ def s12(spark, sf):
 
 @query("s13_trec_round_trip", f"WITH {b.S} SELECT query_id, 0 AS iteration, doc_id AS passage_id, 1 AS relevance FROM qr")
 def s13(spark, sf):
-    folder = _folder(spark, "trec")
+    folder = new_folder(spark, "trec")
     qrels = b.qrels(spark, sf).select("query_id", F.col("doc_id").alias("passage_id"), F.lit(1).alias("relevance"))
     writers.write_trec(folder, b.corpus(spark, sf).select(F.col("doc_id").alias("passage_id"), "label"), b.queries(spark, sf).select("query_id"), qrels)
     return spark.read.schema("query_id bigint, iteration int, passage_id bigint, relevance int").csv(f"{folder}/qrels.tsv", sep="\t")
@@ -65,7 +59,7 @@ def s13(spark, sf):
 
 @query("s14_s15_stored_results", f"WITH {P}, top AS (SELECT * FROM p WHERE rank <= 10), {eval_sql('e', 'top')} SELECT query_id, k, hit_rate FROM e")
 def s14(spark, sf):
-    folder, rows = _folder(spark, "results"), rt.fixed_rows(spark, sf)
+    folder, rows = new_folder(spark, "results"), rt.fixed_rows(spark, sf)
     kept = writers.store(rows, f"{folder}-rows")
     writers.write_results(folder, m.overall(kept), kept, m.by_bucket(kept, "query_label", ["recall"]))
     return spark.read.parquet(f"{folder}/per_query").select("query_id", "k", "hit_rate")
@@ -85,7 +79,7 @@ def s9(spark, sf):
     people = table(spark, sf, "customer").join(articles, "c_custkey", "left").withColumn("cluster_id", F.expr("string(c_custkey div 10)"))
     article = F.when(F.col("passages").isNotNull(), F.struct(text("c_custkey").alias("qid"), "passages"))
     nested = people.groupBy("cluster_id").agg(F.collect_list(F.struct(text("c_custkey").alias("qid"), F.col("c_name").alias("label"))).alias("entities"), F.collect_list(article).alias("articles"))
-    path = _folder(spark, "clusters")
+    path = new_folder(spark, "clusters")
     nested.write.json(path)
     passages, _ = readers.read_entity_passages(spark, path)
     writers.write_passages(f"{path}-passages", passages)

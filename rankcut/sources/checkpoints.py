@@ -19,8 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, computed once and written as a table to the shared folder (checkpoint() would compute them twice)."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -83,11 +83,11 @@ def b6(spark, sf):
 
 _SP = f"""{_TH}, sz AS (SELECT bucket, count(*) AS size_ FROM th GROUP BY ALL), sp_a AS (SELECT th.*, row_number() OVER (PARTITION BY category ORDER BY size_, bucket) AS o FROM th JOIN sz USING (bucket)),
 sp_b AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('0:' || category || ':')) AS i FROM sp_a WHERE o = 1),
-sp AS (SELECT substr(md5(category || bucket), 1, 12) AS query_id, category, bucket, direction, k, threshold FROM sp_b WHERE i <= 20)"""
+sp AS (SELECT substr(md5(category || bucket), 1, 12) AS query_id, category, bucket, direction, k, threshold FROM sp_b WHERE i <= 80)"""
 
 
 def specs(spark, sf):
-    return k.select_specs(_thresholds(spark, sf), most=20).withColumn("query_id", F.substring(F.md5(F.concat("category", "bucket")), 1, 12))
+    return k.select_specs(_thresholds(spark, sf), most=80).withColumn("query_id", F.substring(F.md5(F.concat("category", "bucket")), 1, 12))
 
 
 @query("b7_query_selection", f"WITH {ITEMS}, {_SP} SELECT query_id, category, bucket, direction, k, threshold FROM sp")
@@ -95,9 +95,9 @@ def b7(spark, sf):
     return specs(spark, sf)
 
 
-@query("b8_category_selection", f"WITH {ITEMS}, s AS (SELECT category, count(*) AS n FROM items GROUP BY ALL), c AS (SELECT *, CASE WHEN n BETWEEN 5 AND 15 THEN 'b5_15' WHEN n BETWEEN 16 AND 40 THEN 'b16_40' WHEN n BETWEEN 41 AND 100 THEN 'b41_100' END AS bucket FROM s) SELECT category, n, bucket FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('0:' || category || ':')) AS i FROM c WHERE bucket IS NOT NULL) WHERE i <= 30")
+@query("b8_category_selection", f"WITH {ITEMS}, s AS (SELECT category, count(*) AS n FROM items GROUP BY ALL), c AS (SELECT *, CASE WHEN n BETWEEN 5 AND 15 THEN 'b5_15' WHEN n BETWEEN 16 AND 40 THEN 'b16_40' WHEN n BETWEEN 41 AND 100 THEN 'b41_100' END AS bucket FROM s) SELECT category, n, bucket FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('0:' || category || ':')) AS i FROM c WHERE bucket IS NOT NULL) WHERE i <= 200")
 def b8(spark, sf):
-    return k.select_categories(items(spark, sf).groupBy("category").agg(F.count("*").alias("n")), _BANDS, 30)
+    return k.select_categories(items(spark, sf).groupBy("category").agg(F.count("*").alias("n")), _BANDS, 200)
 
 
 _TIER = f"""{_SP}, tr_a AS (SELECT sp.query_id, doc_id, CASE WHEN (direction = 'above' AND price > threshold) OR (direction = 'below' AND price < threshold) THEN 'relevant' ELSE 'hard' END AS tier FROM items JOIN sp USING (category)),
@@ -105,37 +105,37 @@ tr_b AS (SELECT *, count(*) FILTER (tier = 'relevant') OVER (PARTITION BY query_
 tr AS (SELECT query_id, doc_id, tier FROM tr_b WHERE tier = 'relevant' OR i <= greatest(5 * n_rel, 50)),
 core AS (SELECT doc_id, max(tier) AS tier FROM tr GROUP BY doc_id),
 oth AS (SELECT * FROM items WHERE category NOT IN (SELECT category FROM sp) AND doc_id NOT IN (SELECT doc_id FROM core)),
-easy AS (SELECT doc_id, 'easy' AS tier FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id || ':'), doc_id) AS i FROM oth) WHERE i <= greatest(1500 - (SELECT count(*) FROM core), 0))"""
+easy AS (SELECT doc_id, 'easy' AS tier FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id || ':'), doc_id) AS i FROM oth) WHERE i <= least(greatest(80000 - (SELECT count(*) FROM core), 0), greatest(120000 - (SELECT count(*) FROM core), 0)))"""
 
 
 @query("b9_tiered_corpus", f"WITH {ITEMS}, {_TIER} SELECT doc_id, tier FROM core UNION ALL SELECT doc_id, tier FROM easy")
 def b9(spark, sf):
-    return k.tiered_corpus(items(spark, sf), specs(spark, sf), 1500, 1_000_000)[0]
+    return k.tiered_corpus(items(spark, sf), specs(spark, sf), 80_000, 120_000)[0]
 
 
 @query("b9_qrels", f"WITH {ITEMS}, {_TIER} SELECT query_id, doc_id, 1 AS relevance FROM tr WHERE tier = 'relevant'")
 def b9q(spark, sf):
-    return k.tiered_corpus(items(spark, sf), specs(spark, sf), 1500, 1_000_000)[1]
+    return k.tiered_corpus(items(spark, sf), specs(spark, sf), 80_000, 120_000)[1]
 
 
 _FOUR = f"""{_SP}, ft AS (SELECT doc_id, max(CASE WHEN (direction = 'above' AND price > threshold) OR (direction = 'below' AND price < threshold) THEN 'relevant' ELSE 'hard' END) AS tier FROM items JOIN sp USING (category) GROUP BY doc_id),
 fo AS (SELECT * FROM items WHERE category NOT IN (SELECT category FROM sp) AND doc_id NOT IN (SELECT doc_id FROM ft)),
-fd AS (SELECT doc_id, 'department' AS tier FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id || ':'), doc_id) AS i FROM fo WHERE dept IN (SELECT DISTINCT dept FROM items WHERE category IN (SELECT category FROM sp))) WHERE i <= trunc((1800 - (SELECT count(*) FROM ft)) * 0.6::DOUBLE)),
-fe AS (SELECT doc_id, 'easy' AS tier FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('1:' || doc_id || ':'), doc_id) AS i FROM fo WHERE doc_id NOT IN (SELECT doc_id FROM fd)) WHERE i <= 1800 - (SELECT count(*) FROM ft) - (SELECT count(*) FROM fd))"""
+fd AS (SELECT doc_id, 'department' AS tier FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id || ':'), doc_id) AS i FROM fo WHERE dept IN (SELECT DISTINCT dept FROM items WHERE category IN (SELECT category FROM sp))) WHERE i <= trunc((120000 - (SELECT count(*) FROM ft)) * 0.6::DOUBLE)),
+fe AS (SELECT doc_id, 'easy' AS tier FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('1:' || doc_id || ':'), doc_id) AS i FROM fo WHERE doc_id NOT IN (SELECT doc_id FROM fd)) WHERE i <= 120000 - (SELECT count(*) FROM ft) - (SELECT count(*) FROM fd))"""
 
 
 @query("b10_four_tier_corpus", f"WITH {ITEMS}, {_FOUR} SELECT doc_id, tier FROM ft UNION ALL SELECT doc_id, tier FROM fd UNION ALL SELECT doc_id, tier FROM fe")
 def b10(spark, sf):
-    return k.four_tier_corpus(items(spark, sf), specs(spark, sf), 1800)
+    return k.four_tier_corpus(items(spark, sf), specs(spark, sf), 120_000)
 
 
 _CC = f"""{_SP}, cr AS (SELECT doc_id, 'relevant' AS tier FROM items WHERE category IN (SELECT category FROM sp WHERE bucket = 'small')),
-cd AS (SELECT doc_id, 'distractor' AS tier FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id || ':'), doc_id) AS i FROM items WHERE doc_id NOT IN (SELECT doc_id FROM cr)) WHERE i <= least(greatest(1000 - (SELECT count(*) FROM cr), trunc(1.8::DOUBLE * (SELECT count(*) FROM cr))), 1500 - (SELECT count(*) FROM cr)))"""
+cd AS (SELECT doc_id, 'distractor' AS tier FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id || ':'), doc_id) AS i FROM items WHERE doc_id NOT IN (SELECT doc_id FROM cr)) WHERE i <= least(greatest(100000 - (SELECT count(*) FROM cr), trunc(1.8::DOUBLE * (SELECT count(*) FROM cr))), 150000 - (SELECT count(*) FROM cr)))"""
 
 
 @query("b11_category_corpus", f"WITH {ITEMS}, {_CC} SELECT doc_id, tier FROM cr UNION ALL SELECT doc_id, tier FROM cd")
 def b11(spark, sf):
-    return k.category_corpus(items(spark, sf), specs(spark, sf).where("bucket = 'small'"), 1000, 1.8, 1500)
+    return k.category_corpus(items(spark, sf), specs(spark, sf).where("bucket = 'small'"), 100_000, 1.8, 150_000)
 
 
 @query("b12_composition", f"WITH {ITEMS}, {_TIER}, a AS (SELECT * FROM core UNION ALL SELECT * FROM easy) SELECT tier, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM a), 6) AS percent FROM a GROUP BY tier")

@@ -200,7 +200,7 @@ def q13(spark, sf):
     return p.stratified(f, 240, _SK, _SD, _TYPES).select("query_id", "k_range", "difficulty", "cluster_type")
 
 
-_ASM = f"""{_Q3}, ar AS (SELECT DISTINCT passage_id FROM q3), an AS (SELECT greatest(0, trunc((SELECT count(*) FROM ar) / 0.2::DOUBLE)::BIGINT - (SELECT count(*) FROM ar)) AS n),
+_ASM = f"""{_Q3}, ar AS (SELECT DISTINCT passage_id FROM q3), an AS (SELECT greatest(0, trunc((SELECT count(*) FROM ar) / 0.02::DOUBLE)::BIGINT - (SELECT count(*) FROM ar)) AS n),
 ax AS (SELECT passage_id, row_number() OVER (ORDER BY md5('0:' || passage_id || ':'), passage_id) AS i FROM pas WHERE passage_id NOT IN (SELECT passage_id FROM ar)),
 asm AS (SELECT passage_id, 'relevant' AS kind FROM ar UNION ALL SELECT passage_id, CASE WHEN i <= trunc((SELECT n FROM an) * 0.15::DOUBLE) THEN 'hard' ELSE 'random' END FROM ax WHERE i <= (SELECT n FROM an))"""
 
@@ -208,7 +208,7 @@ asm AS (SELECT passage_id, 'relevant' AS kind FROM ar UNION ALL SELECT passage_i
 @query("q14_assembled_corpus", f"WITH {BASE}, {_ASM} SELECT passage_id, kind FROM asm")
 def q14(spark, sf):
     qrels = p.lead_mapping(asked(spark, sf), passages(spark, sf))
-    return p.assembled(passages(spark, sf), qrels, 0.2)
+    return p.assembled(passages(spark, sf), qrels, 0.02)
 
 
 _SPLIT = "sg AS (SELECT DISTINCT conv_id FROM gen), si AS (SELECT conv_id, count(*) OVER () AS n, row_number() OVER (ORDER BY md5('0:' || conv_id || ':')) AS i FROM sg), sp AS (SELECT conv_id, CASE WHEN i <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN i <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'dev' ELSE 'test' END AS split FROM si)"

@@ -91,11 +91,27 @@ def read_entity_passages(spark: SparkSession, path: str, least: int = 2) -> tupl
     return passages, members
 
 
+def _places(rows: DataFrame) -> DataFrame:
+    """rows with place: their number from 1 in order of _file, _block (where the piece of the file that was read begins) and
+    _row (rising within a piece). Rows are numbered within pieces, and a piece adds how many rows lie before it; only these
+    counts, one for each piece, come together."""
+    inside = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_row")))
+    counts = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return inside.join(counts.select("_file", "_block", before.alias("_before")), ["_file", "_block"]).withColumn("place", F.col("_before") + F.col("_nth")).drop("_nth", "_before")
+
+
 def read_passages(spark: SparkSession, path: str) -> DataFrame:
-    """Passages from JSON lines, a JSON list or an object with a list `passages`; those without id get p_n, n their place
-    in order of entity and text."""
+    """Passages from JSON lines (.jsonl), a JSON list or an object with a list `passages`; one without id gets p_n, n its
+    place in the file, counted from 1 over all passages; blank lines don't count. JSON lines are read in pieces by many
+    tasks; a file that is one JSON value is read by one. Several files are numbered on in order of their paths."""
     one = "passage_id string, entity string, text string"
-    raw = spark.read.schema(f"{one}, passages array<struct<passage_id:string,entity:string,text:string>>").json(path, multiLine=path.endswith(".json"))
-    flat = raw.select(F.explode(F.coalesce("passages", F.array(F.struct("passage_id", "entity", "text")))).alias("p")).select("p.*")
-    lacking = flat.where("passage_id is null").withColumn("passage_id", F.concat(F.lit("p_"), (F.row_number().over(Window.partitionBy(F.col("passage_id").isNull()).orderBy("entity", "text")) - 1).cast("string")))
-    return flat.where("passage_id is not null").unionByName(lacking)
+    where = [F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row")]
+    if path.endswith(".json"):
+        raw = spark.read.schema(f"{one}, passages array<struct<passage_id:string,entity:string,text:string>>").json(path, multiLine=True)
+        raw = raw.select(F.coalesce("passages", F.array(F.struct("passage_id", "entity", "text"))).alias("ps"), *where)
+        rows = raw.select(F.posexplode("ps").alias("_at", "p"), "_file", F.lit(0).cast("long").alias("_block"), F.struct("_row", "_at").alias("_row"))
+    else:
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"), *where).where("trim(value) <> ''")
+        rows = lines.select(F.from_json("value", one, {"mode": "FAILFAST"}).alias("p"), "_file", "_block", "_row")
+    return _places(rows).select(F.coalesce("p.passage_id", F.concat(F.lit("p_"), F.col("place").cast("string"))).alias("passage_id"), "p.entity", "p.text")

@@ -22,7 +22,24 @@ def test_passages_in_three_forms(spark, tmp_path):
     (tmp_path / "o.json").write_text(json.dumps({"passages": rows}))
     for name in ("l.jsonl", "l.json", "o.json"):
         got = sorted((r.passage_id, r.entity) for r in readers.read_passages(spark, f"file://{tmp_path}/{name}").collect())
-        assert got == [("a", "Q1"), ("p_0", "Q2")]
+        assert got == [("a", "Q1"), ("p_2", "Q2")]
+
+
+def test_passages_are_numbered_by_their_place_in_the_file(spark, tmp_path):
+    """A file read in many pieces, with blank lines."""
+    lines = []
+    for i in range(1, 3001):
+        lines += [json.dumps({"entity": f"Q{i}", "text": "x" * (i % 97)} | ({"passage_id": f"own{i}"} if i % 3 == 0 else {}))] + ["  "] * (i % 50 == 0)
+    (tmp_path / "many.jsonl").write_text("\n".join(lines))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        df = readers.read_passages(spark, f"file://{tmp_path}/many.jsonl")
+        assert spark.read.text(f"file://{tmp_path}/many.jsonl").rdd.getNumPartitions() > 10
+        got = {r.entity: r.passage_id for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == {f"Q{i}": f"own{i}" if i % 3 == 0 else f"p_{i}" for i in range(1, 3001)}
 
 
 def test_store_keeps_what_is_there(spark, tmp_path):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankcut.operators import cutoff as c
+from rankcut.operators.ranges import running
 
 
 def _rel() -> Column:
@@ -77,6 +78,34 @@ def contamination(pool: DataFrame, fractions: list[float]) -> DataFrame:
     return out
 
 
+def cuts_after_removal(pool: DataFrame, null: DataFrame, cuts: DataFrame, fractions: list[float], gamma: float, level: float = 0.0, need: int = 5) -> DataFrame:
+    """(query_id, fraction, statistic, after, k_after, flipped): each query's cut against null(value) once relevant
+    candidates are left out of the z-scores' estimate; flipped if it gets from under the level to it. Queries with fewer
+    than `need` other rows in the estimate, or without spread there, have NULL and don't flip."""
+    z = None
+    for f in fractions:
+        one = c.z_scores(pool, f, exclude=_rel(), need=need).where(F.col("sigma") > 1e-10).withColumn("fraction", F.lit(f))
+        z = one if z is None else z.unionByName(one)
+    z = z.where("z is not null").withColumn("query_id", F.struct(F.col("query_id").alias("q"), "fraction"))
+    p = c.with_global_null(z, null, "z").withColumn("p", c.empirical_p(F.col("n_at_least"), F.col("n_null")))
+    after = c.thresholds(c.curve(p, gamma)).select(F.col("query_id.q").alias("query_id"), "query_id.fraction", F.col("statistic").alias("after"), F.col("k").alias("k_after"))
+    every = cuts.select("query_id", "statistic", F.explode(F.array(*map(F.lit, fractions))).alias("fraction"))
+    flipped = F.coalesce((F.col("statistic") < level) & (F.col("after") >= level), F.lit(False))
+    return every.join(after, ["query_id", "fraction"], "left").select("query_id", "fraction", "statistic", "after", "k_after", flipped.alias("flipped"))
+
+
+def distance_from_all(null: DataFrame) -> DataFrame:
+    """(query_id, n, d): Kolmogorov distance of each query's null from that of all queries. The share of all values up to a
+    value is counted once over ranges; the distance is at one of the query's values or just before it."""
+    values = null.where("value is not null").groupBy("query_id", "value").agg(F.count("*").alias("_c"))
+    every = running(values.groupBy("value").agg(F.sum("_c").alias("_a")), "value", ["_a"])
+    upto = Window.partitionBy("query_id").orderBy("value")
+    rows = values.join(every, "value").withColumns({"_u": F.sum("_c").over(upto), "_n": F.sum("_c").over(_by_query())})
+    at = F.abs(F.col("_u") / F.col("_n") - F.col("_a_upto") / F.col("_a_all"))
+    before = F.abs((F.col("_u") - F.col("_c")) / F.col("_n") - (F.col("_a_upto") - F.col("_a")) / F.col("_a_all"))
+    return rows.groupBy("query_id").agg(F.max("_n").alias("n"), F.round(F.max(F.greatest(at, before)), 9).alias("d"))
+
+
 def null_fit(null: DataFrame) -> DataFrame:
     """Each query's null deviation against that of all: narrower, matched or wider, and the shape of its null."""
     total = null.agg(F.stddev_pop("value").alias("_s"))  # one row

@@ -222,6 +222,22 @@ def d6(spark, sf):
     return rounded(g.heterogeneity(c.z_scores(b.pool(spark, sf))))
 
 
+@query(
+    "d4_cuts_after_removal",
+    f"WITH {P}, {_N4}, {_N2}, {_PQ}, {hc_sql('h', 'pq', '0.3')}, "
+    + ", ".join(f"{z_sql(f'k{i}', 'p', str(f), drop='rel = 1', need=5)}, y{i} AS (SELECT * FROM k{i} WHERE z IS NOT NULL AND sigma > 1e-10), {p_sql(f'r{i}', f'y{i}', 'n4', 'z', per_query=False)}, {hc_sql(f'a{i}', f'r{i}', '0.3')}" for i, f in enumerate(_FR))
+    + " "
+    + " UNION ALL ".join(f"SELECT query_id, {f}::DOUBLE AS fraction, round(h.statistic, 6) AS statistic, round(a.statistic, 6) AS after, a.k AS k_after, coalesce(h.statistic < 1.0 AND a.statistic >= 1.0, false) AS flipped FROM h LEFT JOIN a{i} a USING (query_id)" for i, f in enumerate(_FR)),
+)
+def d4a(spark, sf):
+    return rounded(g.cuts_after_removal(b.flagged(b.pool(spark, sf), spark, sf), _matched_null(spark, sf), _cuts(spark, sf), list(_FR), 0.3, level=1.0))
+
+
+@query("d5_distance_from_all", f"WITH {P}, {_N4}, v AS (SELECT DISTINCT query_id, value FROM n4), w AS (SELECT query_id, value, abs((SELECT count(*) FILTER (x.value <= v.value)::DOUBLE / count(*) FROM n4 x WHERE x.query_id = v.query_id) - (SELECT count(*) FILTER (x.value <= v.value)::DOUBLE / count(*) FROM n4 x)) AS a, abs((SELECT count(*) FILTER (x.value < v.value)::DOUBLE / count(*) FROM n4 x WHERE x.query_id = v.query_id) - (SELECT count(*) FILTER (x.value < v.value)::DOUBLE / count(*) FROM n4 x)) AS b FROM v) SELECT w.query_id, (SELECT count(*) FROM n4 x WHERE x.query_id = w.query_id) AS n, round(max(greatest(a, b)), 6) AS d FROM w GROUP BY w.query_id")
+def d5d(spark, sf):
+    return rounded(g.distance_from_all(_matched_null(spark, sf)))
+
+
 @query("d5_null_fit_per_query", f"WITH {P}, {_N4}, st AS (SELECT stddev_pop(value) AS s FROM n4), c4 AS (SELECT *, value - avg(value) OVER (PARTITION BY query_id) AS c FROM n4) SELECT query_id, count(*) AS n, round(stddev_pop(value) / max(s), 6) AS std_ratio, CASE WHEN stddev_pop(value) / max(s) < 0.8 THEN 'narrower' WHEN stddev_pop(value) / max(s) > 1.2 THEN 'wider' ELSE 'matched' END AS direction, round(avg(power(c, 3)) / nullif(power(avg(c * c), 1.5), 0), 6) AS skew, round(avg(power(c, 4)) / nullif(power(avg(c * c), 2), 0) - 3, 6) AS kurtosis FROM c4, st GROUP BY query_id")
 def d5(spark, sf):
     return rounded(g.null_fit(_matched_null(spark, sf)))

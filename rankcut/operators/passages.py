@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankcut.functions.text import k_range, word_count
+from rankcut.functions.text import k_range, word_count, words
 from rankcut.operators.retrieval import hash_order
 from rankcut.operators.similar import question_tokens, same_tokens, similar_classes
 from rankcut.sources.checkpoints import stored
@@ -15,6 +15,9 @@ from rankcut.sources.checkpoints import stored
 #: Words that speak for an easy and for a hard question (fixed values).
 EASY_INDICATORS = ["who", "what", "list", "name", "which"]
 HARD_INDICATORS = ["how", "compare", "analyze", "pattern", "relationship"]
+#: Words by which questions are told apart, and ranges of k (fixed values).
+QUESTION_TYPES = ["who", "what", "which", "where", "when", "how", "list", "name"]
+K_RANGES = ["2-5", "6-10", "11-15", "16-20"]
 
 
 def map_queries(asked: DataFrame, passages: DataFrame, most: int = 3) -> DataFrame:
@@ -157,26 +160,80 @@ def diverse(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     return rows.join(state, "pos", "left").withColumn("kept", F.coalesce("kept", plain))
 
 
+def _valid_text() -> Column:
+    """The text of a valid row that has one."""
+    return F.when(F.col("is_valid") & (F.col("text") != ""), F.col("text"))
+
+
+def _valid_k() -> Column:
+    """What k a valid row has: actual_k, the target where that is missing or 0; NULL if neither is above 0."""
+    some = lambda c: F.when(F.col(c) != 0, F.col(c))
+    k = F.coalesce(some("actual_k"), some("target_k"))
+    return F.when(F.col("is_valid") & (k > 0), k)
+
+
 def generation_metrics(rows: DataFrame) -> DataFrame:
-    n = word_count(F.col("text"))
+    """One row on rows(text, is_valid, actual_k, target_k): rates over all rows; different texts, numbers of words and k of
+    the valid ones. Without such rows means and bounds are 0."""
+    text, k = _valid_text(), _valid_k()
+    n, zero, none = F.when(text.isNotNull(), word_count(F.col("text"))), F.lit(0.0), F.lit(0)
+    share = lambda x, of: F.coalesce(F.try_divide(x.cast("double"), of), zero)
     return rows.agg(
-        F.count("*").alias("n"), F.count_if("is_valid").alias("n_valid"), (F.count_if("is_valid") / F.count("*")).alias("valid_rate"), (F.count_distinct(F.lower(F.trim("text"))) / F.count("*")).alias("unique_rate"),
-        F.avg(n).alias("mean_words"), F.min(n).alias("min_words"), F.max(n).alias("max_words"), F.avg(F.coalesce("actual_k", "target_k")).alias("mean_k"),
+        F.count("*").alias("n"), F.count_if("is_valid").alias("n_valid"), share(F.count_if("is_valid"), F.count("*")).alias("valid_rate"), F.count_distinct(text).alias("n_unique"), share(F.count_distinct(text), F.count(text)).alias("unique_rate"),
+        F.coalesce(F.avg(n), zero).alias("mean_words"), F.coalesce(F.min(n), none).alias("min_words"), F.coalesce(F.max(n), none).alias("max_words"),
+        F.coalesce(F.avg(k), zero).alias("mean_k"), F.coalesce(F.min(k), none).alias("min_k"), F.coalesce(F.max(k), none).alias("max_k"), F.coalesce(F.percentile(k, F.lit(0.5)), zero).alias("median_k"),
     )
 
 
 def openings(rows: DataFrame, k: int = 5) -> DataFrame:
-    """The most frequent first three words."""
-    first = F.array_join(F.slice(F.split(F.lower(F.trim("text")), r"\s+"), 1, 3), " ")
-    return rows.groupBy(first.alias("opening")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "opening").limit(k)
+    """The most frequent first three words of valid texts."""
+    first = F.array_join(F.slice(words(F.col("text")), 1, 3), " ")
+    return rows.where(_valid_text().isNotNull()).groupBy(first.alias("opening")).agg(F.count("*").alias("n")).where("opening <> ''").orderBy(F.desc("n"), "opening").limit(k)
+
+
+def question_types(rows: DataFrame) -> DataFrame:
+    """(question_type, n): valid texts by the word that they begin with."""
+    low = F.lower(F.trim("text"))
+    kind = F.coalesce(*(F.when(low.startswith(w), w) for w in QUESTION_TYPES), F.lit("other"))
+    return rows.where(_valid_text().isNotNull()).groupBy(kind.alias("question_type")).agg(F.count("*").alias("n"))
+
+
+def by_k_range(ks: DataFrame, k: Column) -> DataFrame:
+    """(k_range, n): how many rows lie in each range of k, also where none does; rows without k don't count."""
+    each = [F.struct(F.lit(name).alias("k_range"), F.count_if(k_range(k) == name).alias("n")) for name in K_RANGES]
+    return ks.where(k.isNotNull()).agg(F.array(*each).alias("_r")).select(F.inline("_r"))
+
+
+def k_distribution(rows: DataFrame) -> DataFrame:
+    """(k_range, n) of the valid rows."""
+    return by_k_range(rows, _valid_k())
+
+
+def generation_issues(rows: DataFrame, most: int = 3, short: int = 10) -> DataFrame:
+    """rows(text, is_valid, errors array) -> (issue, severity, n, detail): few valid rows (under 0.8), few different texts
+    (under 0.9), an opening of over a fifth and short texts of over a tenth of the valid ones, and the `most` most frequent
+    errors of invalid rows that occur three times or more."""
+    text = _valid_text()
+    facts = rows.agg(F.count("*").alias("_n"), F.count_if("is_valid").alias("_v"), F.count(text).alias("_t"), F.count_distinct(text).alias("_u"), F.count_if(text.isNotNull() & (word_count(F.col("text")) < short)).alias("_s"))
+    issue = lambda name, severity, n, detail="": F.struct(F.lit(name).alias("issue"), F.lit(severity).alias("severity"), F.col(n).alias("n"), (F.col(detail) if detail else F.lit("")).alias("detail"))
+    found = F.array_compact(F.array(
+        F.when(F.col("_v") < 0.8 * F.col("_n"), issue("low_success_rate", "warning", "_v")),
+        F.when(F.col("_u") < 0.9 * F.col("_t"), issue("low_uniqueness", "warning", "_u")),
+        F.when(F.col("_s") > 0.1 * F.col("_t"), issue("short_queries", "info", "_s")),
+    ))
+    top = openings(rows, 1).crossJoin(F.broadcast(facts)).where(F.col("n") > 0.2 * F.col("_t"))  # one row each
+    errors = rows.where("not coalesce(is_valid, false)").select(F.explode("errors").alias("error")).groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error").limit(most).where("n >= 3")
+    return facts.select(F.inline(found)).union(top.select(F.inline(F.array(issue("repetitive_opening", "info", "n", "opening"))))).union(errors.select(F.inline(F.array(issue("common_error", "warning", "n", "error")))))
 
 
 def stratified(rows: DataFrame, total: int, shares_k: dict[str, float], shares_d: dict[str, float], types: list[str]) -> DataFrame:
     """rows(query_id, k, difficulty, cluster_type, total_score): of each cell of K range and difficulty its target, round
-    robin over the cluster types, best score first; other types are never picked where a cell is over-full."""
+    robin over the cluster types, best score first; other types are never picked where a cell is over-full, nor are rows of
+    another range or difficulty."""
     lookup = lambda col, shares: F.create_map(*(x for k, v in shares.items() for x in (F.lit(k), F.lit(v))))[col]
     cell = rows.withColumn("k_range", k_range(F.col("k")))
-    target = F.greatest(F.lit(1), (F.lit(total) * lookup(F.col("k_range"), shares_k) * lookup(F.col("difficulty"), shares_d)).cast("int"))
+    share = F.lit(total) * lookup(F.col("k_range"), shares_k) * lookup(F.col("difficulty"), shares_d)
+    target = F.when(share.isNotNull(), F.greatest(F.lit(1), share.cast("int")))
     w = Window.partitionBy("k_range", "difficulty")
     order = F.array_position(F.array(*map(F.lit, types)), F.col("cluster_type"))
     turn = F.row_number().over(Window.partitionBy("k_range", "difficulty", "cluster_type").orderBy(F.desc("total_score"), "query_id"))
@@ -184,6 +241,19 @@ def stratified(rows: DataFrame, total: int, shares_k: dict[str, float], shares_d
     return nth.withColumn("_i", F.row_number().over(w.orderBy("_turn", "_t", "query_id"))).where(F.col("_i") <= F.col("target")).drop("_n", "_t", "_turn", "_i")
 
 
+def shortfalls(selected: DataFrame, total: int, shares_k: dict[str, float], shares_d: dict[str, float]) -> DataFrame:
+    """Cells of which fewer rows were selected than their target: (k_range, difficulty, target, selected, shortfall)."""
+    wanted = [F.struct(F.lit(k).alias("k_range"), F.lit(d).alias("difficulty"), F.lit(max(1, int(total * x * y))).alias("target"), F.count_if((F.col("k_range") == k) & (F.col("difficulty") == d)).alias("selected")) for k, x in shares_k.items() for d, y in shares_d.items()]
+    cells = selected.agg(F.array(*wanted).alias("_c")).select(F.inline("_c"))
+    return cells.where("selected < target").withColumn("shortfall", F.col("target") - F.col("selected"))
+
+
+def selection_summary(selected: DataFrame, total: int) -> DataFrame:
+    """One row: how many were wanted and selected, of how many clusters, and their mean score."""
+    n = F.count("*")
+    return selected.agg(F.lit(total).alias("total_target"), n.alias("n_selected"), (n / total).alias("selection_rate"), F.count_distinct("cluster_id").alias("n_clusters"), F.coalesce(F.avg("total_score"), F.lit(0.0)).alias("mean_score"))
+
+
 def assembled(passages: DataFrame, qrels: DataFrame, sparsity: float = 0.02, hard: float = 0.15, seed: int = 0) -> DataFrame:
     """Relevant passages, and others up to a share of relevant ones of `sparsity`; `hard` of them are flagged: (passage_id,
     kind). Both kinds are drawn from one hash order, so they are disjoint."""
@@ -196,6 +266,24 @@ def assembled(passages: DataFrame, qrels: DataFrame, sparsity: float = 0.02, har
     return rel.withColumn("kind", F.lit("relevant")).union(flagged)
 
 
+def qrels_of(mapped: DataFrame) -> DataFrame:
+    """mapped(query_id, entity, passage_id) -> (query_id, passage_id, relevance, entity), without entities that have none."""
+    return mapped.where("passage_id is not null").select("query_id", "passage_id", F.lit(1).alias("relevance"), "entity")
+
+
+def passages_per_query(asked: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(query_id, n): how many passages each query of asked has, 0 where it has none."""
+    n = mapped.groupBy("query_id").agg(F.count("passage_id").alias("_n"))
+    return asked.select("query_id").distinct().join(n, "query_id", "left").select("query_id", F.coalesce("_n", F.lit(0)).alias("n"))
+
+
+def corpus_statistics(corpus: DataFrame, per_query: DataFrame) -> DataFrame:
+    """One row: passages of assembled() by kind, the share of relevant ones, and the spread of passages_per_query()."""
+    kinds = corpus.agg(F.count("*").alias("n_passages"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("relevant", "hard", "random")))
+    spread = per_query.agg(*(F.coalesce(f, F.lit(0.0)).alias(f"{name}_per_query") for name, f in (("mean", F.avg("n")), ("min", F.min("n")), ("max", F.max("n")), ("median", F.percentile("n", F.lit(0.5))))))
+    return kinds.withColumn("sparsity", F.coalesce(F.try_divide(F.col("n_relevant").cast("double"), "n_passages"), F.lit(0.0))).crossJoin(spread)  # one row each
+
+
 def split(rows: DataFrame, by: str, train: float = 0.7, dev: float = 0.15, seed: int = 0) -> DataFrame:
     """rows with split: whole groups of `by` go to train, dev or test, in hash order, cut at int(n * share). The groups are
     numbered in one window: they are clusters, not rows."""
@@ -229,6 +317,22 @@ def type_consistency(members: DataFrame, types: DataFrame, allowed: DataFrame) -
     return out.withColumns({"share": share, "valid": (share >= 0.7) & (outliers <= 0.1)})
 
 
+def type_counts(members: DataFrame, types: DataFrame) -> DataFrame:
+    """(cluster_id, type, n): how many entities of a cluster have each type; entities without a type don't count."""
+    return members.join(types.where("type is not null").distinct(), "entity").groupBy("cluster_id", "type").agg(F.count("*").alias("n"))
+
+
+def consistency_report(consistent: DataFrame) -> DataFrame:
+    """One row on type_consistency(): clusters, how many are valid, and their mean share of the dominant type."""
+    return consistent.agg(F.count("*").alias("n_clusters"), F.count_if("valid").alias("n_valid"), F.coalesce(F.avg(F.coalesce("valid", F.lit(False)).cast("double")), F.lit(0.0)).alias("valid_rate"), F.coalesce(F.avg(F.coalesce("share", F.lit(0.0))), F.lit(0.0)).alias("mean_share"))
+
+
+def consistency_warnings(consistent: DataFrame) -> DataFrame:
+    """(cluster_id, share, n_outliers, warnings): clusters of type_consistency() that aren't valid, and why."""
+    why = F.array_compact(F.array(F.when(~(F.coalesce("share", F.lit(0.0)) >= 0.7), "low consistency"), F.when(F.col("n_outliers") > 0.1 * F.col("n"), "many outliers")))
+    return consistent.where("not coalesce(valid, false)").select("cluster_id", "share", "n_outliers", why.alias("warnings"))
+
+
 def reconciled(expected: DataFrame, verified: DataFrame) -> DataFrame:
     """Entities expected of each query against those that were verified."""
     e, v = expected.distinct().withColumn("_e", F.lit(1)), verified.distinct().withColumn("_v", F.lit(1))

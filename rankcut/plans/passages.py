@@ -172,32 +172,88 @@ def q8d(spark, sf):
     return p.diverse(table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text")).select("pos", "kept")
 
 
-@query("q12_generation_metrics", f"WITH {GEN}, w AS (SELECT *, len({_words('text')}) AS nw FROM gen) SELECT count(*) AS n, count(*) FILTER (is_valid) AS n_valid, round(count(*) FILTER (is_valid)::DOUBLE / count(*), 6) AS valid_rate, round(count(DISTINCT lower(trim(text)))::DOUBLE / count(*), 6) AS unique_rate, round(avg(nw), 6) AS mean_words, min(nw) AS min_words, max(nw) AS max_words, round(avg(actual_k), 6) AS mean_k FROM w")
+_VALID = f"""vg AS (SELECT *, CASE WHEN is_valid AND text <> '' THEN text END AS vt, CASE WHEN is_valid THEN coalesce(nullif(actual_k, 0), nullif(target_k, 0)) END AS vk FROM gen), vw AS (SELECT *, CASE WHEN vt IS NOT NULL THEN len({_words('text')}) END AS nw FROM vg),
+vo AS (SELECT array_to_string(list_slice({_words('vt')}, 1, 3), ' ') AS opening, count(*) AS n FROM vw WHERE vt IS NOT NULL GROUP BY ALL HAVING opening <> '')"""
+
+
+def _questions(spark, sf):
+    """Generated questions with the errors of those that aren't valid."""
+    return generated(spark, sf).withColumn("errors", F.when(F.col("is_valid"), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("remainder "), (F.length("text") % 7).cast("string")))))
+
+
+@query("q12_generation_metrics", f"WITH {GEN}, {_VALID} SELECT count(*) AS n, count(*) FILTER (is_valid) AS n_valid, round(count(*) FILTER (is_valid)::DOUBLE / count(*), 6) AS valid_rate, count(DISTINCT vt) AS n_unique, round(count(DISTINCT vt)::DOUBLE / count(vt), 6) AS unique_rate, round(avg(nw), 6) AS mean_words, min(nw) AS min_words, max(nw) AS max_words, round(avg(vk), 6) AS mean_k, min(vk) AS min_k, max(vk) AS max_k, quantile_cont(vk, 0.5) AS median_k FROM vw")
 def q12(spark, sf):
     return rounded(p.generation_metrics(generated(spark, sf)))
 
 
-@query("q12_openings", f"WITH {GEN} SELECT array_to_string(list_slice(string_split_regex(lower(trim(text)), '\\s+'), 1, 3), ' ') AS opening, count(*) AS n FROM gen GROUP BY ALL ORDER BY n DESC, opening LIMIT 5")
+@query("q12_openings", f"WITH {GEN}, {_VALID} SELECT opening, n FROM vo ORDER BY n DESC, opening LIMIT 5")
 def q12o(spark, sf):
     return p.openings(generated(spark, sf))
 
 
+@query("q12_question_types", f"WITH {GEN}, {_VALID} SELECT coalesce(" + ", ".join(f"CASE WHEN starts_with(lower(trim(vt)), '{w}') THEN '{w}' END" for w in p.QUESTION_TYPES) + ", 'other') AS question_type, count(*) AS n FROM vw WHERE vt IS NOT NULL GROUP BY ALL")
+def q12q(spark, sf):
+    return p.question_types(generated(spark, sf))
+
+
+_KR = "CASE WHEN {0} <= 5 THEN '2-5' WHEN {0} <= 10 THEN '6-10' WHEN {0} <= 15 THEN '11-15' ELSE '16-20' END"
+_RANGES = "(VALUES ('2-5'), ('6-10'), ('11-15'), ('16-20')) r(k_range)"
+
+
+@query("q12_k_distribution", f"WITH {GEN}, {_VALID}, d AS (SELECT {_KR.format('vk')} AS k_range, count(*) AS n FROM vw WHERE vk IS NOT NULL GROUP BY ALL) SELECT k_range, coalesce(n, 0) AS n FROM {_RANGES} LEFT JOIN d USING (k_range)")
+def q12k(spark, sf):
+    return p.k_distribution(generated(spark, sf))
+
+
+@query(
+    "q12_issues",
+    f"""WITH {GEN}, {_VALID}, f AS (SELECT count(*) AS n, count(*) FILTER (is_valid) AS v, count(vt) AS t, count(DISTINCT vt) AS u, count(*) FILTER (nw < 10) AS s FROM vw),
+er AS (SELECT 'remainder ' || length(text) % 7 AS error, count(*) AS n FROM gen WHERE NOT is_valid GROUP BY ALL ORDER BY n DESC, error LIMIT 3)
+SELECT 'low_success_rate' AS issue, 'warning' AS severity, v AS n, '' AS detail FROM f WHERE v < 0.8 * f.n UNION ALL SELECT 'low_uniqueness', 'warning', u, '' FROM f WHERE u < 0.9 * t UNION ALL SELECT 'short_queries', 'info', s, '' FROM f WHERE s > 0.1 * t
+UNION ALL SELECT 'repetitive_opening', 'info', o.n, opening FROM (SELECT * FROM vo ORDER BY n DESC, opening LIMIT 1) o, f WHERE o.n > 0.2 * t UNION ALL SELECT 'common_error', 'warning', n, error FROM er WHERE n >= 3""",
+)
+def q12i(spark, sf):
+    return p.generation_issues(_questions(spark, sf))
+
+
 _SK = {"2-5": 0.3, "6-10": 0.3, "11-15": 0.2, "16-20": 0.2}
 _SD = {"easy": 0.3, "medium": 0.4, "hard": 0.3}
 _TYPES = ["user", "assistant"]
 _case = lambda col, m: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in m.items()) + " END"
 
 
-@query(
-    "q13_stratified_selection",
-    f"""WITH {GEN}, {_FIL}, c AS (SELECT query_id, difficulty, cluster_type, total_score, CASE WHEN target_k <= 5 THEN '2-5' WHEN target_k <= 10 THEN '6-10' WHEN target_k <= 15 THEN '11-15' ELSE '16-20' END AS k_range FROM fc),
+_SEL = f"""{GEN}, {_FIL}, c AS (SELECT query_id, conv_id, difficulty, cluster_type, total_score, {_KR.format('target_k')} AS k_range FROM fc),
 t AS (SELECT *, greatest(1, trunc(240 * {_case('k_range', _SK)} * {_case('difficulty', _SD)})::INT) AS target, count(*) OVER (PARTITION BY k_range, difficulty) AS n, coalesce(list_position(['user', 'assistant'], cluster_type), 0) AS ty, row_number() OVER (PARTITION BY k_range, difficulty, cluster_type ORDER BY round(total_score, 6) DESC, query_id) AS turn FROM c),
-i AS (SELECT *, row_number() OVER (PARTITION BY k_range, difficulty ORDER BY turn, ty, query_id) AS i FROM t WHERE n <= target OR ty > 0)
-SELECT query_id, k_range, difficulty, cluster_type FROM i WHERE i <= target""",
-)
-def q13(spark, sf):
+i AS (SELECT *, row_number() OVER (PARTITION BY k_range, difficulty ORDER BY turn, ty, query_id) AS i FROM t WHERE n <= target OR ty > 0),
+sel AS (SELECT query_id, conv_id, k_range, difficulty, cluster_type, total_score FROM i WHERE i <= target)"""
+
+
+def _selected(spark, sf):
     f = rounded(p.filtered(generated(spark, sf), _filters()).withColumn("k", F.col("target_k")))
-    return p.stratified(f, 240, _SK, _SD, _TYPES).select("query_id", "k_range", "difficulty", "cluster_type")
+    return p.stratified(f, 240, _SK, _SD, _TYPES)
+
+
+@query("q13_stratified_selection", f"WITH {_SEL} SELECT query_id, k_range, difficulty, cluster_type FROM sel")
+def q13(spark, sf):
+    return _selected(spark, sf).select("query_id", "k_range", "difficulty", "cluster_type")
+
+
+_CELLS = ", ".join(f"('{k}', '{d}', {max(1, int(240 * x * y))})" for k, x in _SK.items() for d, y in _SD.items())
+
+
+@query("q13_shortfalls", f"WITH {_SEL}, w AS (SELECT * FROM (VALUES {_CELLS}) w(k_range, difficulty, target)), h AS (SELECT k_range, difficulty, target, count(query_id) AS selected FROM w LEFT JOIN sel USING (k_range, difficulty) GROUP BY ALL) SELECT k_range, difficulty, target, selected, target - selected AS shortfall FROM h WHERE selected < target")
+def q13s(spark, sf):
+    return p.shortfalls(_selected(spark, sf), 240, _SK, _SD)
+
+
+@query("q13_selection_counts", f"WITH {_SEL} SELECT 'k_range' AS dimension, k_range AS value, count(*) AS n FROM sel GROUP BY ALL UNION ALL SELECT 'difficulty', difficulty, count(*) FROM sel GROUP BY ALL UNION ALL SELECT 'cluster_type', cluster_type, count(*) FROM sel GROUP BY ALL")
+def q13c(spark, sf):
+    return p.counts_by(_selected(spark, sf), "k_range", "difficulty", "cluster_type")
+
+
+@query("q13_selection_summary", f"WITH {_SEL} SELECT 240 AS total_target, count(*) AS n_selected, round(count(*) / 240.0::DOUBLE, 6) AS selection_rate, count(DISTINCT conv_id) AS n_clusters, round(avg(round(total_score, 6)), 6) AS mean_score FROM sel")
+def q13t(spark, sf):
+    return rounded(p.selection_summary(_selected(spark, sf).withColumn("cluster_id", F.col("conv_id")), 240))
 
 
 _ASM = f"""{_Q3}, ar AS (SELECT DISTINCT passage_id FROM q3), an AS (SELECT greatest(0, trunc((SELECT count(*) FROM ar) / 0.02::DOUBLE)::BIGINT - (SELECT count(*) FROM ar)) AS n),
@@ -211,6 +267,24 @@ def q14(spark, sf):
     return p.assembled(passages(spark, sf), qrels, 0.02)
 
 
+@query("q14_qrels", f"WITH {BASE}, {_Q3} SELECT query_id, passage_id, 1 AS relevance, entity FROM q3")
+def q14q(spark, sf):
+    return p.qrels_of(p.lead_mapping(asked(spark, sf), passages(spark, sf)))
+
+
+@query("q14_corpus_statistics", f"WITH {BASE}, {_ASM}, k AS (SELECT count(*) AS n_passages, count(*) FILTER (kind = 'relevant') AS n_relevant, count(*) FILTER (kind = 'hard') AS n_hard, count(*) FILTER (kind = 'random') AS n_random FROM asm), n AS (SELECT query_id, count(passage_id)::DOUBLE AS n FROM (SELECT DISTINCT query_id FROM asked) LEFT JOIN q3 USING (query_id) GROUP BY ALL), m AS (SELECT round(avg(n), 6) AS mean_per_query, min(n) AS min_per_query, max(n) AS max_per_query, quantile_cont(n, 0.5) AS median_per_query FROM n) SELECT k.*, round(n_relevant::DOUBLE / n_passages, 6) AS sparsity, m.* FROM k, m")
+def q14s(spark, sf):
+    mapped = p.lead_mapping(asked(spark, sf), passages(spark, sf))
+    return rounded(p.corpus_statistics(p.assembled(passages(spark, sf), mapped, 0.02), p.passages_per_query(asked(spark, sf), mapped)))
+
+
+@query("q14_passages_histogram", f"WITH n AS (SELECT c_custkey AS query_id, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL), d AS (SELECT {_KR.format('n')} AS k_range, count(*) AS n FROM n GROUP BY ALL) SELECT k_range, coalesce(d.n, 0) AS n FROM {_RANGES} LEFT JOIN d USING (k_range)")
+def q14h(spark, sf):
+    """Each customer as a query for their own orders."""
+    own = members(spark, sf).select(F.col("entity").alias("query_id"))
+    return p.by_k_range(p.passages_per_query(own, passages(spark, sf).select(F.col("entity").alias("query_id"), "passage_id")), F.col("n"))
+
+
 _SPLIT = "sg AS (SELECT DISTINCT conv_id FROM gen), si AS (SELECT conv_id, count(*) OVER () AS n, row_number() OVER (ORDER BY md5('0:' || conv_id || ':')) AS i FROM sg), sp AS (SELECT conv_id, CASE WHEN i <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN i <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'dev' ELSE 'test' END AS split FROM si)"
 
 
@@ -230,13 +304,36 @@ def q17(spark, sf):
     return p.bucket_coverage(members(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("n")), targets)
 
 
-@query("q18_type_consistency", f"WITH {BASE}, b AS (SELECT cluster_id, type, count(*) AS n FROM members GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, type DESC) AS i FROM b), g AS (SELECT cluster_id, sum(n)::BIGINT AS n, max(CASE WHEN i = 1 THEN type END) AS dominant, max(n) AS n_dominant, sum(CASE WHEN type NOT IN ('HOUSEHOLD', 'MACHINERY', 'BUILDING') THEN n ELSE 0 END)::BIGINT AS n_outliers FROM o GROUP BY cluster_id) SELECT cluster_id, n, dominant, n_dominant, n_outliers, round(n_dominant::DOUBLE / n, 6) AS share, n_dominant::DOUBLE / n >= 0.7 AND n_outliers::DOUBLE / n <= 0.1 AS valid FROM g")
-def q18(spark, sf):
+_Q18 = "b AS (SELECT cluster_id, type, count(*) AS n FROM members GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, type DESC) AS i FROM b), g AS (SELECT cluster_id, sum(n)::BIGINT AS n, max(CASE WHEN i = 1 THEN type END) AS dominant, max(n) AS n_dominant, sum(CASE WHEN type NOT IN ('HOUSEHOLD', 'MACHINERY', 'BUILDING') THEN n ELSE 0 END)::BIGINT AS n_outliers FROM o GROUP BY cluster_id), tc AS (SELECT cluster_id, n, dominant, n_dominant, n_outliers, round(n_dominant::DOUBLE / n, 6) AS share, n_dominant::DOUBLE / n >= 0.7 AND n_outliers::DOUBLE / n <= 0.1 AS valid FROM g)"
+
+
+def _consistent(spark, sf):
     m = members(spark, sf)
     allowed = spark.createDataFrame([("HOUSEHOLD",), ("MACHINERY",), ("BUILDING",)], "type string")
     return rounded(p.type_consistency(m.drop("type"), m.select("entity", "type"), allowed))
 
 
+@query("q18_type_consistency", f"WITH {BASE}, {_Q18} SELECT * FROM tc")
+def q18(spark, sf):
+    return _consistent(spark, sf)
+
+
+@query("q18_type_counts", f"WITH {BASE}, {_Q18} SELECT cluster_id, type, n FROM b WHERE type IS NOT NULL")
+def q18t(spark, sf):
+    m = members(spark, sf)
+    return p.type_counts(m.drop("type"), m.select("entity", "type"))
+
+
+@query("q18_report", f"WITH {BASE}, {_Q18} SELECT count(*) AS n_clusters, count(*) FILTER (valid) AS n_valid, round(avg(CASE WHEN valid THEN 1.0::DOUBLE ELSE 0 END), 6) AS valid_rate, round(avg(share), 6) AS mean_share FROM tc")
+def q18r(spark, sf):
+    return rounded(p.consistency_report(_consistent(spark, sf)))
+
+
+@query("q18_warnings", f"WITH {BASE}, {_Q18} SELECT cluster_id, share, n_outliers, concat_ws(',', CASE WHEN share < 0.7 THEN 'low consistency' END, CASE WHEN n_outliers > 0.1 * n THEN 'many outliers' END) AS warnings FROM tc WHERE NOT valid")
+def q18w(spark, sf):
+    return p.consistency_warnings(_consistent(spark, sf)).withColumn("warnings", F.array_join("warnings", ","))
+
+
 @query("q19_reconciliation", f"WITH {BASE}, e AS (SELECT query_id, entity FROM asked), v AS (SELECT DISTINCT c_nationkey AS query_id, o_custkey AS entity FROM orders JOIN customer ON c_custkey = o_custkey), g AS (SELECT query_id, count(e.entity) AS n_expected, count(v.entity) AS n_verified, count(*) FILTER (v.entity IS NULL) AS n_missing, count(*) FILTER (e.entity IS NULL) AS n_extra FROM e FULL JOIN v USING (query_id, entity) GROUP BY ALL) SELECT *, CASE WHEN n_missing + n_extra = 0 THEN 'exact' WHEN n_missing + n_extra <= 2 THEN 'close' WHEN n_missing + n_extra <= 5 THEN 'moderate' ELSE 'large' END AS band FROM g")
 def q19(spark, sf):
     c = members(spark, sf).select(F.col("cluster_id").alias("query_id"), "entity")

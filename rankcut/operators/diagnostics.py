@@ -8,8 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankcut.functions.text import word_count
 from rankcut.operators import cutoff as c
 from rankcut.operators.ranges import running
+from rankcut.operators.validation import ks_uniform
+
+#: Terms that speak of a price (fixed values).
+PRICE_TERMS = r"(?i)\$|price|under|over|less than|more than|cheap|expensive"
 
 
 def _rel() -> Column:
@@ -32,6 +37,18 @@ def by_sign(cuts: DataFrame, ceiling: DataFrame, below: float = 0.0) -> DataFram
     )
 
 
+def text_flags(text: Column) -> dict[str, Column]:
+    """What a query's text says: its words, whether it has a digit, whether a term of price."""
+    return {"n_words": word_count(text), "has_number": F.coalesce(text.rlike(r"\d"), F.lit(False)), "has_price": F.coalesce(text.rlike(PRICE_TERMS), F.lit(False))}
+
+
+def flags_by_sign(cuts: DataFrame, texts: DataFrame, below: float = 0.0) -> DataFrame:
+    """texts(query_id, text): mean length and shares of the flags among queries with a statistic under `below`, and others."""
+    rows = cuts.join(texts.select("query_id", "text"), "query_id").withColumns(text_flags(F.col("text")))
+    share = lambda x: F.avg(F.col(x).cast("double"))
+    return rows.groupBy((F.col("statistic") < below).alias("negative")).agg(F.count("*").alias("n"), F.avg("n_words").alias("mean_words"), share("has_number").alias("with_number"), share("has_price").alias("with_price"))
+
+
 def landscape(pool: DataFrame, top: int = 100) -> DataFrame:
     """Scores of relevant and other candidates of each query, side by side."""
     s = F.col("similarity")
@@ -121,7 +138,7 @@ def heterogeneity(z: DataFrame) -> DataFrame:
     return by.agg(F.count("*").alias("n"), F.avg("s").alias("mean_std"), F.var_pop("s").alias("var_std"), F.avg("sk").alias("mean_skew"), F.avg("ku").alias("mean_kurtosis"))
 
 
-def _corr(a: str, b: str):
+def _corr(a: str | Column, b: str | Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
 
 
@@ -130,6 +147,20 @@ def ratio_correlation(fit: DataFrame, cuts: DataFrame, below: float = 0.0) -> Da
     return rows.agg(F.count("*").alias("n"), _corr("std_ratio", "statistic").alias("with_statistic"), _corr("std_ratio", "_neg").alias("with_sign"))
 
 
+def ratio_and_calibration(fit: DataFrame, p: DataFrame, need: int = 5, level: float = 0.05) -> DataFrame:
+    """(query_id, std_ratio, d, detected) on p(query_id, p, rel): the distance from uniform of its other candidates' p-values
+    (NULL for fewer than `need`) and the share of relevant ones under the level (NULL without any)."""
+    d = ks_uniform(p.where("rel = 0"), "query_id").where(F.col("n") >= need).select("query_id", "d")
+    found = p.where("rel = 1").groupBy("query_id").agg(F.avg((F.col("p") < level).cast("double")).alias("detected"))
+    return fit.select("query_id", "std_ratio").join(d, "query_id", "left").join(found, "query_id", "left")
+
+
+def ratio_against_calibration(by_query: DataFrame) -> DataFrame:
+    """One row on ratio_and_calibration(): correlations of the ratio with distance and detection, over queries with both."""
+    both = lambda x: (F.when(F.col(x).isNotNull(), F.col("std_ratio")), F.when(F.col("std_ratio").isNotNull(), F.col(x)))
+    return by_query.agg(F.count("*").alias("n"), F.count("d").alias("n_with_d"), _corr(*both("d")).alias("with_d"), F.count("detected").alias("n_with_detected"), _corr(*both("detected")).alias("with_detected"))
+
+
 def ratio_bins(fit: DataFrame, cuts: DataFrame) -> DataFrame:
     x = F.col("std_ratio")
     name = F.when(x < 0.8, "0-0.8").when(x < 1, "0.8-1").when(x < 1.2, "1-1.2").otherwise("1.2-")
@@ -159,6 +190,37 @@ def trace(p: DataFrame, top: int = 100) -> DataFrame:
     return rows.select("query_id", F.col("t.doc_id").alias("docs"), F.col("t.rel").alias("rels"), F.col("t.z").alias("zs"), F.col("t.p").alias("ps"))
 
 
+def full_trace(z: DataFrame, null: DataFrame, gamma: float, top: int = 100, least: int = 10) -> DataFrame:
+    """A row for each query with at least `least` other candidates, of z(query_id, doc_id, similarity, rank, rel, z, mu, sigma)
+    with one null(value) for all and the query's own (z of its other candidates): scores, z, both p-values and relevance of the
+    first candidates; both curves whole with their greatest value and k; scores, z, p-values and places in the order of
+    p-values (from 0) of the relevant ones; moments of all, and the deviation of its own null over that of all.
+
+    A query's candidates meet in one row, as its curve has a value for each rank; pools are of a fixed size."""
+    own = z.where(_non()).select("query_id", F.col("z").alias("value"))
+    p = c.empirical_p(F.col("n_at_least"), F.col("n_null"))
+    rows = c.with_global_null(z, null, "z").withColumn("p_all", p).drop("n_at_least", "n_null")
+    rows = c.with_query_null(rows, own, "z").withColumn("p_own", p).where(F.col("n_null") >= least)
+    r = F.struct("rank", "doc_id", "rel", *(F.round(x, 6).alias(x) for x in ("similarity", "z", "p_all", "p_own")))
+    spread = null.agg(F.stddev_pop("value").alias("_s"))  # one row
+    by = rows.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(r)).alias("_c"), F.sum("rel").alias("n_relevant"), F.max("mu").alias("mu"), F.max("sigma").alias("sigma"), F.avg("similarity").alias("mean_similarity"), F.stddev_pop("similarity").alias("std_similarity"),
+        F.avg("z").alias("mean_z"), F.stddev_pop("z").alias("std_z"), F.stddev_pop(F.when(_non(), F.col("z"))).alias("_own"),
+    )
+    first, rel = F.slice("_c", 1, top), F.filter("_c", lambda x: x["rel"] == 1)
+    arrays = {"docs": first["doc_id"], "rels": first["rel"], "similarities": first["similarity"], "zs": first["z"], "ps_all": first["p_all"], "ps_own": first["p_own"]}
+    arrays |= {f"relevant_{n}": rel[x] for n, x in (("similarities", "similarity"), ("zs", "z"), ("ps_all", "p_all"), ("ps_own", "p_own"))}
+    # p-values fall with the rank, so the order of p-values is that of ranks
+    arrays["relevant_places"] = F.transform(rel, lambda x: x["rank"] - 1)
+    out = by.crossJoin(F.broadcast(spread)).withColumn("std_ratio", F.coalesce(F.try_divide("_own", "_s"), F.lit(0.0))).select("query_id", "n_relevant", "mu", "sigma", "mean_similarity", "std_similarity", "mean_z", "std_z", "std_ratio", *(x.alias(n) for n, x in arrays.items()))
+    for side in ("all", "own"):
+        curve = c.curve(rows, gamma, p=f"p_{side}")
+        at = F.transform(F.sort_array(F.collect_list(F.struct("rank", F.round("statistic", 6).alias("s")))), lambda x: x["s"])
+        cuts = c.thresholds(curve).select("query_id", F.col("statistic").alias(f"statistic_{side}"), F.col("k").alias(f"k_{side}"))
+        out = out.join(curve.groupBy("query_id").agg(at.alias(f"curve_{side}")), "query_id").join(cuts, "query_id")
+    return out
+
+
 def groups_of(cuts: DataFrame, other: DataFrame, least: float = 0.0) -> DataFrame:
     """(query_id, k, grp): positive under the null in use, fixable by the other one, irreducible."""
     both = cuts.select("query_id", F.col("statistic").alias("a"), "k").join(other.select("query_id", F.col("statistic").alias("b")), "query_id")

@@ -13,7 +13,8 @@ from rankcut.operators import validation as va
 from rankcut.plans import base as b
 from rankcut.plans import retrieval as rt
 from rankcut.plans.base import P, S, hc_sql, p_sql, rounded, z_sql
-from rankcut.plans.registry import query
+from rankcut.plans.registry import query, table
+from rankcut.sources.checkpoints import stored
 
 _N2, _N4, _PQ, _PG, _ZP = rt._N2, rt._N4, rt._PQ, rt._PG, rt._ZP
 _PPALL = p_sql("pall", "s", "n2", "similarity", formula="plain")
@@ -101,6 +102,56 @@ def g8(spark, sf):
     return rounded(va.compared(*cuts))
 
 
+_TRUE = "tk AS (SELECT query_id, count(*) AS true_k FROM qr GROUP BY ALL)"
+
+
+def _truth(spark, sf):
+    return b.qrels(spark, sf).groupBy("query_id").agg(F.count("*").alias("true_k"))
+
+
+@query(
+    "g7_calibration_report",
+    f"""WITH {_FP}, p AS (SELECT * FROM s WHERE rank <= {b.POOL}), {_PQ}, {hc_sql('h', 'pq', '0.3')}, {_TRUE}, np AS (SELECT *, 0 AS a_ FROM pall WHERE rel = 0), {_ks('k', 'np', 'a_')}, {_ks('kq', 'np', 'query_id')},
+u AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS l FROM kq WHERE n >= 20), v AS (SELECT count(*) AS n_queries, avg(CASE WHEN l < 0.4 OR 2 * list_sum([CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * i * i * power(l, 2)) for i in range(1, 40)]) > 0.05 THEN 1.0::DOUBLE ELSE 0 END) AS us FROM u),
+r AS (SELECT count(*) AS n_relevant, avg(p) AS mean_p, quantile_cont(p, 0.5) AS median_p, avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END) AS under_05, avg(CASE WHEN p < 0.01 THEN 1.0 ELSE 0.0 END) AS under_01 FROM pall WHERE rel = 1),
+a AS (SELECT avg(true_k) AS t, avg(k) AS m, CASE WHEN stddev_pop(true_k) * stddev_pop(k) > 0 THEN corr(true_k, k) ELSE 0 END AS c, avg(k - true_k) AS e FROM tk JOIN h USING (query_id)), o AS (SELECT avg(p) AS mo, stddev_pop(p) AS so FROM np)
+SELECT n, round(d, 6) AS d, n_relevant, round(mean_p, 6) AS mean_p, round(median_p, 6) AS median_p, round(under_05, 6) AS under_05, round(mo, 6) AS mean_other, round(so, 6) AS std_other, n_queries, round(us, 6) AS uniform_share, round(under_01, 6) AS under_01, round(t, 6) AS mean_true_k, round(m, 6) AS mean_k, round(c, 6) AS k_correlation, round(e, 6) AS mean_error FROM k, v, r, a, o""",
+)
+def g7r(spark, sf):
+    return rounded(va.calibration_report(_full_p(spark, sf), F.col("rel") == 1, _cuts(spark, sf), _truth(spark, sf)))
+
+
+def _quality_sql(name: str, p: str, h: str) -> str:
+    """CTEs with a row for each query of a null's cuts h and p-values p."""
+    return f"""{name}_o AS (SELECT * FROM {p} WHERE rel = 0), {_ks(f'{name}_k', f'{name}_o', 'query_id')},
+{name}_x AS (SELECT p.query_id, sum(rel) AS hits FROM p JOIN {h} USING (query_id) WHERE p.rank <= {h}.k GROUP BY ALL),
+{name}_r AS (SELECT query_id, true_k, {h}.k, statistic, coalesce(hits, 0)::DOUBLE / true_k AS recall, CASE WHEN {h}.k > 0 THEN coalesce(hits, 0)::DOUBLE / {h}.k ELSE 0 END AS "precision", coalesce(n, 0) AS n_other, CASE WHEN coalesce(n, 0) >= 5 THEN d ELSE 1 END AS d FROM tk LEFT JOIN {h} USING (query_id) LEFT JOIN {name}_x USING (query_id) LEFT JOIN {name}_k USING (query_id)),
+{name} AS (SELECT query_id, true_k, coalesce(k, 0) AS k, statistic, recall, "precision", CASE WHEN "precision" + recall > 0 THEN 2 * "precision" * recall / ("precision" + recall) ELSE 0 END AS f1, n_other, d FROM {name}_r)"""
+
+
+_G8 = f"{P}, {_N2}, {_PQ}, {_N4}, {_PG}, {_TRUE}, {hc_sql('h', 'pq', '0.3')}, {hc_sql('w', 'pg', '0.3')}, {_quality_sql('va', 'pq', 'h')}, {_quality_sql('vb', 'pg', 'w')}"
+
+
+def _variants(spark, sf):
+    """Quality of the cuts under each query's own null and under one for all, stored as both summaries use them."""
+    pool, truth, out = b.flagged(b.pool(spark, sf), spark, sf), _truth(spark, sf), {}
+    for name, with_p in (("own", rt.with_query_p), ("all", rt.with_global_p)):
+        p = stored(b.flagged(with_p(spark, sf), spark, sf))
+        out[name] = va.quality_of_cuts(pool, c.thresholds(c.curve(p, 0.3)), p, truth)
+    return out
+
+
+@query("g8_quality_per_query", f"WITH {_G8} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, query_id, true_k, k, round(statistic, 6) AS statistic, round(recall, 6) AS recall, round(\"precision\", 6) AS \"precision\", round(f1, 6) AS f1, n_other, round(d, 6) AS d FROM {t}" for n, t in (("own", "va"), ("all", "vb"))))
+def g8q(spark, sf):
+    own, every = (df.withColumn("variant", F.lit(n)) for n, df in _variants(spark, sf).items())
+    return rounded(own.unionByName(every))
+
+
+@query("g8_nulls_compared", f"WITH {_G8} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, count(*) AS n, round(avg(k), 6) AS mean_k, round(quantile_cont(k, 0.5), 6) AS median_k, round(stddev_pop(k), 6) AS std_k, round(avg(recall), 6) AS mean_recall, round(avg(\"precision\"), 6) AS mean_precision, round(avg(f1), 6) AS mean_f1, round(avg(d), 6) AS mean_d, round(CASE WHEN stddev_pop(k) * stddev_pop(true_k) > 0 THEN corr(k, true_k) ELSE 0 END, 6) AS k_correlation FROM {t}" for n, t in (("own", "va"), ("all", "vb"))))
+def g8c(spark, sf):
+    return rounded(va.nulls_compared(_variants(spark, sf)))
+
+
 @query("g9_artifact_test", f"WITH {_FP}, np AS (SELECT * FROM pall WHERE rel = 0), {_ks('k', 'np', 'query_id')}, r AS (SELECT query_id, avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END) AS rate FROM pall WHERE rel = 1 GROUP BY ALL) SELECT CASE WHEN (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d < 0.4 THEN true ELSE 2 * list_sum([CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * i * i * power((sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d, 2)) for i in range(1, 40)]) > 0.05 END AS passed, count(*) AS n, round(avg(rate), 6) AS mean_rate, round(quantile_cont(rate, 0.5), 6) AS median_rate FROM k JOIN r USING (query_id) GROUP BY ALL")
 def g9(spark, sf):
     p = _full_p(spark, sf)
@@ -165,6 +216,12 @@ def d1(spark, sf):
     return rounded(g.by_sign(_cuts(spark, sf), m.recall_ceiling(b.queries(spark, sf), b.pool(spark, sf), b.qrels(spark, sf)), below=1.0))
 
 
+@query("d1_flags_by_sign", f"WITH {_HQ}, x AS (SELECT statistic, text FROM h JOIN documents ON doc_id = query_id), y AS (SELECT statistic < 1.0 AS negative, len(list_filter(string_split_regex(trim(coalesce(text, '')), '\\s+'), lambda w: w <> '')) AS n_words, coalesce(regexp_matches(text, '[0-9]'), false) AS num, coalesce(regexp_matches(text, '(?i)\\$|price|under|over|less than|more than|cheap|expensive'), false) AS pr FROM x) SELECT negative, count(*) AS n, round(avg(n_words), 6) AS mean_words, round(avg(CASE WHEN num THEN 1.0::DOUBLE ELSE 0 END), 6) AS with_number, round(avg(CASE WHEN pr THEN 1.0::DOUBLE ELSE 0 END), 6) AS with_price FROM y GROUP BY ALL")
+def d1f(spark, sf):
+    """The document with a query's id stands for its text."""
+    return rounded(g.flags_by_sign(_cuts(spark, sf), table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text"), below=1.0))
+
+
 _LAND = f"""WITH {P}, o AS (SELECT *, avg(similarity) OVER (PARTITION BY query_id, rel) AS mu, row_number() OVER (PARTITION BY query_id, rel ORDER BY rank) AS i FROM p),
 f AS (SELECT query_id, quantile_cont(similarity, 0.25) AS q1, quantile_cont(similarity, 0.75) AS q3 FROM p WHERE rel = 0 GROUP BY ALL)
 SELECT query_id, round(avg(similarity) FILTER (rel = 1), 4) AS mean_rel, round(stddev_pop(similarity) FILTER (rel = 1), 4) AS std_rel, round(avg(similarity) FILTER (rel = 0), 4) AS mean_non, round(stddev_pop(similarity) FILTER (rel = 0), 4) AS std_non,
@@ -248,6 +305,12 @@ def d7(spark, sf):
     return rounded(g.ratio_correlation(g.null_fit(_matched_null(spark, sf)), _cuts(spark, sf), below=1.0))
 
 
+@query("d7_ratio_against_calibration", f"WITH {P}, {_N4}, {_PG}, st AS (SELECT stddev_pop(value) AS s FROM n4), f AS (SELECT query_id, stddev_pop(value) / max(s) AS std_ratio FROM n4, st GROUP BY query_id), no AS (SELECT * FROM pg WHERE rel = 0), {_ks('k', 'no', 'query_id')}, r AS (SELECT query_id, avg(CASE WHEN p < 0.05 THEN 1.0::DOUBLE ELSE 0 END) AS detected FROM pg WHERE rel = 1 GROUP BY ALL), x AS (SELECT std_ratio, CASE WHEN n >= 5 THEN d END AS d, detected FROM f LEFT JOIN k USING (query_id) LEFT JOIN r USING (query_id)) SELECT count(*) AS n, count(d) AS n_with_d, round(coalesce(corr(std_ratio, d), 0), 6) AS with_d, count(detected) AS n_with_detected, round(coalesce(corr(std_ratio, detected), 0), 6) AS with_detected FROM x")
+def d7c(spark, sf):
+    p = stored(b.flagged(rt.with_global_p(spark, sf), spark, sf))
+    return rounded(g.ratio_against_calibration(g.ratio_and_calibration(g.null_fit(_matched_null(spark, sf)), p)))
+
+
 @query("d7_ratio_bins", f"WITH {_HQ}, {_N4}, st AS (SELECT stddev_pop(value) AS s FROM n4), f AS (SELECT query_id, stddev_pop(value) / max(s) AS x FROM n4, st GROUP BY query_id) SELECT CASE WHEN x < 0.8 THEN '0-0.8' WHEN x < 1 THEN '0.8-1' WHEN x < 1.2 THEN '1-1.2' ELSE '1.2-' END AS bin, count(*) AS n, round(avg(statistic), 6) AS mean_statistic FROM f JOIN h USING (query_id) GROUP BY ALL")
 def d7b(spark, sf):
     return rounded(g.ratio_bins(g.null_fit(_matched_null(spark, sf)), _cuts(spark, sf)))
@@ -274,6 +337,25 @@ def d9(spark, sf):
     return g.trace(b.flagged(rt.with_global_p(spark, sf), spark, sf), 100)
 
 
+def _list(x: str, where: str = "") -> str:
+    return f"coalesce(list({x} ORDER BY rank){f' FILTER ({where})' if where else ''}, [])"
+
+
+_TRACE = f"""{P}, {_N4}, {_PG}, own AS (SELECT query_id, z AS value FROM zp WHERE rel = 0), {p_sql('po', 'zp', 'own', 'z')}, big AS (SELECT query_id FROM own GROUP BY ALL HAVING count(*) >= 10),
+j AS (SELECT pg.*, po.p AS p_own FROM pg JOIN po USING (query_id, doc_id) WHERE pg.query_id IN (SELECT query_id FROM big)), {hc_sql('ha', 'pg', '0.3')}, {hc_sql('ho', 'po', '0.3')},
+ca AS (SELECT query_id, list(round(statistic_, 6) ORDER BY rank) AS curve_all FROM ha_curve GROUP BY ALL), co AS (SELECT query_id, list(round(statistic_, 6) ORDER BY rank) AS curve_own FROM ho_curve GROUP BY ALL), st AS (SELECT stddev_pop(value) AS s FROM n4),
+tr AS (SELECT query_id, sum(rel)::BIGINT AS n_relevant, round(max(mu), 6) AS mu, round(max(sigma), 6) AS sigma, round(avg(similarity), 6) AS mean_similarity, round(stddev_pop(similarity), 6) AS std_similarity, round(avg(z), 6) AS mean_z, round(stddev_pop(z), 6) AS std_z, round(stddev_pop(z) FILTER (rel = 0) / max(s), 6) AS std_ratio,
+ {_list('doc_id')} AS docs, {_list('rel')} AS rels, {_list('round(similarity, 6)')} AS similarities, {_list('round(z, 6)')} AS zs, {_list('round(p, 6)')} AS ps_all, {_list('round(p_own, 6)')} AS ps_own,
+ {_list('round(similarity, 6)', 'rel = 1')} AS relevant_similarities, {_list('round(z, 6)', 'rel = 1')} AS relevant_zs, {_list('round(p, 6)', 'rel = 1')} AS relevant_ps_all, {_list('round(p_own, 6)', 'rel = 1')} AS relevant_ps_own, {_list('rank - 1', 'rel = 1')} AS relevant_places FROM j, st GROUP BY query_id)"""
+
+
+@query("d9_full_trace", f"WITH {_TRACE} SELECT tr.*, curve_all, round(ha.statistic, 6) AS statistic_all, ha.k AS k_all, curve_own, round(ho.statistic, 6) AS statistic_own, ho.k AS k_own FROM tr JOIN ca USING (query_id) JOIN co USING (query_id) JOIN ha USING (query_id) JOIN ho USING (query_id)")
+def d9f(spark, sf):
+    pool = stored(b.pool(spark, sf))
+    z = stored(b.flagged(c.z_scores(pool), spark, sf))
+    return rounded(g.full_trace(z, nulls.pool_matched_null(pool, b.qrels(spark, sf)), 0.3))
+
+
 @query("d10_query_groups", f"WITH {_HQ}, {_N4}, {_PG}, {hc_sql('w', 'pg', '0.3')} SELECT CASE WHEN w.statistic >= 2 THEN 'positive' WHEN h.statistic >= 2 THEN 'fixable' ELSE 'irreducible' END AS grp, count(*) AS n, round(avg(w.k), 6) AS mean_k FROM h JOIN w USING (query_id) GROUP BY ALL")
 def d10(spark, sf):
     return rounded(g.grouped(c.thresholds(c.curve(rt.with_global_p(spark, sf), 0.3)), _cuts(spark, sf), least=2.0))

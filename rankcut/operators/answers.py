@@ -105,6 +105,27 @@ def fuzzy_title_f1(generated: Column, gold: Column, least: float = 0.8) -> Colum
     return _prf(match(a, b), F.size(a), F.size(b))
 
 
+def answer_metrics(answers: DataFrame, key: str = "query_id", generated: str = "generated", gold: str = "gold") -> DataFrame:
+    """(key, exact_match, title_ratio, precision, recall and f1 of title, fuzzy and token): a row for each of answers."""
+    gen, own = F.col(generated), F.col(gold)
+    parts = {"title": title_f1(gen, own), "fuzzy": fuzzy_title_f1(gen, own)}
+    cols = [x[m].alias(f"{n}_{m}") for n, x in parts.items() for m in ("precision", "recall", "f1")]
+    tokens = token_overlap(answers, key, generated, gold).select(key, *(F.col(m).alias(f"token_{m}") for m in ("precision", "recall", "f1")))
+    return answers.select(key, exact_match(gen, own).alias("exact_match"), token_set_ratio(gen, own).alias("title_ratio"), *cols).join(tokens, key)
+
+
+def end_to_end(answers: DataFrame, retrieval: DataFrame, judged: DataFrame, key: str = "query_id") -> DataFrame:
+    """A row for each of answers(key, generated, gold): its answer metrics, the retrieval metrics of the same key (NULL where
+    nothing was evaluated), and judge_scores, a map from judge to a map of its scores by aspect, of judged(key, judge, aspect,
+    score); of several scores of a judge for an aspect the mean, an empty map where there are none."""
+    score = judged.where("judge is not null and aspect is not null").groupBy(key, "judge", "aspect").agg(F.avg("score").alias("score"))
+    judge = score.groupBy(key, "judge").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("aspect", "score")))).alias("m"))
+    by = judge.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("judge", F.map_entries("m").alias("m"))))).alias("m"))
+    scores = by.select(key, F.transform_values("m", lambda _, v: F.map_from_entries(v)).alias("judge_scores"))
+    none = F.create_map().cast("map<string,map<string,double>>")
+    return answer_metrics(answers, key).join(retrieval, key, "left").join(scores, key, "left").withColumn("judge_scores", F.coalesce("judge_scores", none))
+
+
 def gold_answers(queries: DataFrame, qrels: DataFrame, corpus: DataFrame, most: int = 100, none: str = "No relevant documents found") -> DataFrame:
     """Titles of each query's relevant documents in order of doc_id, joined by commas: (query_id, gold_answer)."""
     titles = qrels.join(corpus.select("doc_id", title_of(F.col("text"), most).alias("title")), "doc_id")

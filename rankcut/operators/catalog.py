@@ -67,21 +67,45 @@ def top_priced(profile: DataFrame, k: int = 20) -> DataFrame:
     return profile.orderBy(F.desc("n_priced"), "category").limit(k)
 
 
-def thresholds_for(items: DataFrame, buckets: list[tuple[str, int, int]]) -> DataFrame:
-    """items(category, price): for each category and bucket [lo, hi], the midpoint between two neighbouring prices with a
-    number of items strictly above (or below) it in the bucket and nearest its middle; above first, then the smaller k.
-
-    Only different prices with their counts are ranked, and of these only those that a bucket can reach.
-    """
-    hi_most = max(hi for _, _, hi in buckets)
-    prices = items.where("category is not null and price is not null").groupBy("category", "price").agg(F.count("*").alias("n"))
+def _strictly(items: DataFrame, most: int, *keys: str) -> DataFrame:
+    """(keys, direction, k, threshold): midpoints between neighbouring prices with k items strictly above (or below), k at
+    most `most`. Only different prices with their counts are ranked."""
+    prices = items.where("category is not null and price is not null").groupBy(*keys, "price").agg(F.count("*").alias("n"))
     out = None
     for direction in ("above", "below"):
-        falling = direction == "above"
-        w = Window.partitionBy("category").orderBy(F.desc("price") if falling else F.asc("price"))
-        run = prices.withColumns({"k": F.sum("n").over(w), "next": F.lead("price").over(w)}).where((F.col("k") <= hi_most) & F.col("next").isNotNull())
-        one = run.select("category", F.lit(direction).alias("direction"), "k", ((F.col("price") + F.col("next")) / 2).alias("threshold"))
+        w = Window.partitionBy(*keys).orderBy(F.desc("price") if direction == "above" else F.asc("price"))
+        run = prices.withColumns({"k": F.sum("n").over(w), "next": F.lead("price").over(w)}).where((F.col("k") <= most) & F.col("next").isNotNull())
+        one = run.select(*keys, F.lit(direction).alias("direction"), "k", ((F.col("price") + F.col("next")) / 2).alias("threshold"))
         out = one if out is None else out.union(one)
+    return out
+
+
+def first_thresholds(items: DataFrame, lo: int, hi: int, *keys: str) -> DataFrame:
+    """items(keys, price): the first threshold with a number of items within [lo, hi], above before below, then the smaller
+    number: (keys, direction, threshold, k)."""
+    found = _strictly(items, hi, *keys).where(F.col("k") >= lo).groupBy(*keys).agg(F.min(F.struct("direction", "k", "threshold")).alias("m"))
+    return found.select(*keys, "m.direction", F.round("m.threshold", 2).alias("threshold"), F.col("m.k").cast("long").alias("k"))
+
+
+def config_coverage(items: DataFrame, lo: int = 5, hi: int = 50, bands: tuple[tuple[int, int], ...] = ((5, 15), (16, 30), (31, 50))) -> DataFrame:
+    """items(config, category, price, content boolean): a row for each config: products with content, with a price and with
+    both, shares in percent, categories of products with content, how many of them have prices, for how many a threshold with
+    lo to hi products exists, and how many of these have their first one in each band of k."""
+    content, priced = F.coalesce("content", F.lit(False)), F.col("price").isNotNull()
+    share = lambda c: F.round(F.count_if(c) / F.count("*") * 100, 1)
+    totals = items.groupBy("config").agg(
+        F.count("*").alias("n"), F.count_if(content).alias("n_content"), F.count_if(priced).alias("n_priced"), F.count_if(content & priced).alias("n_both"), share(priced).alias("price_percent"), share(content).alias("content_percent"),
+        F.count_distinct(F.when(content, F.col("category"))).alias("n_categories"), F.count_distinct(F.when(content & priced, F.col("category"))).alias("n_priced_categories"),
+    )
+    first = first_thresholds(items.where(content), lo, hi, "config", "category").groupBy("config").agg(F.count("*").alias("n_viable"), *(F.count_if(F.col("k").between(x, y)).alias(f"k_{x}_{y}") for x, y in bands))
+    counts = ["n_viable", *(f"k_{x}_{y}" for x, y in bands)]
+    return totals.join(first, totals.config.eqNullSafe(first.config), "left").drop(first.config).withColumns({n: F.coalesce(n, F.lit(0)) for n in counts})
+
+
+def thresholds_for(items: DataFrame, buckets: list[tuple[str, int, int]]) -> DataFrame:
+    """items(category, price): for each category and bucket [lo, hi], the midpoint between two neighbouring prices with a
+    number of items strictly above (or below) it in the bucket and nearest its middle; above first, then the smaller k."""
+    out = _strictly(items, max(hi for _, _, hi in buckets), "category")
     wanted = out.withColumn("b", F.explode(F.array(*(F.struct(F.lit(n).alias("bucket"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in buckets))))
     fit = wanted.where((F.col("k") >= F.col("b.lo")) & (F.col("k") <= F.col("b.hi"))).withColumn("_d", F.abs(F.col("k") - (F.col("b.lo") + F.col("b.hi")) / 2))
     best = fit.groupBy("category", F.col("b.bucket").alias("bucket")).agg(F.min(F.struct("_d", "direction", "k", "threshold")).alias("m"))

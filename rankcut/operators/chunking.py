@@ -1,18 +1,22 @@
 """Chunks of documents: fixed windows, sentences, recursive separators, sections and passages.
 
-Chunkers that carry state through a text run as mapInPandas, one document at a time within an Arrow batch; a document is
-never split over tasks, and its chunks leave with the batch.
+Chunkers that carry state through a text run as mapInPandas, one document at a time within an Arrow batch, and its chunks
+leave with the batch. chunk_corpus() is for corpora whose texts differ much in length: it cuts long ones into pieces.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankcut.sources.checkpoints import stored
+
 CHUNK = "chunk_id string, parent_doc_id string, text string, chunk_index int, start_char int, end_char int"
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")  # from coarse to fine
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -105,6 +109,90 @@ def split_by(text: str, size: int, overlap: int, level: int) -> list[str]:
     return [*out, sep.join(held)] if held else out
 
 
+def _next_start(j: int, sums: list[int], size: int, overlap: int) -> int:
+    """Where the chunk ends whose first new part is j, of parts with these running sums of sizes, none above `size`. It has
+    the part before j too if that is small: so where a chunk begins settles all that follow."""
+    before = sums[j] - sums[j - 1] if j else overlap + 1
+    limit = sums[j] + size - (before if before <= overlap else 0)
+    return min(max(bisect_right(sums, limit) - 1, j + 1), len(sums) - 1)
+
+
+def safe_place(at: int, parts: list[int], size: int, overlap: int) -> int:
+    """The first place after `at` found at which split_by() begins a chunk that takes over nothing, whatever came before
+    `at`; parts are sizes, and their number means that there is none. Beside a part that is too long is such a place.
+    Elsewhere some chunk must begin at one of the places that a chunk begun before `at` can end at. All of these are
+    followed until they meet in one: there every way of cutting passes."""
+    end = next((i for i in range(at, len(parts)) if parts[i] > size), len(parts))
+    begin = next((i + 1 for i in range(at - 1, -1, -1) if parts[i] > size), 0)
+    if at in (begin, end):
+        return at
+    sums = [0, *accumulate(parts[begin:end])]
+    at -= begin
+    last = bisect_right(sums, sums[at - 1] + size) - 1
+    open_ = list(range(at, min(max(last, at), len(sums) - 1) + 1))
+    while open_[0] < len(sums) - 1:
+        if len(open_) == 1 and parts[begin + open_[0] - 1] > overlap:
+            return begin + open_[0]
+        j = _next_start(open_.pop(0), sums, size, overlap)
+        place = bisect_left(open_, j)
+        if place == len(open_) or open_[place] != j:
+            open_.insert(place, j)
+    return end
+
+
+def pieces_of(text: str, size: int, overlap: int, longest: int, level: int = 0) -> list[tuple[int, str]]:
+    """(level, piece) in order: split_by() of the pieces, each from its level on, gives the chunks of the whole text. A piece
+    is over `longest` characters only where there is no safe place."""
+    sep = SEPARATORS[level]
+    if len(text) <= longest or not sep:
+        return [(level, text)]
+    parts = list(filter(None, text.split(sep)))
+    sizes, chars = [len(p) // CHARS for p in parts], [0, *accumulate(len(p) + len(sep) for p in parts)]
+    huge = [i for i, p in enumerate(parts) if sizes[i] > size and len(p) > longest]  # cut by the next finer separator
+    out, at = [], 0
+    for stop in [*huge, len(parts)]:
+        while at < stop:
+            to = max(bisect_right(chars, chars[at] + longest // 2) - 1, at + 1)
+            to = min(safe_place(to, sizes, size, overlap), stop) if to < stop else stop
+            out.append((level, sep.join(parts[at:to])))
+            at = to
+        if at < len(parts):
+            out += pieces_of(parts[at], size, overlap, longest, level + 1)
+            at += 1
+    return out
+
+
+def chunk_corpus(docs: DataFrame, size: int, overlap: int, longest: int = 1 << 20, target: int = 1 << 25) -> DataFrame:
+    """recursive_chunks() of a corpus whose texts differ much in length, spread evenly: texts of over `longest` characters are
+    cut at safe places, pieces are dealt by hash to tasks of about `target` characters (each a small part of a task's),
+    and the chunks of a document's pieces are numbered on. Rows of equal doc_id should be one row."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for d, text in zip(pdf.doc_id, pdf.text, strict=True):
+                found = pieces_of(text, size, overlap, longest)
+                yield pd.DataFrame({"doc_id": str(d), "piece": range(len(found)), "level": [v for v, _ in found], "text": [t for _, t in found]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(d, p, i, t) for d, p, v, text in zip(pdf.doc_id, pdf.piece, pdf.level, pdf.text, strict=True) for i, t in enumerate(split_by(text, size, overlap, v))]
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "i", "text"])
+
+    rows = docs.where(r"text rlike '\\S'").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    long = F.length("text") > longest
+    pieces = rows.where(~long).select("doc_id", F.lit(0).alias("piece"), F.lit(0).alias("level"), "text").union(rows.where(long).mapInPandas(cut, "doc_id string, piece int, level int, text string"))
+    total = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // target))
+    chunks = stored(pieces.repartition(tasks, "doc_id", "piece").mapInPandas(run, "doc_id string, piece int, i int, text string"))
+    counts = chunks.groupBy("doc_id", "piece").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("doc_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    later = counts.withColumn("_before", before).where("_before is not null").drop("_n")  # only texts of several pieces have such
+    index = (F.col("i") + F.coalesce("_before", F.lit(0))).cast("int")
+    return chunks.join(later, ["doc_id", "piece"], "left").select(
+        F.concat("doc_id", F.lit("_chunk_"), index.cast("string")).alias("chunk_id"), F.col("doc_id").alias("parent_doc_id"), "text", index.alias("chunk_index"), F.lit(0).alias("start_char"), F.length("text").alias("end_char")
+    )
+
+
 def sections_of(text: str) -> list[tuple[str, int, str]]:
     """(title, level, body) of the parts of a text with == headers ==; what comes first is the Lead, of level 0."""
     marks = [*HEADER.finditer(text)]

@@ -65,6 +65,22 @@ def b5t(spark, sf):
     return k.top_priced(k.price_profile(items(spark, sf))).select("category", "n_priced")
 
 
+_CC = """it AS (SELECT p_brand AS config, split_part(p_type, ' ', 1) AS category, CASE WHEN p_size % 7 <> 0 THEN p_retailprice END AS price, p_size > 10 AS content FROM part),
+cp AS (SELECT config, category, price, count(*) AS n FROM it WHERE content AND price IS NOT NULL GROUP BY ALL),
+cs AS (SELECT config, category, 'above' AS direction, sum(n) OVER w AS k, lead(price) OVER w AS nx FROM cp WINDOW w AS (PARTITION BY config, category ORDER BY price DESC) UNION ALL SELECT config, category, 'below', sum(n) OVER w, lead(price) OVER w FROM cp WINDOW w AS (PARTITION BY config, category ORDER BY price)),
+cf AS (SELECT config, category, k FROM (SELECT *, row_number() OVER (PARTITION BY config, category ORDER BY direction, k) AS i FROM cs WHERE nx IS NOT NULL AND k BETWEEN 5 AND 50) WHERE i = 1),
+cv AS (SELECT config, count(*) AS n_viable, count(*) FILTER (k BETWEEN 5 AND 15) AS k_5_15, count(*) FILTER (k BETWEEN 16 AND 30) AS k_16_30, count(*) FILTER (k BETWEEN 31 AND 50) AS k_31_50 FROM cf GROUP BY ALL),
+ct AS (SELECT config, count(*) AS n, count(*) FILTER (content) AS n_content, count(price) AS n_priced, count(price) FILTER (content) AS n_both, round(count(price)::DOUBLE / count(*) * 100, 1) AS price_percent, round(count(*) FILTER (content)::DOUBLE / count(*) * 100, 1) AS content_percent, count(DISTINCT category) FILTER (content) AS n_categories, count(DISTINCT category) FILTER (content AND price IS NOT NULL) AS n_priced_categories FROM it GROUP BY ALL)"""
+
+
+@query("b5_config_coverage", f"WITH {_CC} SELECT ct.*, coalesce(n_viable, 0) AS n_viable, coalesce(k_5_15, 0) AS k_5_15, coalesce(k_16_30, 0) AS k_16_30, coalesce(k_31_50, 0) AS k_31_50 FROM ct LEFT JOIN cv USING (config)")
+def b5c(spark, sf):
+    """Brands as configs of categories by the first word of the type; a part in seven has no price, small ones no content."""
+    p = table(spark, sf, "part")
+    price = F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice"))
+    return k.config_coverage(p.select(F.col("p_brand").alias("config"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("category"), price.alias("price"), (F.col("p_size") > 10).alias("content")))
+
+
 _TH = f"""pc AS (SELECT category, price, count(*) AS n FROM items GROUP BY ALL),
 th_a AS (SELECT category, 'above' AS direction, sum(n) OVER w AS k, (price + lead(price) OVER w) / 2 AS threshold FROM pc WINDOW w AS (PARTITION BY category ORDER BY price DESC)
  UNION ALL SELECT category, 'below', sum(n) OVER w, (price + lead(price) OVER w) / 2 FROM pc WINDOW w AS (PARTITION BY category ORDER BY price)),

@@ -39,6 +39,23 @@ def s7(spark, sf):
     return readers.own_results(queries, readers.documents_of(queries, full_text=True))
 
 
+@query("s6_s8_two_tasks", "WITH t AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS of_task FROM pages), u AS (SELECT url, of_task, page_id, html AS text FROM t UNION ALL SELECT 'http://all/' || page_id % 10, of_task, page_id, html FROM t) SELECT of_task, md5(url) AS doc_id, md5(arg_min(text, page_id)) AS digest FROM u WHERE trim(text) <> '' AND page_id % 3 <> 1 GROUP BY ALL")
+def s8(spark, sf):
+    """Pages by parity as files of two tasks, each as its own query with two results: by its address and by an address that
+    both tasks have. One in three has a full text that is null, one none but the snippet."""
+    pages = table(spark, sf, "pages")
+    text = F.when(F.col("page_id") % 3 == 0, F.create_map(F.lit("page_result"), F.col("html"))).when(F.col("page_id") % 3 == 1, F.create_map(F.lit("page_result"), F.lit(None).cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    result = lambda url: F.map_concat(F.create_map(F.lit("page_url"), url, F.lit("page_snippet"), F.col("html")), text)
+    shared = F.concat(F.lit("http://all/"), (F.col("page_id") % 10).cast("string"))
+    folder, tasks = new_folder(spark, "tasks"), {}
+    for name, rest in (("even", 0), ("odd", 1)):
+        own = pages.where(F.col("page_id") % 2 == rest)
+        own.select(F.lpad(F.col("page_id").cast("string"), 20, "0").alias("query_id"), F.lit("?").alias("query"), F.array(result(F.col("url")), result(shared)).alias("search_results")).write.option("ignoreNullFields", False).json(f"{folder}/{name}")
+        tasks[name] = [f"{folder}/{name}"]
+    _, docs = readers.read_tasks(spark, tasks, full_text=True)
+    return docs.select("of_task", "doc_id", F.md5("text").alias("digest"))
+
+
 @query("s1_s2_s3_s12_csv_round_trip", f"WITH {b.S} SELECT query_id::VARCHAR AS query_id, doc_id::VARCHAR AS doc_id, md5(text) AS digest FROM qr JOIN documents USING (doc_id)")
 def s12(spark, sf):
     """Documents, query vectors' ids and their qrels as a CSV data set, read again and joined."""

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from rankcut.functions import text as t
 from rankcut.operators import answers as a
 from rankcut.operators import chunking as ch
+from rankcut.plans import base as b
+from rankcut.plans import retrieval as rt
 from rankcut.plans.base import rounded
 from rankcut.plans.registry import query, table
+from rankcut.plans.retrieval import _FX
 
 
 def _docs(spark, sf):
@@ -174,6 +177,11 @@ def c3(spark, sf):
     return ch.recursive_chunks(_docs(spark, sf), 256, 50).withColumn("digest", F.md5("text")).drop("text")
 
 
+@query("c7_chunked_corpus")
+def c7(spark, sf):
+    return ch.chunk_corpus(_docs(spark, sf), 256, 50).withColumn("digest", F.md5("text")).drop("text")
+
+
 @query("c4_c5_section_passages")
 def c5(spark, sf):
     return ch.passages(_docs(spark, sf)).withColumn("digest", F.md5("text")).drop("text")
@@ -247,16 +255,29 @@ def a5(spark, sf):
     return rounded(_pairs(spark, sf).select("key", a.fuzzy_title_f1(F.col("gen"), F.col("gold")).alias("m")).select("key", "m.*"))
 
 
-_PRF = ("precision", "recall", "f1")
-
-
 @query("a6_end_to_end_rows")
 def a6(spark, sf):
-    rows = _pairs(spark, sf)
-    tokens = a.token_overlap(rows, "key", "gen", "gold").select("key", *(F.col(m).alias(f"token_{m}") for m in _PRF))
-    parts = {"title": a.title_f1(F.col("gen"), F.col("gold")), "fuzzy": a.fuzzy_title_f1(F.col("gen"), F.col("gold"))}
-    cols = [c[m].alias(f"{n}_{m}") for n, c in parts.items() for m in _PRF]
-    return rounded(rows.select("key", a.exact_match(F.col("gen"), F.col("gold")).alias("exact_match"), *cols).join(tokens, "key"))
+    return rounded(a.answer_metrics(_pairs(spark, sf), "key", "gen", "gold").drop("title_ratio"))
+
+
+_A6 = f"""{_FX}, an AS (SELECT query_id, coalesce(x.text, '') AS gen, coalesce(y.text, '') AS gold FROM q JOIN documents x ON x.doc_id = query_id JOIN documents y ON y.doc_id = query_id + 1),
+w AS (SELECT query_id, list_distinct({_words('gen')}) AS u, list_distinct({_words('gold')}) AS v, {_titles('gen')} AS x, {_titles('gold')} AS y, CASE WHEN array_to_string({_answer_list('gen')}, ' ') = array_to_string({_answer_list('gold')}, ' ') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exact_match FROM an),
+n AS (SELECT *, len(list_intersect(u, v))::DOUBLE AS c, len(u) AS nu, len(v) AS nv FROM w),
+am AS (SELECT query_id, exact_match, round(CASE WHEN nu = 0 AND nv = 0 THEN 1.0 WHEN c = 0 THEN 0.0 ELSE greatest(2 * c / (c + nu), 2 * c / (c + nv), 2 * c / (nu + nv)) END, 6) AS title_ratio, {_prf('len(list_intersect(x, y))', 'len(x)', 'len(y)').replace('AS "precision"', 'AS title_precision').replace('AS recall', 'AS title_recall').replace('AS f1', 'AS title_f1')} FROM n),
+js AS (SELECT doc_id AS query_id, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic FROM labels)"""
+
+
+@query("a6_rows_with_retrieval", f"""WITH {_A6} SELECT am.*, k, n_relevant, round(recall, 6) AS recall, round("precision", 6) AS "precision", round(ndcg, 6) AS ndcg, quality AS judged_quality, toxic AS judged_toxic FROM am JOIN e USING (query_id) LEFT JOIN js USING (query_id)""")
+def a6r(spark, sf):
+    """A query's document answers, the next one is gold; labels are what the judge says. Fuzzy titles and tokens have
+    queries of their own."""
+    d = _docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    gold = d.select((F.col("doc_id") - 1).alias("query_id"), F.col("text").alias("gold"))
+    answers = d.select(F.col("doc_id").alias("query_id"), F.col("text").alias("generated")).join(gold, "query_id").join(b.queries(spark, sf).select("query_id"), "query_id", "left_semi")
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("query_id"), F.lit("labels").alias("judge"), F.inline(F.array(*(F.struct(F.lit(x).alias("aspect"), F.col(x).cast("double").alias("score")) for x in ("quality", "toxic")))))
+    rows = a.end_to_end(answers, rt.fixed_rows(spark, sf), labels)
+    said = [F.col("judge_scores")["labels"][x].alias(f"judged_{x}") for x in ("quality", "toxic")]
+    return rounded(rows.select("query_id", "exact_match", "title_ratio", "title_precision", "title_recall", "title_f1", "k", "n_relevant", "recall", "precision", "ndcg", *said))
 
 
 @query("a7_answer_summary", f"WITH {_PAIRS} SELECT count(*) AS n, round(avg(CASE WHEN array_to_string({_answer_list('gen')}, ' ') = array_to_string({_answer_list('gold')}, ' ') THEN 1.0 ELSE 0.0 END), 6) AS mean_exact_match, round(coalesce(avg(CASE WHEN length(gen) % 3 = 0 THEN length(gen) % 5 END), 0), 6) AS mean_rating FROM pairs")

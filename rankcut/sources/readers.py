@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RESULT = T.StructType([T.StructField(c, T.StringType()) for c in ("page_url", "page_name", "page_snippet", "page_result")])
+RESULT = T.MapType(T.StringType(), T.StringType())  # page_url, page_name, page_snippet, page_result: a missing key isn't a null
 WEB_QUERY = T.StructType([T.StructField(c, T.StringType()) for c in ("interaction_id", "query_id", "query", "answer", "domain")] + [T.StructField("search_results", T.ArrayType(RESULT))])
 ARTICLES = "cluster_id string, entities array<struct<qid:string,label:string>>, articles array<struct<qid:string,passages:array<struct<passage_id:string,text:string,section:string>>>>"
 
@@ -58,13 +58,27 @@ def result_id(url: Column, snippet: Column, name: Column) -> Column:
 
 
 def documents_of(queries: DataFrame, full_text: bool = False, order: str = "query_id") -> DataFrame:
-    """Unique documents of all search results; of each id the first result whose text isn't blank, by query and place."""
+    """Unique documents of all search results; of each id the first result whose text isn't blank, by query and place. The full
+    text is page_result where a result has that key, though it be null, else the snippet."""
     rows = queries.select(F.col(order).alias("_o"), F.posexplode("search_results").alias("_p", "r"))
-    text = F.coalesce("r.page_result", "r.page_snippet") if full_text else F.col("r.page_snippet")
+    full = F.when(F.map_contains_key("r", "page_result"), F.col("r.page_result")).otherwise(F.col("r.page_snippet"))
+    text = full if full_text else F.col("r.page_snippet")
     docs = rows.select("_o", "_p", result_id(F.col("r.page_url"), F.col("r.page_snippet"), F.col("r.page_name")).alias("doc_id"), text.alias("text"), F.col("r.page_name").alias("title"), F.col("r.page_url").alias("url"))
     return first_not_blank(docs, "_o", "_p")
 
 
+def read_tasks(spark: SparkSession, tasks: dict[str, list[str]], full_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Files of several tasks by the task's name -> queries and documents with the task: documents are unique within a
+    task, nothing is deduplicated between tasks."""
+    queries, docs = None, None
+    for name, paths in tasks.items():
+        q = read_web_queries(spark, *paths)
+        d = documents_of(q, full_text).withColumn("of_task", F.lit(name))
+        q = q.withColumn("of_task", F.lit(name))
+        queries, docs = (q, d) if queries is None else (queries.unionByName(q), docs.unionByName(d))
+    return queries, docs
+
+
 def first_not_blank(docs: DataFrame, *order: str) -> DataFrame:
     """docs(doc_id, text, title, url) once each: the first whose text isn't blank; a blank one claims no id."""
     first = docs.where("trim(coalesce(text, '')) <> ''").groupBy("doc_id").agg(F.min_by(F.struct("text", "title", "url"), F.struct(*order)).alias("r"))

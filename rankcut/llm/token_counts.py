@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from rankcut.llm.shared import Scratch
 from rankcut.llm.token_ids import TOKENIZER, encoded, encoder, tokenizer_path
 
-SPACE = "[ \\t\\n\\x0B\\f\\r]"
+AT_ONCE = 64  # chunks that leave a task together
 
 
 def _marks(texts: list[str], starts: list[int], path: str) -> list[tuple[int, list[int], list[int]]]:
@@ -37,12 +37,17 @@ def _marks(texts: list[str], starts: list[int], path: str) -> list[tuple[int, li
 
 def _chunk_counts(huge: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     """huge(key, text) -> (key, n_tokens, settled)."""
-    chunks = huge.select(
-        "key",
-        F.length("text").alias("n"),
-        F.explode(F.expr(f"sequence(0, greatest(length(text) - 1, 0) div {chunk})")).alias("k"),
-        "text",
-    ).select("key", "n", "k", F.expr(f"substring(text, k * {chunk} + 1, {chunk} + {overlap})").alias("part"))
+    schema = pa.schema([("key", pa.string()), ("n", pa.int32()), ("k", pa.int32()), ("part", pa.string())])
+
+    def cut(batches):  # in one pass over each text, some MB of chunks at a time
+        for b in batches:
+            for key, text in zip(b.column("key").to_pylist(), (x.as_py() for x in b.column("text")), strict=True):
+                ks = range(max(-(-len(text) // chunk), 1))
+                for some in (ks[i : i + AT_ONCE] for i in ks[::AT_ONCE]):
+                    parts = [text[k * chunk : (k + 1) * chunk + overlap] for k in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(([key] * len(parts), [len(text)] * len(parts), list(some), parts), schema, strict=True)], schema=schema)
+
+    chunks = huge.select("key", "text").mapInArrow(cut, "key string, n int, k int, part string")
 
     def encode(batches):
         for b in batches:

@@ -71,6 +71,9 @@ def test_token_counts(spark, docs, none, library):
     want = collections.Counter((r.doc_id, len((r.text or "").encode()), len(ids_of(library, r.text))) for r in docs.collect())
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
     assert all(r.over_limit == (r.n_tokens > 100) for r in got)
+    text = " ".join(f"w{i % 7}é{i}" for i in range(3000))  # many more chunks than leave a task together
+    [row] = token_counts.count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), huge=400, chunk=150, overlap=40).collect()
+    assert row.n_tokens == len(library.encode(text, add_special_tokens=False).ids) and row.n_bytes == len(text.encode())
     assert token_counts.count_tokens(none).count() == 0
 
 

@@ -192,7 +192,10 @@ def pv1g(spark, sf):
     return rounded(with_global_p(spark, sf).select("query_id", "doc_id", "n_at_least", "n_null", "p"), 9)
 
 
-@query("pv2_parametric_p")
+_ERF = "sign(x) * 2 / sqrt(pi()) * exp(-x * x) * list_sum([exp(2 * i * ln(2) + (2 * i + 1) * ln(greatest(abs(x), 1e-300)) + lgamma(i + 1) - lgamma(2 * i + 2)) for i in range(0, 200)])"
+
+
+@query("pv2_parametric_p", f"WITH {P}, {_ZP}, x AS (SELECT query_id, doc_id, z / sqrt(2) AS x FROM zp) SELECT query_id, doc_id, round(least(greatest(0.5::DOUBLE * (1 - {_ERF}), 1e-15), 1 - 1e-15), 9) AS p FROM x")
 def pv2(spark, sf):
     return rounded(c.z_scores(b.pool(spark, sf)).select("query_id", "doc_id", c.parametric_p(F.col("z")).alias("p")), 9)
 

@@ -49,12 +49,23 @@ def g1(spark, sf):
     return va.split_half(_matched_null(spark, sf), ["query_id", "doc_id"])
 
 
-@query("g1_split_half_verdict")
+def _ksp(source: str, name: str) -> str:
+    """CTE with the p-value of distances d of n >= 100 values."""
+    return f"{name} AS (SELECT *, CASE WHEN l < 0.2 THEN 1.0::DOUBLE ELSE least(1.0, greatest(0.0, 2 * list_sum([CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * i * i * l * l) for i in range(1, 101)]))) END AS p_value FROM (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS l FROM {source}))"
+
+
+_G1V = f"{_ksp('shk', 'shp')}, g1v AS (SELECT quantile_cont(d, 0.5) AS median_d, quantile_cont(p_value, 0.5) AS median_p FROM shp)"
+
+
+@query("g1_split_half_verdict", f"WITH {P}, {_N4}, {_SH}, {_G1V} SELECT round(median_d, 6) AS median_d, round(median_p, 6) AS median_p, median_p > 0.05 AND median_d < 0.1 AS passed FROM g1v")
 def g1v(spark, sf):
     return rounded(va.split_half_verdict(va.split_half(_matched_null(spark, sf), ["query_id", "doc_id"])))
 
 
-@query("g2_uniformity_verdict")
+_G2 = f"{_PPALL}, np AS (SELECT * FROM pall WHERE rel = 0), as50 AS (SELECT query_id FROM (SELECT DISTINCT query_id FROM np) ORDER BY md5('0:' || query_id || ':'), query_id LIMIT 50), np50 AS (SELECT * FROM np WHERE query_id IN (SELECT query_id FROM as50)), {_ks('ku', 'np50', 'query_id')}, {_ksp('ku', 'kup')}, g2v AS (SELECT count(*) AS n_queries, avg(CASE WHEN p_value > 0.05 THEN 1.0::DOUBLE ELSE 0 END) AS uniform_share FROM kup)"
+
+
+@query("g2_uniformity_verdict", f"WITH {S}, {_N2}, {_G2} SELECT n_queries, round(uniform_share, 6) AS uniform_share, uniform_share >= 0.7 AS passed FROM g2v")
 def g2(spark, sf):
     return rounded(va.uniformity(_full_p(spark, sf).where("rel = 0")))
 
@@ -69,7 +80,11 @@ def g4(spark, sf):
     return rounded(va.spread(c.thresholds(c.curve(rt.with_query_p(spark, sf), 0.3))))
 
 
-@query("g5_gate")
+@query(
+    "g5_gate",
+    f"""WITH {P}, {_N4}, {_SH}, {_G1V}, {_N2}, {_G2}, {_PQ}, {hc_sql('h', 'pq', '0.3')}, g AS (SELECT 'split_half' AS "check", coalesce(median_p > 0.05 AND median_d < 0.1, false) AS passed FROM g1v UNION ALL SELECT 'uniformity', coalesce(uniform_share >= 0.7, false) FROM g2v UNION ALL SELECT 'detection', coalesce(avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END) >= 0.6, false) FROM pall WHERE rel = 1 UNION ALL SELECT 'spread', coalesce(avg(statistic) > 1 AND count(DISTINCT k) >= 3, false) FROM h)
+SELECT * FROM g UNION ALL SELECT 'all', bool_and(passed) FROM g""",
+)
 def g5(spark, sf):
     p = _full_p(spark, sf)
     return va.gate(

@@ -11,12 +11,13 @@ are one node from the start. Within a bucket of a band, however large, a node is
 id and the most central node (that with the most neighbours in its buckets: an original, of a group whose copies are alike
 only to it). So candidates grow with the rows.
 
-Candidates whose signatures agree in less than `least` of all samples are left (3.5 standard deviations below the limit).
-Then each node's best candidate is verified on whole texts, components are built, and candidates that still lie in
-different components are verified; so long groups need few text comparisons. In a second round, nodes of buckets that
-still hold several components are candidates with the leaders of other components: the two above and those with the least
-of three hashes of node and bucket (other bands have other ones), of their buckets and also of each two buckets that they
-have in common (of a pair at the limit, 98 % have two bands of twelve or more): such finer buckets hold what is much alike.
+Candidates whose signatures agree in less than `least` of all samples are left for later (3.5 standard deviations below the
+limit). Then each node's best candidate is verified on whole texts, components are built, and candidates that still lie in
+different components are verified; so long groups need few text comparisons.
+
+A second round settles all other pairs of nodes that share a bucket and lie in different components, without leaders and
+without signatures (see far_pairs): exact bounds leave out those that cannot reach the limit, the rest is verified. So two
+documents that share a bucket and reach the limit are always in one class.
 A class is a component; its id is its least doc_id.
 
 Null text counts as empty. Documents without words are one class. A null doc_id gets the class of documents with the same
@@ -37,7 +38,7 @@ from rankcut.llm.words import content_hashes, shingles, sums, word_hashes
 
 SLOTS = 1 << 16
 TABLE = 1 << 16
-SEEDS = (1, 2, 3)
+GROUP = 256  # about how many nodes of a bucket lie in one block
 
 
 def document_frequencies(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
@@ -141,29 +142,86 @@ def lists(a: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * a.shape[1], pa.int32()), pa.array(a.ravel(), kind))
 
 
-def candidate_pairs(buckets: DataFrame, differ: bool = False, seeds: tuple[int, ...] = ()) -> DataFrame:
-    """buckets(bucket, node, and root where the roots must differ) -> distinct (a, b), a > b: each node with the leaders of
-    its buckets, the least, the most central and one for each seed."""
+def candidate_pairs(buckets: DataFrame) -> DataFrame:
+    """buckets(bucket, node) -> distinct (a, b), a > b: each node with the leaders of its buckets, the least and the most
+    central. Pairs without a leader are left to far_pairs."""
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     central = buckets.join(sizes.hint("merge"), "bucket").groupBy("node").agg(F.sum("n").alias("met"))
     rows = buckets.join(central.hint("merge"), "node")
-    one = F.struct("node", "root") if differ else F.struct("node")
-    leaders = [F.min(one), F.max_by(one, F.struct("met", -F.col("node"))), *(F.min_by(one, F.xxhash64("node", "bucket", F.lit(k))) for k in seeds)]
+    leaders = [F.min("node"), F.max_by("node", F.struct("met", -F.col("node")))]
     led = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(*leaders)).alias("leads")).where("n > 1").select("bucket", "leads")
-    stars = buckets.join(led.hint("merge"), "bucket").select(*buckets.columns, F.explode("leads").alias("lead"))
-    stars = stars.where("root <> lead.root" if differ else "node <> lead.node")
-    return stars.select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
+    stars = buckets.join(led.hint("merge"), "bucket").select("node", F.explode("leads").alias("lead")).where("node <> lead")
+    return stars.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
 
 
-def unmet_pairs(heads: DataFrame, roots: DataFrame) -> DataFrame:
-    """heads(node, bands), roots(node, root) -> distinct (a, b), a > b, of different components: nodes of buckets with
-    several components meet all leaders there, and those of each two such buckets that they have in common."""
+def several_components(heads: DataFrame, roots: DataFrame) -> DataFrame:
+    """heads(node, bands), roots(node, root) -> (bucket, node, root) of the buckets that hold several components."""
     rows = heads.join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("bucket"))
-    mixed_ = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    mine = rows.join(mixed_.hint("merge"), "bucket").groupBy("node", "root").agg(F.sort_array(F.collect_set("bucket")).alias("b")).where("size(b) > 1")
-    twos = F.expr("flatten(transform(sequence(1, size(b) - 1), i -> transform(slice(b, i + 1, size(b)), x -> xxhash64(b[i - 1], x))))")
-    finer = mine.select(F.explode(twos).alias("bucket"), "node", "root")
-    return candidate_pairs(rows.join(mixed_.hint("merge"), "bucket"), True, SEEDS).union(candidate_pairs(finer, True, SEEDS)).distinct()
+    several = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    return rows.join(several.hint("merge"), "bucket").distinct()
+
+
+def weights(texts: DataFrame, idf) -> DataFrame:
+    """texts(node, text) -> (s, node, w): the weight of each shingle, and with s NULL that of the whole text."""
+
+    def weigh(batches):
+        for b in batches:
+            column = b.column("text")
+            for at, to in slices(column):
+                owner, s, w, bounds, *_ = weighted_shingles(column.slice(at, to - at), idf.value)
+                node = b.column("node").slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([pa.array((s >> np.uint64(20)).view(np.int64)), node.take(pa.array(owner)), pa.array(w.astype(np.float64))], ["s", "node", "w"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(to - at, pa.int64()), node, pa.array(sums(w.astype(np.float64), bounds))], ["s", "node", "w"])
+
+    return texts.select("node", "text").mapInArrow(weigh, "s long, node long, w double")
+
+
+def far_pairs(rows: DataFrame, weighed: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """rows(bucket, node, root), weighed: weights() of their texts -> distinct (a, b), a > b, of different components: of
+    the pairs that share a bucket all those that can reach the threshold.
+
+    A pair reaches it if its common weight is at least t / (1 + t) of both weights together. A shingle is rare if two of
+    these nodes have it at most. Common weight is that of the rare shingles which both have, and at most the lesser of what
+    their other shingles weigh. Pairs with a rare shingle in common are listed from these shingles, one for each; the others
+    are held against the bound by blocks of their buckets, and only what passes becomes a row. A node of which more than
+    1 - t of the weight is rare takes no part there, and nodes of a bucket's largest component don't meet one another.
+    """
+    t = threshold - 2e-6  # a little below what verify asks for
+    share = t / (1 + t)
+    rare = weighed.where("s is not null").groupBy("s").agg(F.count("*").alias("n"), F.max("node").alias("a"), F.min("node").alias("b"), F.min("w").alias("w")).where("n <= 2")
+    rare = scratch.keep(rare.select("a", "b", "w"), "rare")
+    own = rare.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("r"))
+    # an id with several texts: the bound of neither text may be exceeded
+    whole = weighed.where("s is null").groupBy("node").agg(F.count("*").alias("n"), F.min("w").alias("w"), F.max("w").alias("most"))
+    rest = F.when(F.col("n") == 1, F.col("w") - F.coalesce("r", F.lit(0.0))).otherwise(F.col("most"))
+    facts = whole.join(own.hint("merge"), "node", "left").select("node", "w", rest.alias("c"))
+    facts = scratch.keep(facts.join(rows.select("node", "root").distinct().hint("merge"), "node"), "facts")
+
+    of_a, of_b = (facts.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("root", "w", "c"))) for x in "ab")
+    sharing = rare.where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("common")).join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b")
+    sharing = sharing.where("roota <> rootb").where(F.col("common") + F.least("ca", "cb") >= share * (F.col("wa") + F.col("wb")))
+
+    met = scratch.keep(rows.join(facts.where(F.col("c") >= t * F.col("w")).drop("root").hint("merge"), "node"), "met")
+    sizes = met.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")).where("n > most")
+    met = met.join(sizes.hint("merge"), "bucket").withColumn("hub", F.col("root") == F.col("main"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / GROUP)).alias("block")
+    listed = lambda name: F.collect_list(F.struct("node", "root", "w", "c", "hub")).alias(name)
+    left = met.where("not hub").groupBy("bucket", block(F.col("n") - F.col("most"))).agg(listed("x")).select("bucket", "x")
+    right = met.groupBy("bucket", block(F.col("n"))).agg(listed("y")).select("bucket", "y")
+
+    def reach(batches):
+        for b in batches:
+            (x, xs), (y, ys) = (([b.column(c).flatten().field(k).to_numpy(zero_copy_only=False) for k in range(5)], np.append(0, np.cumsum(b.column(c).value_lengths().to_numpy()))) for c in "xy")
+            for i in range(b.num_rows):
+                (n1, r1, w1, c1, _), (n2, r2, w2, c2, hub) = [v[xs[i] : xs[i + 1], None] for v in x], [v[ys[i] : ys[i + 1]] for v in y]
+                p, q = np.nonzero((r1 != r2) & (hub | (n1 > n2)) & (np.minimum(c1, c2) >= share * (w1 + w2)))
+                if len(p):
+                    p, q = n1[p, 0], n2[q]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
+
+    blocks = left.join(right.hint("merge"), "bucket").select("x", "y").mapInArrow(reach, "a long, b long")
+    return sharing.select("a", "b").union(blocks).distinct()
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -229,7 +287,7 @@ def near_duplicates(
     )
     # the least id stands for all documents with the same words
     firsts = scratch.keep(signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("node")), "firsts")
-    heads = signed.where("n_words > 0").join(firsts.select("node"), F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
+    heads = signed.where("n_words > 0").join(firsts.select("node"), F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id", "c1", "c2"])
     heads = scratch.keep(heads.select(F.col("doc_id").alias("node"), "bands", "sig"), "heads")
     pairs = candidate_pairs(heads.select("node", F.explode("bands").alias("bucket")))
     sig_a, sig_b = (heads.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
@@ -250,13 +308,16 @@ def near_duplicates(
     links = near.union(more)
     roots2 = scratch.keep(connected(links, scratch, "star"), "roots")
     scratch.drop(texts, roots)
-    unmet = scratch.keep(agreeing(scratch.keep(unmet_pairs(heads, roots2), "unmet")).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "unmet")
-    nodes = unmet.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.join(nodes.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "text")
-    found = scratch.keep(verify(unmet.select("a", "b"), texts, threshold, idf), "found")
+    several = scratch.keep(several_components(heads, roots2), "several")
+    texts = docs.join(several.select("node").distinct().hint("merge"), F.col("doc_id") == F.col("node")).select("node", "text").dropDuplicates()
+    texts = scratch.keep(texts, "texts")
+    weighed = scratch.keep(weights(texts, idf), "weights")
+    far = scratch.keep(far_pairs(several, weighed, threshold, scratch), "far")
+    scratch.drop(weighed)
+    found = scratch.keep(verify(far, texts, threshold, idf), "found")
     if not found.isEmpty():
         roots2 = scratch.keep(connected(links.union(found), scratch, "star"), "roots")
-    scratch.drop(heads, pairs, near, more)
+    scratch.drop(heads, pairs, near, more, several, texts, far)
     ids = firsts.join(roots2, "node", "left").select("c1", "c2", F.coalesce("root", "node").alias("class_id"))
     return signed.select("doc_id", "c1", "c2").join(ids, ["c1", "c2"]).select("doc_id", "class_id")
 

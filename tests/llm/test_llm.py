@@ -198,6 +198,33 @@ def test_copies_that_are_alike_only_to_one_of_high_id(spark):
     assert cls[0] >= 297
 
 
+def test_pairs_without_a_leader_are_found(spark):
+    g = np.random.default_rng(13)
+    base = [f"{w}{i}" for i, w in enumerate(g.choice(WORDS[:80], 600))]
+    rows = []
+    for i in range(400):  # two of a pair have two changes in common and three each of their own: about 0.83 alike, others 0.75
+        at = (10 * g.choice(range(1, 59), 8, replace=False)).tolist()
+        for k, own in enumerate((at[2:5], at[5:])):
+            words = list(base)
+            for j in at[:2]:
+                words[j] = f"both{i}x{j}"
+            for j in own:
+                words[j] = f"own{i}x{k}x{j}"
+            rows.append((2 * i + k, " ".join(words), "", 0, "", 0))
+    cls = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(cls[2 * i] == cls[2 * i + 1] for i in range(400)) >= 398 and len(set(cls.values())) >= 200
+
+
+def test_far_pairs_lists_what_can_reach_the_limit(spark):
+    """Nodes 1 and 2 have all in common, 3 has a fifth of it; 4 and 5 share a rare shingle only; 6 lies in 1's component."""
+    weighed = [(s, n, 1.0) for n in (1, 2, 6) for s in range(10)] + [(s, 3, 1.0) for s in (0, 1)] + [(30 + s, 3, 1.0) for s in range(8)]
+    weighed += [(s, n, 1.0) for n in (4, 5) for s in (50, 51, 52, 53)]
+    weighed += [(None, n, 10.0) for n in (1, 2, 3, 6)] + [(None, 4, 4.0), (None, 5, 4.0)]
+    rows = [(7, n, {6: 1}.get(n, n)) for n in range(1, 7)]
+    got = near_dup.far_pairs(spark.createDataFrame(rows, "bucket long, node long, root long"), spark.createDataFrame(weighed, "s long, node long, w double"), 0.8, near_dup.Scratch(spark))
+    assert {tuple(x) for x in got.collect()} == {(2, 1), (6, 2), (5, 4)}
+
+
 def test_signatures_estimate_weighted_jaccard():
     g = np.random.default_rng(2)
     a, b = g.choice(WORDS, 400), g.choice(WORDS, 400)

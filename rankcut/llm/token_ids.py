@@ -39,7 +39,8 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Ids of texts. `limit` bounds the parts of words that are kept, of at most 64 characters each."""
+    """Ids of texts. `limit` bounds the parts of words in each of two generations, of at most 64 characters each: when
+    the younger one is full it takes the place of the older, of which what is met again has moved to the younger before."""
 
     def __init__(self, path: str, limit: int = LIMIT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the processors
@@ -48,14 +49,21 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.limit = limit
         self.kept: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.letters = byte_letters() | {10: "\n"}
 
     def _parts(self, parts: list[str]) -> list[list[int]]:
         """Ids of lower-case parts."""
-        out = list(map(self.kept.get, parts))
         if len(self.kept) >= self.limit:
-            self.kept.clear()
-        if new := [i for i, got in enumerate(out) if got is None]:
+            self.older, self.kept = self.kept, {}
+        out = list(map(self.kept.get, parts))
+        new = []
+        for i in [i for i, got in enumerate(out) if got is None]:
+            if (got := self.older.get(parts[i])) is None:
+                new.append(i)
+            else:
+                out[i] = self.kept[parts[i]] = got
+        if new:
             # an empty part stands before the first one of each word, and has no ids
             shown = "\n".join([parts[i] for i in new]).encode().decode("latin-1").translate(self.letters).split("\n")
             tokenize = self.library.model.tokenize

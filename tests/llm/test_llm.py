@@ -177,6 +177,18 @@ def test_near_duplicates(docs, none, texts):
     assert kept.where("doc_id = 0 or doc_id >= 24").count() >= 1 and kept.where("doc_id in (12, 13)").count() == 0
 
 
+def test_parts_of_words_met_again_stay_known():
+    e = WordEncoder(tokenizer_path(), limit=20)
+    want = None
+    for k in range(6):
+        made = "".join(chr(97 + k) * 3 + chr(97 + j) + " " for j in range(20))
+        ids, n = e.encode(pa.array(["often " + made]))
+        assert want is None or (ids[: len(want)] == want).all()
+        want = e.encode(pa.array(["often"]))[0]
+        assert "often" in e.kept and len(e.kept) <= 42 and len(e.older) <= 42
+    assert "often" in e.older
+
+
 def test_large_groups_of_near_copies(spark):
     g = np.random.default_rng(9)
     base = sentence(g, 150).split()

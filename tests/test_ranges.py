@@ -50,6 +50,23 @@ def test_split_halves(spark):
     assert va.split_half(spark.createDataFrame([], "doc_id long, value double"), ["doc_id"], 5).count() == 0
 
 
+def test_even_halves(spark):
+    """Every seed has a row with even halves, also of very few values."""
+    import hashlib
+
+    g = np.random.default_rng(4)
+    for n in (2, 3, 201):
+        rows = [(i, float(v)) for i, v in enumerate(g.integers(0, 40, n) / 40)]
+        got = {r.seed: r for r in va.split_even_halves(spark.createDataFrame(rows, "doc_id long, value double"), ["doc_id"], 6).collect()}
+        assert set(got) == set(range(6))
+        for s in range(6):
+            v = np.array([x for _, x in sorted(rows, key=lambda r: hashlib.md5(f"{s}:{r[0]}".encode()).hexdigest())])
+            own, test = np.sort(v[: n // 2]), v[n // 2 :]
+            pv = np.sort(np.clip(1 - np.searchsorted(own, test) / len(own), 1e-10, 1))
+            i = np.arange(1, len(pv) + 1)
+            assert got[s].n == n - n // 2 and got[s].d == pytest.approx(max((i / len(pv) - pv).max(), (pv - (i - 1) / len(pv)).max()), abs=1e-8)
+
+
 def test_grid_moments(spark):
     g = np.random.default_rng(3)
     rows = []

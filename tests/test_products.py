@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from rankcut.operators import cutoff as c
-from rankcut.operators import nulls, products
+from rankcut.operators import nulls, products, retrieval
 
 BLOCKS = {"block": 3, "rows": 40}
 
@@ -82,3 +82,12 @@ def test_nothing_to_multiply(setting):
     queries, corpus, qrels, _ = setting
     assert nulls.null_moments(queries.where("query_id = 'x'"), corpus, qrels).count() == nulls.null_moments(queries, corpus.where("doc_id = 'x'"), qrels).count() == 0
     assert nulls.sampled_null(queries, corpus.where("doc_id = 'x'"), qrels, 3).count() == 0
+
+
+def test_sampled_pairs_lose_none(spark):
+    """Ranges that differ between sizes and places (the latter carry the vectors) would give numbers twice or never."""
+    corpus = spark.range(30_000).selectExpr("id AS doc_id", "transform(sequence(1, 64), x -> sin(x * (id + 1) * 1e3D)) AS embedding").repartition(7)
+    queries = corpus.where("doc_id % 5 = 0").withColumnRenamed("doc_id", "query_id")
+    rows = retrieval._numbered(corpus, "doc_id").select("doc_id", "n", "embedding").collect()
+    assert sorted((r.doc_id, r.n) for r in rows) == [(i, i) for i in range(30_000)]
+    assert retrieval.sampled_pairs(queries, corpus, 3000).select("pair").distinct().count() == 3000

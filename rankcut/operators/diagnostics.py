@@ -185,8 +185,9 @@ def isolation_grid(pool: DataFrame, raw_p: DataFrame, fractions: list[float], ga
 
 
 def trace(p: DataFrame, top: int = 100) -> DataFrame:
-    """The first candidates of each query as arrays."""
-    rows = p.where(F.col("rank") <= top).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "rel", F.round("z", 4).alias("z"), F.round("p", 6).alias("p")))).alias("t"))
+    """The first candidates of each query as arrays. A z that rounds to zero keeps its sign, which round() would drop."""
+    z = F.rint(F.col("z") * 1e4) / 1e4
+    rows = p.where(F.col("rank") <= top).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "rel", z.alias("z"), F.round("p", 6).alias("p")))).alias("t"))
     return rows.select("query_id", F.col("t.doc_id").alias("docs"), F.col("t.rel").alias("rels"), F.col("t.z").alias("zs"), F.col("t.p").alias("ps"))
 
 

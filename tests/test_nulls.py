@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rankcut.operators import cutoff, nulls
+from rankcut.operators import cutoff, diagnostics, nulls
 from rankcut.sources import readers, writers
 
 
@@ -55,3 +55,9 @@ def test_a_null_of_over_a_million_values_counts_whole(spark):
     got = {r.query_id: (r.n_at_least, r.n_null) for r in cutoff.with_global_null(asked, null).collect()}
     want = {1: 1_200_000, 2: 1_200_000, 3: 950_000, 4: 949_999, 5: 1, 6: 0, 7: 0, 8: 950_000}
     assert got == {q: (n, 1_200_000) for q, n in want.items()}
+
+
+def test_trace_keeps_the_sign_of_a_zero(spark):
+    rows = [(1, 5, 1, 1, 0.00002, 0.1), (1, 6, 2, 0, -0.00002, 0.2), (1, 7, 3, 0, -1.23456, 0.9), (2, 5, 1, 0, 2.5, 0.05)]
+    got = {r.query_id: r for r in diagnostics.trace(spark.createDataFrame(rows, "query_id int, doc_id int, rank int, rel int, z double, p double")).collect()}
+    assert list(map(str, got[1].zs)) == ["0.0", "-0.0", "-1.2346"] and got[1].docs == [5, 6, 7] and got[2].zs == [2.5]

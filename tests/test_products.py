@@ -4,9 +4,12 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from rankcut import plans
 from rankcut.operators import cutoff as c
 from rankcut.operators import nulls, products, retrieval
+from rankcut.plans import base
 
 BLOCKS = {"block": 3, "rows": 40}
 
@@ -91,3 +94,26 @@ def test_sampled_pairs_lose_none(spark):
     rows = retrieval._numbered(corpus, "doc_id").select("doc_id", "n", "embedding").collect()
     assert sorted((r.doc_id, r.n) for r in rows) == [(i, i) for i in range(30_000)]
     assert retrieval.sampled_pairs(queries, corpus, 3000).select("pair").distinct().count() == 3000
+
+
+def test_a_column_says_what_is_relevant(spark, setting):
+    """The same as with a list of pairs, also for values that are missing or of one side only."""
+    queries, corpus, _, _ = setting
+    label = F.when(F.col("doc_id") != "d20", F.pmod(F.xxhash64("doc_id"), F.lit(3)))
+    docs = corpus.withColumn("label", label)
+    asked = docs.withColumnsRenamed({"doc_id": "query_id", "label": "kind"}).join(queries.select("query_id"), "query_id", "left_semi")
+    pairs = asked.join(docs.drop("embedding"), F.col("kind") == F.col("label")).select("query_id", "doc_id").where("query_id <> doc_id")
+    alike = {"alike": ("kind", "label")} | BLOCKS
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for n in (4, 50):
+        assert rows(nulls.sampled_null(asked, docs, None, n, **alike)) == rows(nulls.sampled_null(asked, docs, pairs, n, **BLOCKS))
+    near = lambda df: [(q, round(v, 9), t) for q, v, t in rows(df)]
+    candidates = spark.createDataFrame([("d0", 0.5), ("d7", 0.1), ("d20", -0.3)], "query_id string, similarity double")
+    assert near(nulls.counted_null(asked, docs, None, candidates, **alike)) == near(nulls.counted_null(asked, docs, pairs, candidates, **BLOCKS))
+
+
+@pytest.mark.parametrize("name", ["n1_sampled_negatives", "n3_global_z_null", "d7_ratio_against_calibration"])
+def test_no_list_of_all_relevant_pairs(spark, monkeypatch, name):
+    """Such a list grows with the square of the corpus."""
+    monkeypatch.setattr(base, "qrels", lambda *a: pytest.fail("all relevant pairs were listed"))
+    assert not plans.QUERIES[name](spark, "/root/testdata/sf0.001").isEmpty()

@@ -3,7 +3,8 @@
 Rows with the same tokens are one class, of which the first row stands for all. Classes meet on a token of both prefixes:
 the rarest tokens of each, as many as a pair above the threshold can't avoid, and only where the places of the token leave
 room for enough common ones. A token that very many classes hold is no meeting point by itself: in prefixes longer by one
-a pair above the threshold shares two tokens, so such a token meets together with another one. All tokens decide.
+a pair above the threshold shares two tokens, so such a token meets together with another one. Where classes meet, sketches
+of a fixed size leave out pairs that surely differ in too many tokens, before any of the tokens travel. All tokens decide.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from rankcut.sources.checkpoints import stored
 #: Words that don't count when questions are compared (fixed values).
 STOP_WORDS = ["the", "a", "an", "is", "are", "was", "were", "in", "on", "at", "to", "for", "of", "and", "or", "that", "this", "with", "by"]
 
-#: Fewer tokens than this are in more than 1 / RANKED of all places, so that so many are broadcast at most.
-RANKED = 65_536
+#: Tokens are counted in so many hashed slots, to take the rarest first: any order serves that is the same for all classes.
+SLOTS = 1 << 20
+#: Bits of a sketch: a token turns over one of them, so two sketches differ in no more bits than their classes in tokens.
+BITS = 256
 
 
 def question_tokens(text: Column) -> Column:
@@ -30,24 +33,28 @@ def question_tokens(text: Column) -> Column:
 def same_tokens(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows(pos, text) -> ((t, h, first), (pos, first)): each set of tokens, their hashes and the first row that has it, and
     all rows with theirs. Rows without tokens are left out. Texts are split once and stored."""
-    tokens = rows.select("pos", F.array_sort(question_tokens(F.col("text"))).alias("t"))
+    tokens = rows.select("pos", F.sort_array(question_tokens(F.col("text"))).alias("t"))
     tokens = tokens.select("pos", "t", F.transform("t", lambda w: F.xxhash64(w)).alias("h"), F.sha2(F.array_join("t", " "), 256).alias("key"))
     tokens = stored(tokens).where(F.size("t") > 0)
     firsts = stored(tokens.groupBy("key").agg(F.min("pos").alias("first")))
-    return tokens.join(firsts.select(F.col("first").alias("pos"), "first"), "pos").select("t", "h", "first"), tokens.select("pos", "key").join(firsts, "key").select("pos", "first")
+    return stored(tokens.join(firsts.select(F.col("first").alias("pos"), "first"), "pos").select("t", "h", "first")), tokens.select("pos", "key").join(firsts, "key").select("pos", "first")
+
+
+SKETCH = [f"s{k}" for k in range(BITS // 64)]
 
 
 def _prefixes(threshold: float, ranked: tuple, hot: int):
-    """For mapInArrow over (first, h): meeting points (key, first, n, i), i the place of the token among the class's n."""
+    """For mapInArrow over (first, h): meeting points (key, first, n, i, sketch), i the place of the token among the class's n.
+    ranked: how often the tokens of each slot come."""
 
     def prefixes(batches):
-        known, df = ranked
         for batch in batches:
             lists = batch.column("h")
             n = np.diff(lists.offsets.to_numpy())
             row, h = np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy()
-            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-            times = np.where(known[at] == h, df[at], 0) if len(known) else np.zeros(len(h), np.int64)
+            turned = np.bincount(row * BITS + (h >> 32) % BITS, minlength=len(n) * BITS).astype(np.uint8) & 1
+            sketch = np.packbits(turned.reshape(-1, BITS), axis=1).view(np.int64)
+            times = ranked[h % len(ranked)]
             order = np.lexsort((h, times, row))
             h, times = h[order], times[order]
             start = np.cumsum(n) - n
@@ -65,7 +72,7 @@ def _prefixes(threshold: float, ranked: tuple, hot: int):
                 places.append(np.zeros(len(a), np.int64))
             row = np.concatenate(rows)
             columns = [pa.array(np.concatenate(keys).view(np.int64)), batch.column("first").take(pa.array(row)), pa.array(n[row], pa.int32()), pa.array(np.concatenate(places), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "first", "n", "i"])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x[row]) for x in sketch.T)], ["key", "first", "n", "i", *SKETCH])
 
     return prefixes
 
@@ -74,15 +81,17 @@ def similar_classes(classes: DataFrame, threshold: float = 0.85) -> DataFrame:
     """classes(t, h, first), threshold from 0.5 to under 1 -> (i, j), i < j: the pairs of classes above it. Hashes of tokens
     leave out what has too few in common before the tokens themselves are compared."""
     hashed = classes.select("first", "h")
-    total = hashed.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0]
-    often = max(1, total // RANKED)
-    common = hashed.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > often).toPandas()  # under RANKED rows
-    common = common.sort_values("h")
+    slot = F.pmod("h", F.lit(SLOTS)).alias("slot")
+    counts = hashed.select(F.explode("h").alias("h")).groupBy(slot).agg(F.count("*").alias("times")).toPandas()  # SLOTS rows at most
+    ranked = np.zeros(SLOTS, np.int64)
+    ranked[counts.slot.to_numpy(np.int64)] = counts.times
+    hot = max(1000, int(ranked.sum()) // 65_536)
     kind = classes.schema["first"].dataType.simpleString()
-    points = hashed.mapInArrow(_prefixes(threshold, (common.h.to_numpy(np.int64), common.df.to_numpy(np.int64)), max(1000, often)), f"key long, first {kind}, n int, i int")
-    side = lambda s: points.select("key", F.col("first").alias(s), F.col("n").alias(f"n{s}"), F.col("i").alias(f"i{s}"))
+    points = hashed.mapInArrow(_prefixes(threshold, ranked, hot), f"key long, first {kind}, n int, i int, " + ", ".join(f"{x} long" for x in SKETCH))
+    side = lambda s: points.select("key", F.col("first").alias(s), *(F.col(x).alias(f"{x}{s}") for x in ("n", "i", *SKETCH)))
     room = 1 + F.least(F.col("ni") - F.col("ii"), F.col("nj") - F.col("ij")) - 1 >= (F.col("ni") + F.col("nj")) * (threshold / (1 + threshold))
-    meet = side("i").join(side("j"), "key").where((F.col("i") < F.col("j")) & (F.least("ni", "nj") >= F.greatest("ni", "nj") * threshold) & room).select("i", "j").distinct()
+    apart = sum(F.bit_count(F.col(f"{x}i").bitwiseXOR(F.col(f"{x}j"))) for x in SKETCH)
+    meet = side("i").join(side("j"), "key").where((F.col("i") < F.col("j")) & (F.least("ni", "nj") >= F.greatest("ni", "nj") * threshold) & room & (apart <= (F.col("ni") + F.col("nj")) * ((1 - threshold) / (1 + threshold)) + 1e-6)).select("i", "j").distinct()
     of = lambda df, x, t: df.select(F.col("first").alias(x), F.col(t).alias(f"{t}{x}"))
     least = F.ceil((F.size("hi") + F.size("hj")) * (threshold / (1 + threshold)) - 1e-6)
     near = meet.join(of(hashed, "i", "h"), "i").join(of(hashed, "j", "h"), "j").where(F.size(F.array_intersect("hi", "hj")) >= least).select("i", "j")
@@ -97,6 +106,6 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     classes, of = same_tokens(rows)
     side = lambda s: of.select(F.col("first").alias(f"f{s}"), F.col("pos").alias(s))
     same = side("i").join(side("j"), F.col("fi") == F.col("fj")).where("i < j").select("i", "j")
-    pairs = similar_classes(classes, threshold).select(F.col("i").alias("fi"), F.col("j").alias("fj"))
+    pairs = stored(similar_classes(classes, threshold)).select(F.col("i").alias("fi"), F.col("j").alias("fj"))
     across = pairs.join(side("i"), "fi").join(side("j"), "fj").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
     return same.union(across)

@@ -72,3 +72,15 @@ def test_token_overlap(spark):
         assert (got[key].n_generated, got[key].n_gold, got[key].overlap) == (n, m, o) and got[key].f1 == pytest.approx(f1)
     plan = answers.token_overlap(spark.createDataFrame(rows, "key long, gen string, gold string"), "key", "gen", "gold").groupBy(F.spark_partition_id()).count()._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_pairs_that_differ_much_do_not_travel(spark, monkeypatch):
+    """Many classes share a token of their prefixes and little else: sketches tell them apart where they meet. No pair is lost."""
+    g = np.random.default_rng(7)
+    rows = [(i, " ".join(["aa", *(f"w{g.integers(0, 10**6)}" for _ in range(20))])) for i in range(300)]
+    rows += [(300 + i, rows[i][1].replace("aa", "bb")) for i in range(0, 300, 50)]
+    monkeypatch.setattr(similar, "SLOTS", 1)  # as if all tokens were equally rare
+    classes, _ = similar.same_tokens(spark.createDataFrame(rows, "pos long, text string").repartition(3))
+    found = similar.similar_classes(classes, 0.85)
+    assert {tuple(r) for r in found.collect()} == pairs_wanted(rows, 0.85) and len(pairs_wanted(rows, 0.85)) == 6
+    assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
